@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chatlake.functions.binding import let
 from chatlake.functions.lexicon import FacilityTerms, IntentTerms, Lexicon, PriorityWords, is_boundary_term
 from chatlake.functions.text import WORD_CHAR, squeeze
 
@@ -92,23 +93,30 @@ def medium_hits(prepared: Column, lexicon: Lexicon) -> Column:
 
 def assess(high: Column, medium: Column, lexicon: Lexicon) -> Column:
     """(level, keywords) from the two hit lists."""
-    firm = _terms(F.filter(high, lambda h: ~h["negated"]))
-    softened = _terms(F.filter(high, lambda h: h["negated"]))
-    kept = F.filter(medium, lambda h: ~h["negated"])
-    kept = F.filter(kept, lambda h: ~F.exists(
-        kept, lambda o: (o["term"] != h["term"]) & F.contains(o["term"], h["term"])))
-    # Longest first, lexicon order among equals.
-    ordered = F.array_sort(F.transform(kept, lambda h: F.struct(
-        (-F.char_length(h["term"])).alias("len"), h["pos"].alias("pos"), h["term"].alias("term"))))
-    ordered = F.transform(ordered, lambda h: h["term"])
     result = lambda level, words: F.struct(F.lit(level).alias("level"), words.alias("keywords"))
-    return (
-        F.when(F.size(firm) > 0, result("high", firm))
-        .when(F.size(softened) > 0, result("medium", softened))
-        .when(F.size(ordered) >= lexicon.medium_to_high, result("high", ordered))
-        .when(F.size(ordered) > 0, result("medium", ordered))
-        .otherwise(result("general", ordered))
-    )
+
+    def ordered(kept: Column) -> Column:
+        # Parts of longer terms leave; the rest goes longest first, lexicon order among equals.
+        whole = F.filter(kept, lambda h: ~F.exists(
+            kept, lambda o: (o["term"] != h["term"]) & F.contains(o["term"], h["term"])))
+        return _terms(F.array_sort(F.transform(whole, lambda h: F.struct(
+            (-F.char_length(h["term"])).alias("len"), h["pos"].alias("pos"), h["term"].alias("term")))))
+
+    def by_medium(words: Column) -> Column:
+        return (
+            F.when(F.size(words) >= lexicon.medium_to_high, result("high", words))
+            .when(F.size(words) > 0, result("medium", words)).otherwise(result("general", words))
+        )
+
+    def by_high(hits: Column) -> Column:
+        firm = F.filter(hits, lambda h: ~h["negated"])
+        return (
+            F.when(F.exists(hits, lambda h: ~h["negated"]), result("high", _terms(firm)))
+            .when(F.size(hits) > 0, result("medium", _terms(hits)))
+            .otherwise(let(let(F.filter(medium, lambda h: ~h["negated"]), ordered), by_medium))
+        )
+
+    return let(high, by_high)
 
 
 def assess_text(text: Column, lexicon: Lexicon) -> Column:
@@ -119,13 +127,13 @@ def assess_text(text: Column, lexicon: Lexicon) -> Column:
 
 def category(keywords: Column, lexicon: Lexicon) -> Column:
     """Suicide before overdose before substance before emotional."""
-    words = F.transform(keywords, lambda k: F.replace(F.lower(k), F.lit("’"), F.lit("'")))
     signals = literal_array(lexicon.substance_signals)
-    return (
-        F.when(F.arrays_overlap(words, literal_array(lexicon.suicide)), "suicide")
+    return let(
+        F.transform(keywords, lambda k: F.replace(F.lower(k), F.lit("’"), F.lit("'"))),
+        lambda words: F.when(F.arrays_overlap(words, literal_array(lexicon.suicide)), "suicide")
         .when(F.arrays_overlap(words, literal_array(lexicon.overdose)), "overdose")
         .when(F.exists(words, lambda w: F.exists(signals, lambda s: F.contains(w, s))), "substance")
-        .otherwise("emotional")
+        .otherwise("emotional"),
     )
 
 

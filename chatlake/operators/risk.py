@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from chatlake.functions import risk as R
 from chatlake.functions.lexicon import Lexicon
@@ -114,9 +115,10 @@ def cost_alert_rows(costs: DataFrame) -> DataFrame:
 
 
 def all_alerts(*frames: DataFrame) -> DataFrame:
-    out = frames[0].to(ALERTS)
+    shape = StructType.fromDDL(ALERTS)
+    out = frames[0].to(shape)
     for f in frames[1:]:
-        out = out.unionByName(f.to(ALERTS))
+        out = out.unionByName(f.to(shape))
     return out
 
 

@@ -95,3 +95,74 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_html(spark: SparkSession, folder: str) -> DataFrame:
     return scan(spark, folder, "pages", columns=["page_id", "url", "html"])
+
+
+def progress(spark: SparkSession, folder: str) -> DataFrame:
+    """Risk events: the level follows from the event type, keywords from type and payload."""
+    kind = F.col("event_type")
+    level = (
+        F.when(kind == "error", "HIGH").when(kind == "purchase", "medium").when(kind == "view", "low")
+        .when(kind == "signup", "general").otherwise("")
+    )
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    words = F.array(kind, F.concat(F.lit(" Key"), (k % 13).cast("string")), F.lit(" "))
+    return scan(spark, folder, "events").select("event_id", "user_id", "ts", level.alias("risk_level"), words.alias("keywords"))
+
+
+def operation_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Database calls: the operation is the event type, a duration of value / 100 seconds."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return scan(spark, folder, "events").select(
+        "event_id", "user_id", "ts", F.col("event_type").alias("operation"), (F.col("value") / 100).alias("seconds"),
+        F.when(k % 8 == 0, "error").otherwise("success").alias("status"), (k % 5 == 0).alias("fallback"))
+
+
+def error_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors with a message that the categorisation rules read."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    text = (
+        F.when(k % 6 == 0, "MySQL gone").when(k % 6 == 1, "Connection reset").when(k % 6 == 2, "HTTP 500")
+        .when(k % 6 == 3, "Permission denied").when(k % 6 == 4, "Invalid code").otherwise("boom")
+    )
+    return scan(spark, folder, "events", F.col("event_type") == "error").select(
+        "event_id", "user_id", "ts", F.concat(text, F.lit(" #"), F.col("event_id").cast("string")).alias("message"))
+
+
+def codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Registration codes: one per sign-up event, pending when k is odd; the form carries two instrument scores."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    pending = k % 2 == 1
+    tokens = F.floor("value").cast("bigint")
+    summary = F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("summary "), F.col("event_id").cast("string")))
+    form = F.concat(
+        F.lit('{"full_data":{"assistScores":{"alcohol":'), (tokens % 40).cast("string"), F.lit(',"cannabis":'),
+        (k % 40).cast("string"), F.lit('},"riskAssessment":{"overallRisk":"'),
+        F.when(k > 50, "high").otherwise("low"), F.lit('"}},"ai_summary":"'), summary, F.lit('","processed_at":"'),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('","ai_processed_at":null}'))
+    return scan(spark, folder, "events", F.col("event_type") == "signup").select(
+        F.lpad(F.col("event_id").cast("string"), 6, "0").alias("code"),
+        F.when(~pending, F.col("user_id")).alias("user_id"), F.col("ts").alias("created_at"),
+        F.when(~pending, F.col("ts")).alias("verified_at"),
+        F.when(pending, "pending").otherwise("verified").alias("status"), form.alias("form_data"))
+
+
+def candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Competing answers: the assistant turns of a conversation are its candidates, in turn order."""
+    return scan(spark, folder, "conversations", F.col("role") == "assistant").select(
+        F.col("conv_id").alias("item"), F.concat(F.lit("p"), F.col("turn").cast("string")).alias("provider"),
+        F.col("turn").alias("priority"), F.col("text").alias("content"))
+
+
+def evaluations(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluation texts of each candidate's author: JSON, fenced JSON, prose or nonsense by text length."""
+    n = F.char_length("text")
+    a, b = (n % 101).cast("string"), ((n * 7) % 130).cast("string")
+    body = F.concat(F.lit('{"A": '), a, F.lit(', "B": '), b, F.lit("}"))
+    raw = (
+        F.when(n % 5 == 0, body).when(n % 5 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(n % 5 == 2, F.concat(F.lit("Scores: A: "), a, F.lit(", B: "), b))
+        .when(n % 5 == 3, F.concat(F.lit("I think "), body, F.lit(" is fair"))).otherwise(F.lit("no idea"))
+    )
+    return scan(spark, folder, "conversations", F.col("role") == "assistant").select(
+        F.col("conv_id").alias("item"), F.concat(F.lit("p"), F.col("turn").cast("string")).alias("evaluator"),
+        raw.alias("raw"), (n % 11 != 0).alias("success"))
