@@ -2,8 +2,10 @@
 
 from chatlake.plans import (  # noqa: F401
     activity_queries,
+    consensus_queries,
     context_queries,
     risk_queries,
+    text_queries,
     usage_queries,
 )
 from chatlake.plans.registry import CHECKS, QUERIES  # noqa: F401
