@@ -50,14 +50,22 @@ EXPANSIONS: tuple[tuple[tuple[str, ...], str], ...] = (
 # ---------------------------------------------------------------- lexical
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """Q2: (doc_id, chunk_index, term, tf, doc_length), partitioned by the chunk's key."""
-    keyed = chunks.select("doc_id", "chunk_index", T.lexical_tokens(F.col("content")).alias("tokens"))
-    placed = keyed.repartition("doc_id", "chunk_index").withColumn("doc_length", F.size("tokens"))
-    return (
-        placed.select("doc_id", "chunk_index", "doc_length", F.explode("tokens").alias("term"))
-        .groupBy("doc_id", "chunk_index", "doc_length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+def tokenised(chunks: DataFrame) -> DataFrame:
+    """Q1: (doc_id, chunk_index, tokens), exchanged by the chunk's key.
+
+    Postings, frequencies and statistics all start here, so a plan using several of them reads this one exchange.
+    """
+    keyed = spread(chunks).select("doc_id", "chunk_index", T.lexical_tokens(F.col("content")).alias("tokens"))
+    return keyed.repartition("doc_id", "chunk_index")
+
+
+def postings(tokens: DataFrame) -> DataFrame:
+    """Q2: (doc_id, chunk_index, term, tf, doc_length); keeps the partitioning of `tokenised`."""
+    sized = tokens.withColumn("doc_length", F.size("tokens"))
+    # The outer form keeps the optimizer from tokenising once more for an inferred "not empty" filter.
+    words = sized.select("doc_id", "chunk_index", "doc_length", F.explode_outer("tokens").alias("term"))
+    return words.where(F.col("term").isNotNull()).groupBy("doc_id", "chunk_index", "doc_length", "term").agg(
+        F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
@@ -65,11 +73,10 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
+def corpus_stats(tokens: DataFrame) -> DataFrame:
     """Q2: chunk count and mean length over all chunks, empty ones included."""
-    size = F.size(T.lexical_tokens(F.col("content")))
-    mean = F.avg(size)
-    return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.when(mean > 0, mean).otherwise(F.lit(1.0)).alias("avg_length"))
+    mean = F.avg(F.size("tokens"))
+    return tokens.agg(F.count(F.lit(1)).alias("n_chunks"), F.when(mean > 0, mean).otherwise(F.lit(1.0)).alias("avg_length"))
 
 
 def idf(n_chunks: Column, df: Column) -> Column:
@@ -89,8 +96,8 @@ def index_stats(chunks: DataFrame, index: DataFrame) -> DataFrame:
 
 def query_terms(queries: DataFrame, text: str = "search_text") -> DataFrame:
     """Distinct terms of each query with their count."""
-    words = queries.select("query_id", F.explode(T.lexical_tokens(F.col(text))).alias("term"))
-    return words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+    words = queries.select("query_id", F.explode_outer(T.lexical_tokens(F.col(text))).alias("term"))
+    return words.where(F.col("term").isNotNull()).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
 
 
 def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, *, fetch: str = "fetch_k",
@@ -355,21 +362,22 @@ def format_results(selected: DataFrame, *, max_chars: int = MAX_CONTEXT_CHARS, m
     ``selected`` holds at most k rows per query, which bounds the window.
     """
     content = T.strip(F.col("content"))
-    shown = F.when(F.char_length(content) > max_chunk, F.concat(
+    shown = lambda name: F.round(F.round(name, 9), 4)
+    cut = F.when(F.char_length(content) > max_chunk, F.concat(
         F.rtrim(F.substring(content, 1, max_chunk), F.lit(T.WS_CHARS)), F.lit(" ..."))).otherwise(content)
     place = location()
     head = F.format_string(
         "[%d] source: %s (score=%.3f, dense=%.3f, lexical=%.3f, kind=%s%s, lang=%s)\n",
-        "position", "doc_name", "adjusted", "dense_norm", "lexical_norm",
+        "position", "doc_name", F.round("adjusted", 9), F.round("dense_norm", 9), F.round("lexical_norm", 9),
         F.coalesce("metadata.source_kind", F.lit("unknown")),
         F.when(place != "", F.concat(F.lit(", "), place)).otherwise(F.lit("")),
         F.coalesce("metadata.language", F.lit("unknown")))
-    lines = selected.withColumn("line", F.concat(head, shown))
+    lines = selected.withColumn("line", F.concat(head, cut))
     kept = context_budget(lines, "line", max_chars)
     return kept.select(
         "query_id", "position", "doc_id", "doc_name", "chunk_index", "line",
-        F.round("adjusted", 4).alias("score"), F.round("dense_norm", 4).alias("dense_score"),
-        F.round("lexical_norm", 4).alias("lexical_score"), F.col("metadata.source_path").alias("source_path"),
+        shown("adjusted").alias("score"), shown("dense_norm").alias("dense_score"), shown("lexical_norm").alias("lexical_score"),
+        F.col("metadata.source_path").alias("source_path"),
         F.col("metadata.page_start").alias("page_start"), F.col("metadata.page_end").alias("page_end"),
         F.col("metadata.section_title").alias("section_title"), F.col("metadata.language").alias("language"),
         F.col("metadata.source_kind").alias("source_kind"))
@@ -391,10 +399,10 @@ def contexts(formatted: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("position", "line"))), lambda s: s["line"]), "\n\n").alias("context"))
 
 
-def lexical_search(queries: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
-    """Q4 over raw chunks: prepares queries and builds the postings first."""
-    prepared = prepare_queries(queries, top_k)
-    return bm25(prepared, postings(spread(chunks)), corpus_stats(chunks))
+def lexical_search(prepared: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Q4 straight from chunks, for queries that went through `prepare_queries`."""
+    tokens = tokenised(chunks)
+    return bm25(prepared, postings(tokens), corpus_stats(tokens))
 
 
 # ---------------------------------------------------------------- embedding inputs

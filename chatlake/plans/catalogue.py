@@ -4,6 +4,7 @@ from chatlake.plans import (  # noqa: F401
     activity_queries,
     consensus_queries,
     context_queries,
+    retrieval_queries,
     risk_queries,
     text_queries,
     usage_queries,

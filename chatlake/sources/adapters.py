@@ -166,3 +166,31 @@ def evaluations(spark: SparkSession, folder: str) -> DataFrame:
     return scan(spark, folder, "conversations", F.col("role") == "assistant").select(
         F.col("conv_id").alias("item"), F.concat(F.lit("p"), F.col("turn").cast("string")).alias("evaluator"),
         raw.alias("raw"), (n % 11 != 0).alias("success"))
+
+
+def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Each stored document as one chunk, with the metadata that ranking reads."""
+    from chatlake.functions.text import language, token_count
+    from chatlake.operators.chunking import source_profile, topic
+
+    name, text = F.col("source"), F.col("text")
+    profile, none = source_profile(name), F.lit(None)
+    return scan(spark, folder, "documents").select(
+        "doc_id", name.alias("doc_name"), F.lit(0).alias("chunk_index"), text.alias("content"),
+        F.struct(
+            name.alias("source"), none.cast("string").alias("source_path"), F.lit("").alias("section_title"),
+            none.cast("int").alias("page_start"), none.cast("int").alias("page_end"), language(text).alias("language"),
+            token_count(text).alias("token_count"), topic(name).alias("topic"), profile["kind"].alias("source_kind"),
+            profile["weight"].alias("source_weight"),
+        ).alias("metadata"))
+
+
+def chunk_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of first chunks: vec_id stands for the document id."""
+    return vectors(spark, folder).select(
+        F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("embedding").alias("vector"))
+
+
+def query_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of questions: vec_id stands for the item id."""
+    return vectors(spark, folder).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
