@@ -194,3 +194,13 @@ def chunk_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def query_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors of questions: vec_id stands for the item id."""
     return vectors(spark, folder).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored events as a file stream of usage rows, with an event time that watermarks accept."""
+    from chatlake.schemas import EVENTS
+    from chatlake.streaming.jobs import read_files
+
+    return read_files(spark, folder, "events.parquet", EVENTS).select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("model"),
+        F.floor(F.col("value") * 10).cast("bigint").alias("input_tokens"), F.floor("value").cast("bigint").alias("output_tokens"))

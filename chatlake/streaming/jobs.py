@@ -41,6 +41,21 @@ def run_available(frame: DataFrame, purpose: str, mode: str = "append") -> DataF
     return spark.read.schema(frame.schema).parquet(f"{base}/rows")
 
 
+def run_complete(frame: DataFrame, purpose: str) -> DataFrame:
+    """Process what has arrived and return the full aggregate, open windows included."""
+    spark = frame.sparkSession
+    base = scratch_path(spark, purpose)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+
+    run_batches(frame, purpose, handle, "complete")
+    # The greatest batch holds the newest aggregate.
+    rows = spark.read.parquet(base)
+    newest = rows.agg(F.max("batch").alias("b")).select("b").scalar()
+    return rows.where(F.col("batch") == newest).drop("batch")
+
+
 def run_batches(frame: DataFrame, purpose: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Process what has arrived through ``handle(batch, batch_id)``."""
     query = (
@@ -65,12 +80,12 @@ def write_scored(log_path: str, alert_path: str) -> Callable[[DataFrame, int], N
     return handle
 
 
-def daily_counts(usage: DataFrame, *, delay: str = "1 hour", per_user: bool = False) -> DataFrame:
+def daily_counts(usage: DataFrame, *, delay: str = "1 hour", per_user: bool = False, prices=None) -> DataFrame:
     """ST2: usage per day (and user); rows later than the watermark are dropped."""
     keys = ["user_id"] if per_user else []
     window = F.window("ts", "1 day")
     return (
-        with_cost(usage).withWatermark("ts", delay).groupBy(window, *keys)
+        with_cost(usage, prices).withWatermark("ts", delay).groupBy(window, *keys)
         .agg(F.count(F.lit(1)).alias("requests"), F.sum("input_tokens").alias("input_tokens"),
              F.sum("output_tokens").alias("output_tokens"), F.sum("cost").alias("cost"))
         .select(F.to_date("window.start").alias("day"), *keys, "requests", "input_tokens", "output_tokens", "cost")
@@ -128,7 +143,7 @@ def rate_breaches(requests: DataFrame, key: str, limit: int, *, window: str = "1
     )
 
 
-def cost_levels(usage: DataFrame, threshold: float, *, delay: str = "1 hour") -> DataFrame:
+def cost_levels(usage: DataFrame, threshold: float, *, delay: str = "1 hour", prices=None) -> DataFrame:
     """ST7: W6 with state - running cost per (user, day) in ten-billionths, one row per new multiple."""
     unit = 10_000_000_000
     step_size = int(round(threshold * unit))
@@ -152,7 +167,7 @@ def cost_levels(usage: DataFrame, threshold: float, *, delay: str = "1 hour") ->
         state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["user_id", "day", "event_id", "level"])
 
-    rows = with_cost(usage).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    rows = with_cost(usage, prices).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     rows = rows.select(F.col("user_id").cast("string").alias("user_id"), F.to_date("ts").alias("day"), "ts",
                        F.unix_micros("ts").alias("us"), "event_id", (F.col("cost") * unit).cast("bigint").alias("units"))
     return rows.groupBy("user_id", "day").applyInPandasWithState(
