@@ -121,21 +121,20 @@ def _pack(parts: Column, limit: int, separator: str, overlap: int = 0) -> Column
 
 
 def split_long(unit: Column, limit: int) -> Column:
-    """Sentences packed to the limit, else fixed windows."""
+    """Parts of a sized unit, sized again - sentences packed to the limit, else fixed windows."""
     def split(sentences: Column) -> Column:
         return F.when(F.size(sentences) > 1, _pack(_sized(sentences), limit, " ")).otherwise(
-            _non_empty(_cut(unit, max(320, limit * 4))))
+            _non_empty(_cut(unit["text"], max(320, limit * 4))))
 
-    return F.when(token_count(unit) <= limit, F.array(unit)).otherwise(
-        let(_non_empty(F.split(unit, _SENTENCE_END)), split))
+    return F.when(unit["n"] <= limit, F.array(unit)).otherwise(
+        _sized(let(_non_empty(F.split(unit["text"], _SENTENCE_END)), split)))
 
 
 def token_chunks(text: Column, chunk_size: int, overlap: int) -> Column:
     """Chunks of a trimmed text by token limit, with overlap."""
     limit, words = token_limit(chunk_size), overlap_tokens(overlap)
-    prepared = F.flatten(F.transform(units(text), lambda u: split_long(u, limit)))
-    return F.when(token_count(text) <= limit, F.array(text)).otherwise(
-        _pack(_sized(prepared), limit, "\n\n", words))
+    prepared = F.flatten(F.transform(_sized(units(text)), lambda u: split_long(u, limit)))
+    return F.when(token_count(text) <= limit, F.array(text)).otherwise(_pack(prepared, limit, "\n\n", words))
 
 
 def merge_short(chunks: Column, low: int, high: int) -> Column:

@@ -98,10 +98,16 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN_PATTERN)), F.lit(0))
 
 
-def is_low_signal(text: Column, tokens: Column | None = None) -> Column:
-    """Empty, noise, or too short to say anything; expects normalised text."""
-    letters = F.regexp_count(text, F.lit(rf"[A-Za-z{THAI}]"))
-    return is_noise(text) | (((token_count(text) if tokens is None else tokens) < 6) & (letters < 24))
+def has_tokens(text: Column, n: int) -> Column:
+    """Whether a text has at least ``n`` tokens; stops reading at the n-th."""
+    word = "A-Za-z0-9_"
+    return text.rlike(rf"\A[^{word}{THAI}]*+(?:(?:[{word}]++|[{THAI}])[^{word}{THAI}]*+){{{n}}}")
+
+
+def is_low_signal(text: Column) -> Column:
+    """Empty, noise, or too short to say anything; expects a stripped text."""
+    letters = text.rlike(rf"\A[^A-Za-z{THAI}]*+(?:[A-Za-z{THAI}][^A-Za-z{THAI}]*+){{24}}")
+    return is_noise(text) | (~has_tokens(text, 6) & ~letters)
 
 
 def normalise_title(title: Column) -> Column:

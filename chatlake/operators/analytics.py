@@ -81,7 +81,7 @@ def feed(df: DataFrame, user_id, *, limit: int = 20, order: str = "id") -> DataF
 
 def feeds(df: DataFrame, *, limit: int = 20, order: str = "id") -> DataFrame:
     """F6 for every user: the newest rows with their position."""
-    return top_n(df, ["user_id"], [F.col("ts").desc(), F.col(order).desc()], clamp("feed", limit), salt=[order])
+    return top_n(df, ["user_id"], [F.col("ts").desc(), F.col(order).desc()], clamp("feed", limit))
 
 
 def pseudonym(user_id: Column, salt: str) -> Column:

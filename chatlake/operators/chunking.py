@@ -147,11 +147,11 @@ def _chunks_in_place(documents: DataFrame, keep: list[str], size: int, overlap:
     low, high = C.merge_bounds(C.token_limit(size))
     pages = _pages(set(documents.columns))
     per_section = F.transform("sections", lambda s: F.transform(
-        C.token_chunks(T.strip(s["body"]), size, overlap),
+        C.token_chunks(s["body"], size, overlap),
         lambda p, i: _chunk_struct(p, s["title"], s["segment"], i, pages)))
     rows = clean_sections(documents).select(*keep, F.flatten(per_section).alias("parts"))
     merged = rows.select(*keep, C.merge_short(F.col("parts"), low, high).alias("parts"))
-    kept = F.filter("parts", lambda c: ~T.is_low_signal(T.normalise(c["content"]), c["n"]))
+    kept = F.filter("parts", lambda c: ~T.is_low_signal(c["content"]))
     return merged.select(*keep, F.posexplode(kept).alias("chunk_index", "c"))
 
 
@@ -159,7 +159,7 @@ def _chunks_by_segment(rows: DataFrame, keep: list[str]) -> DataFrame:
     """Character mode: pieces were split in Arrow batches of segments; a document's segments meet again by its id."""
     pages = _pages(set(keep))
     parts = F.transform("pieces", lambda p, i: _chunk_struct(p, F.col("title"), F.col("segment"), i, pages))
-    kept = rows.select(*keep, "segment", F.filter(parts, lambda c: ~T.is_low_signal(T.normalise(c["content"]), c["n"])).alias("parts"))
+    kept = rows.select(*keep, "segment", F.filter(parts, lambda c: ~T.is_low_signal(c["content"])).alias("parts"))
     return (
         kept.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("segment", "parts"))).alias("s"))
         .select(*keep, F.posexplode(F.flatten(F.transform("s", lambda s: s["parts"]))).alias("chunk_index", "c"))

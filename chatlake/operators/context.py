@@ -63,7 +63,7 @@ def session_tokens(messages: DataFrame) -> DataFrame:
 def session_state(messages: DataFrame, *, budget: int = SESSION_BUDGET, keep: int = SESSION_MESSAGES,
                   warn: float = 0.70) -> DataFrame:
     """Newest messages kept, their token total, its share of the budget and a warning."""
-    kept = top_n(messages, ["conv_id"], [F.col("turn").desc()], keep, salt=["turn"])
+    kept = top_n(messages, ["conv_id"], [F.col("turn").desc()], keep)
     share = F.col("session_tokens") / F.lit(budget)
     return session_tokens(kept).withColumn("budget_share", share).withColumn(
         "warning", F.col("session_tokens") > F.lit(budget * warn))
@@ -78,7 +78,7 @@ def token_budget(activity: DataFrame, max_tokens: int, *, order: str = "id", est
     """
     counted = F.coalesce(F.nullif(F.col("token_count"), F.lit(0)), estimate if estimate is not None else F.lit(None).cast("bigint"), F.lit(0).cast("bigint"))
     sort = [F.coalesce("important_flag", F.lit(False)).desc(), F.col("ts").desc(), F.col(order).desc()]
-    kept = top_n(activity.withColumn("used_tokens", counted), ["user_id"], sort, scan, salt=[order])
+    kept = top_n(activity.withColumn("used_tokens", counted), ["user_id"], sort, scan)
     w = Window.partitionBy("user_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
     return kept.withColumn("running_tokens", F.sum("used_tokens").over(w)).where(F.col("running_tokens") <= max_tokens)
 
@@ -93,7 +93,7 @@ def keep_recent(messages: DataFrame, keep: int) -> DataFrame:
 
 def restore(history: DataFrame, pairs: int = RESTORE_EXCHANGES) -> DataFrame:
     """The last exchanges as alternating messages; empty sides are left out, ``source_turn`` is the used id."""
-    kept = top_n(history, ["conv_id"], [F.col("turn").desc()], pairs, salt=["turn"])
+    kept = top_n(history, ["conv_id"], [F.col("turn").desc()], pairs)
     sides = F.array(
         F.struct(F.lit(0).alias("side"), F.lit("user").alias("role"), F.col("user_message").alias("text")),
         F.struct(F.lit(1).alias("side"), F.lit("assistant").alias("role"), F.col("bot_response").alias("text")),

@@ -19,7 +19,7 @@ ERROR_THRESHOLDS = {"critical": 1, "high": 3, "medium": 10, "low": 50}
 def operation_profile(calls: DataFrame, *, last: int = 100, slow: float = SLOW_SECONDS, order: str = "event_id",
                       key: str = "operation") -> DataFrame:
     """Latency profile of each operation's last calls, with recommendations."""
-    kept = top_n(calls, [key], [F.col("ts").desc(), F.col(order).desc()], last, salt=[order])
+    kept = top_n(calls, [key], [F.col("ts").desc(), F.col(order).desc()], last)
     profile = kept.groupBy(key).agg(
         F.count(F.lit(1)).alias("call_count"), F.avg("seconds").alias("avg_seconds"),
         F.max("seconds").alias("max_seconds"), F.min("seconds").alias("min_seconds"),

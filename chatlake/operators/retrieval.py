@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import text as T
 from chatlake.operators.segments import top_n
-from chatlake.operators.sizing import broadcast_if_small, fits, spread
+from chatlake.operators.sizing import BROADCAST_ROWS, fits, spread
 
 # Ranking constants.
 BM25_K1, BM25_B = 1.5, 0.75
@@ -109,12 +109,12 @@ def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, *, fetch: str =
     """
     n, mean = stats.select("n_chunks").scalar(), stats.select("avg_length").scalar()
     terms = query_terms(queries, text)
-    wanted = broadcast_if_small(terms.select("term").distinct())
-    frequency = document_frequency(index.join(wanted, "term", "left_semi"))
+    # Frequencies and weights have no more rows than the query terms, so one check covers all three joins.
+    near = F.broadcast if fits(terms) else lambda frame: frame
+    frequency = document_frequency(index.join(near(terms.select("term").distinct()), "term", "left_semi"))
     weight = idf(n, F.col("df")) * (F.lit(1.0) + F.log1p(F.col("qf").cast("double")))
-    weighted = terms.join(frequency, "term").select("query_id", "term", weight.alias("weight"))
-    small = fits(terms)
-    joined = index.join(F.broadcast(weighted) if small else weighted, "term")
+    weighted = terms.join(near(frequency), "term").select("query_id", "term", weight.alias("weight"))
+    joined = index.join(near(weighted), "term")
     norm = F.col("tf") + F.lit(BM25_K1) * (F.lit(1.0 - BM25_B) + F.lit(BM25_B) * (F.col("doc_length") / F.greatest(mean, F.lit(1e-6))))
     part = F.col("weight") * (F.col("tf") * F.lit(BM25_K1 + 1.0)) / norm
     scored = joined.groupBy("query_id", "doc_id", "chunk_index").agg(F.sum(part).alias("lexical")).where("lexical > 0")
@@ -123,11 +123,12 @@ def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, *, fetch: str =
 
 def _best(scored: DataFrame, queries: DataFrame, score: str, fetch: str) -> DataFrame:
     """Ranked best rows per query; the group limit needs one bound for all, the query's own follows."""
-    bound = queries.agg(F.max(fetch)).first()[0] or 1
+    asked, bound = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(fetch), F.lit(1))).first()
     # Scores are compared at nine places: sums of floats differ in the last bits between runs.
     order = [F.round(score, 9).desc(), F.col("doc_id"), F.col("chunk_index")]
-    ranked = top_n(scored, ["query_id"], order, int(bound), rank=f"{score}_rank", salt=["doc_id", "chunk_index"])
-    limits = broadcast_if_small(queries.select("query_id", F.col(fetch).alias("__fetch")))
+    ranked = top_n(scored, ["query_id"], order, int(bound), rank=f"{score}_rank")
+    limits = queries.select("query_id", F.col(fetch).alias("__fetch"))
+    limits = F.broadcast(limits) if asked <= BROADCAST_ROWS else limits
     return ranked.join(limits, "query_id").where(F.col(f"{score}_rank") <= F.col("__fetch")).drop("__fetch")
 
 

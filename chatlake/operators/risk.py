@@ -170,7 +170,7 @@ def recent_events(events: DataFrame, n: int = 5, order: str = "event_id", key: s
     """Each user's newest high and medium events, newest first; lists hold at most ``n`` entries."""
     level = R.normalise_level(F.col("risk_level"))
     risky = events.withColumn("risk_level", level).where(F.col("risk_level").isin("high", "medium"))
-    newest = top_n(risky, [key], [F.col("ts").desc(), F.col(order).desc()], n, salt=[order])
+    newest = top_n(risky, [key], [F.col("ts").desc(), F.col(order).desc()], n)
     entry = F.struct("rn", "ts", "risk_level", "keywords")
     return newest.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("events"))
 

@@ -94,22 +94,19 @@ def _neighbour(df, keys, segment, order, columns, backwards):
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, *, rank: str = "rn",
-          salt: Sequence[str] = (), salts: int = 32) -> DataFrame:
+          slots: int = 32) -> DataFrame:
     """First ``n`` rows per key with their rank.
 
-    The row_number filter becomes a map-side group limit; with ``salt`` columns a first round per
-    (key, salt) also spreads what the map tasks of a hot key send on.
+    The row_number filter becomes a group limit on the map side, so a task sends at most ``n`` rows of a key.
+    A first round deals what the tasks send for a key onto ``slots`` reducers, by the number of the sending
+    task; the second round sees at most ``slots * n`` rows of a key. The result does not depend on the deal.
     """
     keys = list(keys)
-    if salt:
-        slot = F.pmod(F.xxhash64(*salt), F.lit(salts))
-        w = Window.partitionBy(*keys, "__slot").orderBy(*order)
-        df = (
-            df.withColumn("__slot", slot).withColumn("__r", F.row_number().over(w))
-            .where(F.col("__r") <= n).drop("__r", "__slot")
-        )
+    first = Window.partitionBy(*keys, "__slot").orderBy(*order)
+    dealt = df.withColumn("__slot", F.pmod(F.spark_partition_id(), F.lit(slots)))
+    limited = dealt.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= n).drop("__r", "__slot")
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
+    return limited.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
 def trailing(df: DataFrame, keys: Sequence[str], index: str, value: str, size: int, name: str,

@@ -74,8 +74,7 @@ def top_users(costed: DataFrame, day: dt.date, n: int = 10) -> DataFrame:
 
 def top_users_by_day(costed: DataFrame, n: int = 10) -> DataFrame:
     """A24 for all days."""
-    return top_n(user_day_usage(costed), ["day"], [F.col("cost").desc(), F.col("user_id").asc()], n, rank="cost_rank",
-                 salt=["user_id"])
+    return top_n(user_day_usage(costed), ["day"], [F.col("cost").desc(), F.col("user_id").asc()], n, rank="cost_rank")
 
 
 def hourly_token_breaches(events: DataFrame, limit: int = USER_HOURLY_TOKENS) -> DataFrame:
@@ -107,7 +106,7 @@ def cost_alerts(costed: DataFrame, threshold: str, keys: tuple[str, ...] = ("use
 
 def keep_last(df: DataFrame, keys: tuple[str, ...], n: int, *, ts: str = "ts", order: str = "event_id") -> DataFrame:
     """K1: newest ``n`` rows per key."""
-    return top_n(df, list(keys), [F.col(ts).desc(), F.col(order).desc()], n, salt=[order])
+    return top_n(df, list(keys), [F.col(ts).desc(), F.col(order).desc()], n)
 
 
 def keep_last_overall(df: DataFrame, n: int, *, ts: str = "ts", order: str = "event_id") -> DataFrame:

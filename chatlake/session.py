@@ -17,6 +17,9 @@ SETTINGS = {
 }
 
 
+_FALLBACK = "chatlake.shared.folder"
+
+
 def local_session(cores: int | str = "*", *, shuffle_partitions: int = 8, memory: str = "8g",
                   app: str = "chatlake") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
@@ -32,11 +35,11 @@ def local_session(cores: int | str = "*", *, shuffle_partitions: int = 8, memory
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a fresh one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_FALLBACK, None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="chatlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.conf.set(_FALLBACK, folder)
     return folder
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def _decoded(files: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
-    text = F.regexp_replace(F.expr("decode(content, 'UTF-8')"), "\ufffd", "")
+    # Bytes that are not UTF-8 become a replacement character, which is then dropped.
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     return files.select(
         "path", name.alias("doc_name"), "modificationTime", "length",
         F.sha2(F.concat(F.encode("path", "UTF-8"), F.col("content")), 256).alias("doc_id"),
@@ -26,7 +27,7 @@ def text_files(spark: SparkSession, folder: str, glob: str = "*.{md,txt}") -> Da
 
 
 def text_file_stream(spark: SparkSession, folder: str, glob: str = "*.{md,txt}") -> DataFrame:
-    """The same listing as a stream of new and changed files."""
+    """The same listing as a stream of new files; a changed file counts as new under another path."""
     return _decoded(
         spark.readStream.format("binaryFile")
         .schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
