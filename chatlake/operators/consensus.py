@@ -69,8 +69,10 @@ def received_scores(candidates: DataFrame, evaluations: DataFrame) -> DataFrame:
     known = evaluations.where(F.coalesce("success", F.lit(True))).join(
         order.select("item", F.col("provider").alias("evaluator"), F.col("candidate_no").alias("evaluator_no")),
         ["item", "evaluator"]).join(sizes, "item")
+    labels = letters((F.col("n") - 1).cast("int"))
     parsed = known.select(
-        "item", "evaluator_no", F.explode(parse_scores(F.col("raw"), letters((F.col("n") - 1).cast("int")))).alias("label", "score"))
+        "item", "evaluator_no", F.explode_outer(parse_scores(F.col("raw"), labels)).alias("label", "score"),
+    ).where(F.col("label").isNotNull())
     return parsed.select("item", candidate_of(F.col("label"), F.col("evaluator_no")).alias("candidate_no"), "score")
 
 
@@ -136,9 +138,15 @@ def provider_wins(runs: DataFrame) -> DataFrame:
     return wins.withColumn("share", F.round(F.col("wins") / total, 3))
 
 
+def _entries(runs: DataFrame, column: str, schema: str, value: str) -> DataFrame:
+    """One row per provider of a JSON map; the outer form keeps the JSON from being parsed again for a filter."""
+    rows = runs.select(F.explode_outer(json_map(F.col(column), schema)).alias("provider", value))
+    return rows.where(F.col("provider").isNotNull())
+
+
 def provider_scores(runs: DataFrame) -> DataFrame:
     """A15."""
-    scores = runs.select(F.explode(json_map(F.col("all_scores"), SCORES_JSON)).alias("provider", "score"))
+    scores = _entries(runs, "all_scores", SCORES_JSON, "score")
     return scores.groupBy("provider").agg(
         F.round(F.avg(F.col("score").cast("DECIMAL(18,6)")), 1).cast("double").alias("avg_score"),
         F.count("score").alias("evaluations"))
@@ -146,7 +154,7 @@ def provider_scores(runs: DataFrame) -> DataFrame:
 
 def provider_tokens(runs: DataFrame) -> DataFrame:
     """A16."""
-    usage = runs.select(F.explode(json_map(F.col("token_usage"), TOKENS_JSON)).alias("provider", "u"))
+    usage = _entries(runs, "token_usage", TOKENS_JSON, "u")
     total = lambda field: F.sum(F.coalesce(F.col("u")[field], F.lit(0)))
     return usage.groupBy("provider").agg(
         total("prompt").alias("total_prompt"), total("completion").alias("total_completion"),
@@ -155,7 +163,7 @@ def provider_tokens(runs: DataFrame) -> DataFrame:
 
 def provider_times(runs: DataFrame) -> DataFrame:
     """Means over positive times only; providers without any are left out."""
-    t = runs.select(F.explode(json_map(F.col("provider_times"), TIMES_JSON)).alias("provider", "t"))
+    t = _entries(runs, "provider_times", TIMES_JSON, "t")
     gen, ev = F.col("t")["gen_ms"], F.col("t")["eval_ms"]
     mean = lambda c: F.coalesce(F.round(F.avg(F.when(c > 0, c)), 0), F.lit(0.0))
     return t.groupBy("provider").agg(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.operators.chunking import CHUNK_SIZE, OVERLAP, chunks
+from chatlake.session import materialise
 
 
 def index_documents(index: DataFrame) -> DataFrame:
@@ -57,7 +58,8 @@ def refresh(index: DataFrame, files: DataFrame, folder: str, *, force: bool = Fa
     planned = classify(files, current, force=force)
     latest = planned.where("action <> 'skip'").groupBy("doc_name").agg(F.max_by(F.struct("doc_id", "path", "text", "suffix"), "path").alias("f"))
     todo = latest.select("doc_name", "f.doc_id", F.col("f.path").alias("source_path"), "f.text", "f.suffix")
-    fresh = chunks(todo, size=size, overlap=overlap)
+    # Chunking is the costly step and both results read it, so it is written once.
+    fresh = materialise(chunks(todo, size=size, overlap=overlap), "fresh-chunks")
     replaced = planned.where("action = 'replace'").select("doc_name").distinct()
     result = current.join(replaced, "doc_name", "left_anti").unionByName(fresh)
     filled = fresh.select("doc_id", "doc_name").distinct().withColumn("__filled", F.lit(True))

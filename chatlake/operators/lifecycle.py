@@ -180,7 +180,7 @@ def form_lines(codes: DataFrame) -> DataFrame:
     """R8 per substance of each form: (code, substance, score, band)."""
     scores = F.from_json(F.coalesce(F.get_json_object("form_data", "$.full_data.assistScores"),
                                     F.get_json_object("form_data", "$.assistScores")), "MAP<STRING, DOUBLE>")
-    rows = codes.select("code", F.explode(scores).alias("substance", "score"))
+    rows = codes.select("code", F.explode_outer(scores).alias("substance", "score")).where(F.col("substance").isNotNull())
     return rows.withColumn("band", score_band(F.col("substance"), F.col("score")))
 
 

@@ -128,7 +128,7 @@ _LEVEL = """CASE WHEN reason = '' THEN 'none' WHEN starts_with(reason, 'high_ris
 
 @query(f"WITH r AS (SELECT conv_id, turn, {_screen_sql('text')} AS reason FROM conversations) SELECT conv_id, turn, reason <> '' AS flagged, {_LEVEL} AS level, reason FROM r")
 def injection_flags(spark, sf):
-    return S.messages(spark, sf).select("conv_id", "turn", G.screen(F.col("text")).alias("v")).select("conv_id", "turn", "v.*")
+    return spread(S.messages(spark, sf)).select("conv_id", "turn", G.screen(F.col("text")).alias("v")).select("conv_id", "turn", "v.*")
 
 
 @query(f"WITH r AS (SELECT page_id, {_screen_sql('html')} AS reason FROM pages) SELECT page_id, {_LEVEL} AS level, reason FROM r")
@@ -152,7 +152,7 @@ def prompt_cleaning(spark, sf):
 def validation(spark, sf):
     size = F.when(F.col("role") == "system", 20).otherwise(32)
     uid = F.concat(F.lit("U"), F.substring(F.sha2(F.col("conv_id").cast("string"), 256), F.lit(1), size))
-    rows = S.messages(spark, sf).withColumn("u", uid)
+    rows = spread(S.messages(spark, sf)).withColumn("u", uid)
     return rows.select("conv_id", "turn", F.array_join(G.user_message_errors(F.col("u"), F.col("text")), "; ").alias("errors"))
 
 
