@@ -60,20 +60,15 @@ def followup_status(spark, sf):
 
 _CODES = """cd AS (SELECT lpad(CAST(event_id AS VARCHAR), 6, '0') AS code, user_id, ts, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id,
  CAST(floor(value) AS BIGINT) AS v FROM events WHERE event_type = 'signup')"""
-# Activity for the silence queries ends on a day that depends on the user, so that silences differ.
-_QUIET = """qa AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-31' - to_days(CAST(user_id % 12 AS INTEGER))),
- la AS (SELECT user_id, max(ts) AS last_active FROM qa GROUP BY 1)"""
+# The silence queries look back from a week after the last events, so that some users have been silent for long.
+QUIET_AS_OF = dt.datetime(2024, 2, 6)
+_QUIET = "la AS (SELECT user_id, max(ts) AS last_active FROM events GROUP BY 1)"
 
 
-def quiet(spark, sf):
-    cut = F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(F.pmod("user_id", F.lit(12)).cast("int"))
-    return S.activity(spark, sf).where(F.col("ts") < cut)
-
-
-@query(f"""WITH {_CODES}, {_QUIET} SELECT user_id, last_active FROM la WHERE last_active < TIMESTAMP '2024-01-28' AND EXISTS
+@query(f"""WITH {_CODES}, {_QUIET} SELECT user_id, last_active FROM la WHERE last_active < TIMESTAMP '2024-01-30' AND EXISTS
  (SELECT 1 FROM cd WHERE cd.user_id = la.user_id AND k % 2 = 0)""")
 def inactive_users(spark, sf):
-    return L.inactive_users(quiet(spark, sf), S.codes(spark, sf), AS_OF, 3)
+    return L.inactive_users(S.activity(spark, sf), S.codes(spark, sf), QUIET_AS_OF, 7)
 
 
 @query(f"""WITH {_CODES} SELECT e.user_id, count(*) AS joined_rows, max(e.ts) AS last_active FROM events e JOIN cd ON cd.user_id = e.user_id AND cd.k % 2 = 0 GROUP BY 1""")
@@ -83,23 +78,22 @@ def verified_activity(spark, sf):
 
 
 @query(f"""WITH {_CODES}, {_QUIET}, reg AS (SELECT DISTINCT user_id FROM cd WHERE k % 2 = 0),
- lv AS (SELECT user_id, arg_max(CASE event_type WHEN 'error' THEN 'high' WHEN 'purchase' THEN 'medium' WHEN 'click' THEN 'unknown' ELSE 'general' END, (ts, event_id)) AS lvl FROM qa GROUP BY 1),
- b AS (SELECT la.*, lvl, date_diff('microsecond', last_active, TIMESTAMP '2024-01-31') // 86400000000 AS days_inactive FROM la JOIN lv USING (user_id) WHERE user_id IN (SELECT user_id FROM reg)),
- c1 AS (SELECT * FROM b WHERE last_active < TIMESTAMP '2024-01-28' ORDER BY last_active, user_id LIMIT 20),
- p1 AS (SELECT * FROM c1 WHERE user_id % 7 <> 0 AND lvl IN ('high', 'medium') ORDER BY last_active, user_id LIMIT 10),
- c2 AS (SELECT * FROM b WHERE last_active < TIMESTAMP '2024-01-24' ORDER BY last_active, user_id LIMIT 20),
- p2 AS (SELECT * FROM c2 WHERE user_id % 7 <> 0 AND user_id NOT IN (SELECT user_id FROM p1)),
+ lv AS (SELECT user_id, arg_max(CASE event_type WHEN 'error' THEN 'high' WHEN 'purchase' THEN 'medium' WHEN 'click' THEN 'unknown' ELSE 'general' END, (ts, event_id)) AS lvl FROM events GROUP BY 1), cool AS (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 200),
+ b AS (SELECT la.*, lvl, date_diff('microsecond', last_active, TIMESTAMP '2024-02-06') // 86400000000 AS days_inactive FROM la JOIN lv USING (user_id) WHERE user_id IN (SELECT user_id FROM reg)),
+ c1 AS (SELECT * FROM b WHERE last_active < TIMESTAMP '2024-02-03' ORDER BY last_active, user_id LIMIT 20),
+ p1 AS (SELECT * FROM c1 WHERE user_id NOT IN (SELECT user_id FROM cool) AND lvl IN ('high', 'medium') ORDER BY last_active, user_id LIMIT 10),
+ c2 AS (SELECT * FROM b WHERE last_active < TIMESTAMP '2024-01-30' ORDER BY last_active, user_id LIMIT 20),
+ p2 AS (SELECT * FROM c2 WHERE user_id NOT IN (SELECT user_id FROM cool) AND user_id NOT IN (SELECT user_id FROM p1)),
  a AS (SELECT *, 1 AS phase FROM p1 UNION ALL SELECT *, 2 FROM p2)
  SELECT user_id, last_active, lvl AS risk_level, days_inactive, CAST(phase AS INTEGER) AS phase FROM a ORDER BY phase, last_active, user_id LIMIT 10""")
 def checkins(spark, sf):
     from chatlake.functions.risk import normalise_level
     from chatlake.operators.risk import latest_level
 
-    rows = quiet(spark, sf)
-    seen = S.progress(spark, sf).join(rows.select(F.col("id").alias("event_id")), "event_id", "left_semi")
-    levels = latest_level(seen.withColumn("risk_level", normalise_level(F.col("risk_level"))), ("ts", "event_id"))
-    cooling = rows.select("user_id").distinct().where(F.pmod("user_id", F.lit(7)) == 0)
-    return L.check_ins(rows, S.codes(spark, sf), levels, cooling, AS_OF)
+    events = S.progress(spark, sf)
+    levels = latest_level(events.withColumn("risk_level", normalise_level(F.col("risk_level"))), ("ts", "event_id"))
+    cooling = scan(spark, sf, "events", (F.col("event_type") == "purchase") & (F.col("value") > 200)).select("user_id").distinct()
+    return L.check_ins(S.activity(spark, sf), S.codes(spark, sf), levels, cooling, QUIET_AS_OF)
 
 
 _REQ = "rq AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 100)"
