@@ -212,13 +212,16 @@ class _Matrix:
 
 
 def _dense_by_matrix(q: DataFrame, v: DataFrame, schema: str) -> DataFrame:
-    matrix = v.sparkSession.sparkContext.broadcast(_Matrix.of(q.toPandas()))
+    block = _Matrix.of(q.toPandas())
+    # Plain arrays travel: a broadcast is unpickled where the package may not be importable.
+    parts = (block.ids, block.rows, block.keep) if block is not None else None
+    sent = v.sparkSession.sparkContext.broadcast(parts)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = matrix.value
+        queries = _Matrix(*sent.value) if sent.value is not None else None
         for batch in batches:
-            if block is not None and len(batch):
-                yield block.best(batch)
+            if queries is not None and len(batch):
+                yield queries.best(batch)
 
     return v.mapInPandas(score, schema)
 
