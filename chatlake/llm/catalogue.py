@@ -1,4 +1,4 @@
 """All queries of this folder; importing a module registers its own."""
 
-from chatlake.llm import mixing, quality, secrets  # noqa: F401
+from chatlake.llm import language, mixing, quality, secrets, toxicity  # noqa: F401
 from chatlake.llm.registry import CHECKS, QUERIES  # noqa: F401
