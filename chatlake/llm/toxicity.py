@@ -24,8 +24,8 @@ from chatlake.llm.registry import query
 
 BITS = 20
 MAX_ROWS = 20_000
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 2.0, 1.0
-EPOCHS = 2
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 1.0
+EPOCHS = 4
 THRESHOLD = 0.3
 
 
