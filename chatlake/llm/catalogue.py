@@ -1,4 +1,4 @@
 """All queries of this folder; importing a module registers its own."""
 
-from chatlake.llm import language, media, mixing, packing, quality, repeats, secrets, tokens, toxicity  # noqa: F401
+from chatlake.llm import jaccard, language, media, mixing, packing, quality, repeats, secrets, tokens, toxicity  # noqa: F401
 from chatlake.llm.registry import CHECKS, QUERIES  # noqa: F401
