@@ -28,6 +28,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each evaluated once per row: a generator is not merged with what uses its columns, nor does a
+    filter on them move below it and evaluate them again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def id_share(doc_id: Column, parts: int) -> Column:
     """CRC-32 of the id as text modulo ``parts``; a null id counts as null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlake.functions.binding import let
-from chatlake.llm.common import SPACES, WORD, read, words
+from chatlake.llm.common import SPACES, WORD, computed, read, words
 from chatlake.llm.registry import query
 from chatlake.session import materialise
 
@@ -26,7 +26,7 @@ MAX_HOST_RATE = 0.5
 
 
 def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
-    """Words that lie in a window whose hash occurs twice or more; linear but for one sort of the repeats' text."""
+    """Words that lie in a window whose hash occurs twice or more; ``hashes`` must be a column, as it is used for every window."""
     def covered(grams: Column) -> Column:
         def by_place(pairs: Column) -> Column:
             twins = F.filter(pairs, lambda x, i: (F.get(pairs, i - 1)["h"] == x["h"]).eqNullSafe(True)
@@ -39,9 +39,9 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
         return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0).cast("long")).otherwise(
             let(F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i")))), by_place))
 
-    starts = F.sequence(F.lit(1), F.size(hashes) - (window - 1))
+    starts = F.sequence(F.lit(0), F.size(hashes) - window)
     return F.when(F.size(hashes) < window, F.lit(0).cast("long")).otherwise(
-        let(F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, window))), covered))
+        let(F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(window)])), covered))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -50,12 +50,10 @@ def measured(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     spaceless = F.length(F.regexp_replace(text, SPACES, "")).cast("long")
     symbols = (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long")
-    counts = docs.select("*", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("_hashes"), spaceless.alias("word_chars"),
-                         symbols.alias("n_symbols"), lines.alias("_lines"))
-    counts = counts.select(
-        *docs.columns, F.size("_hashes").cast("long").alias("n_words"), "word_chars", "n_symbols",
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_hashes")).alias("n_repeat_words"))
+    raw = computed(docs, _hashes=F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), word_chars=spaceless, n_symbols=symbols,
+                   _lines=lines)
+    counts = computed(raw, n_words=F.size("_hashes").cast("long"), n_repeat_words=repeated_words(F.col("_hashes")),
+                      n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_hashes", "_lines")
     return counts.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                              | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlake.functions.binding import let
-from chatlake.llm.common import read
+from chatlake.llm.common import computed, read
 from chatlake.llm.registry import query
 from chatlake.session import materialise
 
@@ -125,21 +125,21 @@ def bin_of(p: Column) -> Column:
 def scanned(docs: DataFrame) -> DataFrame:
     """The rows with ``_base`` (spans of the patterns) and ``_cands`` (spans that pass as random, with their band and bin)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    hits = docs.select("*", text.alias("_text"), *[
-        F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"_{k}")
-        for k, p in zip(KINDS, (ASSIGN, ACCESS, HEX, RANDOM), strict=True)])
+    hits = computed(docs, _text=text, **{f"_{k}": F.regexp_extract_all(text, F.lit(p), F.lit(0))
+                                         for k, p in zip(KINDS, (ASSIGN, ACCESS, HEX, RANDOM), strict=True)})
     t = F.col("_text")
     values = F.when(F.size("_assign") > 0, F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)))
-    found = hits.select(*docs.columns, spans(t, F.col("_assign"), ASSIGN, values).alias("_a"), spans(t, F.col("_access"), ACCESS).alias("_k"),
-                        spans(t, F.col("_hex"), HEX).alias("_h"), F.col("_random"), spans(t, F.col("_random"), RANDOM).alias("_r"))
+    found = computed(hits, _a=spans(t, F.col("_assign"), ASSIGN, values), _k=spans(t, F.col("_access"), ACCESS),
+                     _h=spans(t, F.col("_hex"), HEX), _r=spans(t, F.col("_random"), RANDOM))
     tag = lambda column, kind: F.transform(column, lambda x: F.struct(
         x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end")))
-    tried = F.zip_with("_random", "_r", lambda token, x: F.struct(x.alias("span"), battery(token).alias("b")))
-    cands = F.transform(F.filter(tried, lambda x: x["b"]["p_random"] >= RANDOM_LEVEL), lambda x: F.struct(
+    tried = computed(found, _b=F.zip_with("_random", "_r", lambda token, x: F.struct(x.alias("span"), battery(token).alias("b"))))
+    cands = F.transform(F.filter("_b", lambda x: x["b"]["p_random"] >= RANDOM_LEVEL), lambda x: F.struct(
         x["span"]["start"].alias("start"), x["span"]["end"].alias("end"), band(x["b"]["n"]).alias("band"), bin_of(x["b"]["p_word"]).alias("bin")))
     # The rule needs all tokens that were tried, those that fail as random included: they count with a p-value of 1.
-    return found.select(*docs.columns, F.array_sort(F.concat(tag(F.col("_a"), "assign"), tag(F.col("_k"), "access"), tag(F.col("_h"), "hex"))).alias("_base"),
-                        cands.alias("_cands"), F.transform("_random", lambda x: band(F.length(x))).alias("_tried"))
+    done = computed(tried, _base=F.array_sort(F.concat(tag(F.col("_a"), "assign"), tag(F.col("_k"), "access"), tag(F.col("_h"), "hex"))),
+                    _cands=cands, _tried=F.transform("_b", lambda x: band(x["b"]["n"])))
+    return done.select(*docs.columns, "_base", "_cands", "_tried")
 
 
 def thresholds(rows: DataFrame, share: float = FALSE_SHARE) -> list[int]:
