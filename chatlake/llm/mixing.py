@@ -28,6 +28,8 @@ POINTS = 1 << 31
 GOLDEN = 1327217885
 #: Cells by which points and stretches of weight are matched.
 CELLS = 4096
+#: With up to so many sources, their stretches are broadcast: a row for each source and each cell.
+BROADCAST_SOURCES = 100_000
 
 
 def sized(docs: DataFrame, source: str = "source") -> DataFrame:
@@ -81,12 +83,14 @@ def schedule(plan: DataFrame, passes: int = MAX_PASSES) -> DataFrame:
     cells = plan.filter("high > low").select(
         "source_no", "n_blocks", "low", "high",
         F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))).alias("cell"))
-    placed = points.join(cells, "cell").filter("point >= low AND point < high")
+    # Spark takes rows made by explode for as few as their input; without a hint it would broadcast the slots.
+    few = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    placed = points.join(cells.hint("broadcast" if few else "merge"), "cell").filter("point >= low AND point < high")
     inside = placed.withColumn("rank", F.row_number().over(Window.partitionBy("slice", "source_no").orderBy("slot")) - 1)
     counts = placed.groupBy("source_no", "slice").count()
     before = counts.select("source_no", "slice", (F.sum("count").over(
         Window.partitionBy("source_no").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("before"))
-    ranked = inside.join(before, ["slice", "source_no"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = inside.join(before.hint("merge"), ["slice", "source_no"]).withColumn("rank", F.col("rank") + F.col("before"))
     return ranked.select("slot", "source_no", (F.col("rank") % F.col("n_blocks")).alias("block"),
                          F.floor(F.col("rank") / F.col("n_blocks")).alias("pass")).filter(F.col("pass") < passes)
 
@@ -111,7 +115,7 @@ def mixed_counts(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes:
     pieces = pieces.withColumn("words", F.least(F.col("start") + F.col("size"), edge(F.col("block") + 1))
                                - F.greatest(F.col("start"), edge(F.col("block"))))
     times = schedule(plan, passes).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = (pieces.select("source_no", "block", "start", "words").join(times, ["source_no", "block"])
+    taken = (pieces.select("source_no", "block", "start", "words").join(times.hint("merge"), ["source_no", "block"])
              .groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken")))
     columns = ["doc_id", "source", "size", "source_size", "target"]
     used = placed.join(taken, ["source_no", "start"], "left").select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
