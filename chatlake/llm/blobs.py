@@ -12,13 +12,14 @@ from pyspark.sql import SparkSession
 
 #: Entries collected before rows are written; bounds a task's memory.
 FLUSH = 1 << 21
+PER_PARTITION = 4
 SCHEMA = "bucket int, keys binary, owners binary, places binary, n int"
 NAMES = ["bucket", "keys", "owners", "places", "n"]
 
 
 def bucket_count(spark: SparkSession) -> int:
-    """Four buckets for each shuffle partition, which the cluster sizes for its input."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """A few buckets for each shuffle partition, of which the cluster has as many as its input needs."""
+    return PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:

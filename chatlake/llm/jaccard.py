@@ -1,13 +1,13 @@
 """Exact Jaccard join of documents on word shingles, with count vectors in R-trees.
 
-A document is the set of its distinct shingles of five words; equal sets are one node. Shingles are hashed to 64 groups; a node's
+A document is the set of its distinct shingles of five words; equal sets are one node. Shingles are hashed to 256 groups; a node's
 point is how many of its shingles fall in each. The overlap of two nodes is at most the sum over groups of the smaller count, and at most
 the same sum against the upper corner of an R-tree's box.
 
 An R-tree over all points would be read almost whole by each query, as random points of so many dimensions lie all equally far
 apart. So nodes first meet in blocks that lose no link: of two linked nodes, the rarest quarter (and one) of either's shingles
 have one in common. Rarity is a fixed-size sketch of counts; it decides only about cost. Blocks of few nodes give their pairs; in larger
-ones each node is first paired with neighbours in random orders. Pairs whose bound allows a link are verified on the sets. Then only
+ones each node is first paired with the block's hub and with neighbours in random orders. Pairs whose bound allows a link are verified on the sets. Then only
 blocks whose nodes are not all in one component are joined in full, by R-trees over tiles of bounded size, leaving out
 pairs within a component. What comes out is every component; links inside one need not all be listed.
 
@@ -34,14 +34,14 @@ from chatlake.session import materialise
 SHINGLE = 5
 #: Two sets link when 100 times their intersection is at least this many times their union.
 PERCENT = 75
-GROUPS = 64
+GROUPS = 256
 #: Counters of the rarity sketch, as a power of two; the sketch has this size whatever the input.
 SKETCH_BITS = 19
 _CHUNKS = 32
 #: Blocks up to this size give all pairs at once.
 SMALL = 12
 #: Random orders in which the nodes of a larger block are paired with their neighbours.
-ORDERS = 4
+ORDERS = 2
 #: Nodes in one tile of a block's join, and points in one box of an R-tree.
 TILE = 1024
 LEAF = 16
@@ -123,18 +123,18 @@ def sketched(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, sketch: np.ndarray, buckets: int, percent: int = PERCENT) -> DataFrame:
-    """The rarest shingles of every node, as many as leave no link out, by bucket of the shingle."""
+    """The rarest shingles of every node, as many as leave no link out, by bucket of the shingle; the place is the set's size."""
     shift = np.uint64(64 - int(len(sketch)).bit_length() + 1)
     counters = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, size, seen = [], [], 0, set()
+        keys, owners, sizes, size, seen = [], [], [], 0, set()
         rare = counters.value
 
         def flush() -> Iterator[pa.RecordBatch]:
             k, o = np.concatenate(keys), np.concatenate(owners)
             # The bucket comes from a mixed hash, as shingles are chosen by their leading bits.
-            yield blobs.packed(mixed(k), k, o, np.zeros(len(k), np.uint32), buckets)
+            yield blobs.packed(mixed(k), k, o, np.concatenate(sizes), buckets)
 
         for step in steps(batches):
             for s in shingle_sets(step["text"]):
@@ -146,10 +146,11 @@ def blocks(docs: DataFrame, sketch: np.ndarray, buckets: int, percent: int = PER
                 rarest = s[np.lexsort((s, rare[s >> shift]))[:count]]
                 keys.append(rarest)
                 owners.append(np.full(count, node, np.int64))
+                sizes.append(np.full(count, min(len(s), 0xFFFFFFFF), np.uint32))
                 size += count
             if size >= blobs.FLUSH:
                 yield from flush()
-                keys, owners, size, seen = [], [], 0, set()
+                keys, owners, sizes, size, seen = [], [], [], 0, set()
         if size:
             yield from flush()
 
@@ -164,25 +165,26 @@ def _all_pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (base + i).ravel(), (base + j).ravel()
 
 
-def first_pairs(blocked: DataFrame) -> DataFrame:
+def first_pairs(blocked: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``a``, ``b`` (a < b) that meet in small blocks or as neighbours in large ones, and, with ``block`` set, the large blocks:
     rows ``block``, ``a`` for each node. A block is named by its members, so blocks with the same nodes count once."""
     def meet(table: pa.Table) -> pa.Table:
-        keys, owners, _ = blobs.unpacked(table, np.uint64)
+        keys, owners, sizes = blobs.unpacked(table, np.uint64)
         order = np.lexsort((owners, keys))
-        k, o = keys[order], owners[order]
+        k, o, n = keys[order], owners[order], sizes[order].astype(np.int64)
         fresh = np.append(True, (k[1:] != k[:-1]) | (o[1:] != o[:-1]))
-        k, o = k[fresh], o[fresh]
+        k, o, n = k[fresh], o[fresh], n[fresh]
         cuts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         counts = np.diff(np.append(cuts, len(k)))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for size in range(2, SMALL + 1):
             runs = cuts[counts == size]
             if len(runs):
-                members = o[(runs[:, None] + np.arange(size)).ravel()]
-                i, j = _all_pairs(np.full(len(runs), size))
-                left.append(members[i])
-                right.append(members[j])
+                members = (runs[:, None] + np.arange(size)).ravel()
+                i, j = (members[x] for x in _all_pairs(np.full(len(runs), size)))
+                near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                left.append(o[i[near]])
+                right.append(o[j[near]])
         named: dict[int, np.ndarray] = {}
         for a, size in zip(cuts[counts > SMALL].tolist(), counts[counts > SMALL].tolist(), strict=True):
             members = o[a:a + size]
@@ -209,8 +211,20 @@ def _points(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(data), "<u4").reshape(-1, GROUPS).astype(np.int64)
 
 
+def hub_pairs(large: DataFrame) -> DataFrame:
+    """Every node of a large block with the block's hub: the node that is in most large blocks, ties by a hash.
+
+    A text that many others were made from has no shingle of its own, so it is in the most blocks, and links with more of them than
+    they do with each other.
+    """
+    degree = large.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+    known = large.join(degree, "a")
+    hubs = known.groupBy("block").agg(F.max_by("a", F.struct("degree", F.xxhash64("a"))).alias("hub"))
+    return large.join(hubs, "block").filter("a != hub").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"))
+
+
 def bounded(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose sizes and summed coordinate minima allow a link."""
+    """The pairs whose sizes and summed coordinate minima allow a link, with the ``slack`` of that bound."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(
         (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "na", "nb", "pa", "pb")
@@ -220,10 +234,10 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataF
             for at in range(0, batch.num_rows, 8192):
                 part = batch.slice(at, 8192)
                 na, nb = (part[x].to_numpy(zero_copy_only=False) for x in ("na", "nb"))
-                fits = np.minimum(_points(part["pa"]), _points(part["pb"])).sum(axis=1) >= needed(na, nb, percent)
-                yield part.select(["a", "b"]).filter(pa.array(fits))
+                slack = (np.minimum(_points(part["pa"]), _points(part["pb"])).sum(axis=1) - needed(na, nb, percent)) / (na + nb)
+                yield part.select(["a", "b"]).append_column("slack", pa.array(slack)).filter(pa.array(slack >= 0))
 
-    return both.mapInArrow(keep, "a long, b long")
+    return both.mapInArrow(keep, "a long, b long, slack double")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, bound: int = BROADCAST_NODES) -> DataFrame:
@@ -240,7 +254,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int =
                     if len(s) and node_of(s) == node]  # an id may have rows with other texts
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "s"])
 
-    found = materialise(texts.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "join-sets")
+    found = materialise(texts.mapInArrow(sets, "node long, s binary"), "join-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,6 +272,20 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int =
     return both.mapInArrow(check, "a long, b long")
 
 
+def likeliest(pairs: DataFrame) -> DataFrame:
+    """Of each node's pairs, the one with the most slack, ties by a hash: one pair for each node at most."""
+    ends = pairs.select("a", "b", "slack", F.explode(F.array("a", "b")).alias("node"))
+    best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("slack", F.xxhash64("a", "b"))).alias("pair"))
+    return best.select("pair.a", "pair.b").distinct()
+
+
+def between_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose nodes are not in one component yet."""
+    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 class RTree:
     """Points packed into boxes of ``LEAF`` by size and then by their heaviest groups; two levels."""
 
@@ -299,14 +327,15 @@ def remaining_pairs(large: DataFrame, nodes: DataFrame, roots: DataFrame, percen
         points, low = _points(table["point"]), int(table["t"][0].as_py())
         own, alone = np.flatnonzero(tile == low), table["t"][0].as_py() == table["u"][0].as_py()
         rest = own if alone else np.flatnonzero(tile != low)
-        pairs: list[tuple[int, int]] = []
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(own) and len(rest):
             tree = RTree(points[rest], n[rest])
             for i in own.tolist():
-                for j in rest[tree.probe(points[i], int(n[i]), percent)].tolist():
-                    if root[i] != root[j] and (name[i] < name[j] or not alone):
-                        pairs.append((min(name[i], name[j]), max(name[i], name[j])))
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+                j = rest[tree.probe(points[i], int(n[i]), percent)]
+                j = j[(root[j] != root[i]) & ((name[j] > name[i]) | (not alone))]
+                left.append(np.minimum(name[j], name[i]))
+                right.append(np.maximum(name[j], name[i]))
+        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
 
     return keyed.groupBy("block", "t", "u").applyInArrow(join, "a long, b long").distinct()
 
@@ -319,12 +348,16 @@ def clustered(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own_id = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     nodes = materialise(rows.filter("node IS NOT NULL").groupBy("node").agg(
         F.min(own_id).alias("first_id"), F.first("n").alias("n"), F.first("point").alias("point")), "join-nodes")
-    met = materialise(first_pairs(blocks(docs, sketched(docs), blobs.bucket_count(spark), percent)), "join-blocks")
-    pairs = materialise(bounded(met.filter("block IS NULL").select("a", "b").distinct(), nodes, percent), "join-pairs")
-    links = materialise(verified(pairs, docs, nodes, percent), "join-links")
+    met = materialise(first_pairs(blocks(docs, sketched(docs), blobs.bucket_count(spark), percent), percent), "join-blocks")
+    large = materialise(met.filter("block IS NOT NULL").select("block", "a").distinct(), "join-large")
+    near = met.filter("block IS NULL").select("a", "b").unionByName(hub_pairs(large)).distinct()
+    pairs = materialise(bounded(near, nodes, percent), "join-pairs")
+    # The likeliest pair of each node joins most of a component; other pairs within it need no check then.
+    first = materialise(likeliest(pairs), "join-likely")
+    links = materialise(verified(first, docs, nodes, percent), "join-links")
     roots = materialise(components(links), "join-roots")
-    large = met.filter("block IS NOT NULL").select("block", "a").distinct()
-    more = materialise(remaining_pairs(large, nodes, roots, percent).join(pairs, ["a", "b"], "left_anti"), "join-rest")
+    rest = between_roots(pairs.join(first, ["a", "b"], "left_anti"), roots)
+    more = materialise(rest.unionByName(remaining_pairs(large, nodes, roots, percent).join(pairs, ["a", "b"], "left_anti")), "join-rest")
     if more.limit(1).count():
         roots = materialise(components(links.unionByName(verified(more, docs, nodes, percent))), "join-roots")
     firsts = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")

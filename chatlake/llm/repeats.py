@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlake.llm import blobs
-from chatlake.llm.common import gram_hashes, gram_starts, read, steps, utf8, word_hashes, word_spans
+from chatlake.llm.common import gram_hashes, gram_starts, mixed, read, steps, utf8, word_hashes, word_spans
 from chatlake.llm.registry import query
 from chatlake.session import materialise
 
@@ -63,8 +63,7 @@ class Collected:
 
 def _passed_on(owners: np.ndarray, places: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Finished entries as rows of the same form: no keys, and the buckets below zero."""
-    key = owners.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    rows = blobs.packed(key, np.zeros(len(key), np.uint8), owners, places, buckets)
+    rows = returned(owners, places, buckets).to_batches()[0]
     return rows.set_column(0, "bucket", pa.array(-1 - rows["bucket"].to_numpy(), pa.int32()))
 
 
@@ -103,6 +102,19 @@ def anchors(docs: DataFrame, buckets: int, window: int = WINDOW, block: int = BL
     return docs.mapInArrow(run, blobs.SCHEMA)
 
 
+def by_owners(table: pa.Table) -> pa.Table:
+    """One row per owner of a bucket, with all its places."""
+    _, owners, places = blobs.unpacked(table, np.uint8)
+    return pa.Table.from_batches([blobs.by_owner(owners, places, ("id", "places"))])
+
+
+def returned(owners: np.ndarray, places: np.ndarray, buckets: int) -> pa.Table:
+    """Entries on their way back to their owners, by bucket of the owner: fewer and larger rows than on the way here."""
+    buckets = max(1, buckets // blobs.PER_PARTITION ** 2)
+    key = mixed(owners.view(np.uint64))
+    return pa.Table.from_batches([blobs.packed(key, np.zeros(len(key), np.uint8), owners, places, buckets)])
+
+
 def hits(docs: DataFrame, buckets: int, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """``id`` and ``places``: runs that also occur elsewhere, at least one of the places being a reference block."""
     def meet(table: pa.Table) -> pa.Table:
@@ -117,25 +129,25 @@ def hits(docs: DataFrame, buckets: int, window: int = WINDOW, block: int = BLOCK
             block_in = np.bitwise_or.reduceat(keys[order] & np.uint32(1), cuts) > 0
             chosen = order[np.repeat((counts > 1) & block_in, counts)]
             owners, places = owners[chosen], places[chosen]
-        return pa.Table.from_batches([blobs.by_owner(owners, places, ("id", "places"))])
+        return returned(owners, places, buckets)
 
-    return anchors(docs, buckets, window, block).groupBy("bucket").applyInArrow(meet, "id long, places binary")
+    met = anchors(docs, buckets, window, block).groupBy("bucket").applyInArrow(meet, blobs.SCHEMA)
+    return met.groupBy("bucket").applyInArrow(by_owners, "id long, places binary")
 
 
 def with_lists(docs: DataFrame, lists: DataFrame, bound: int = BROADCAST_IDS) -> tuple[DataFrame, DataFrame | None]:
-    """(rows with ``lists``, rows without). Up to ``bound`` ids, the ids are broadcast to leave out the other texts before the
+    """(rows with ``places``, one list for each id, and rows without). Up to ``bound`` ids, the ids are broadcast to leave out the other texts before the
     join; beyond that the texts are dealt out by id, and the second frame is None as the first has all rows."""
-    gathered = lists.groupBy("id").agg(F.collect_list("places").alias("lists"))
-    ids = lists.select("id").distinct()
+    ids = lists.select("id")
     if ids.limit(bound + 1).count() > bound:
-        return docs.join(gathered, "id", "left"), None
+        return docs.join(lists, "id", "left"), None
     few = F.broadcast(ids)
-    return docs.join(few, "id", "left_semi").join(gathered, "id"), docs.join(few, "id", "left_anti").withColumn(
-        "lists", F.lit(None).cast("array<binary>"))
+    return docs.join(few, "id", "left_semi").join(lists, "id"), docs.join(few, "id", "left_anti").withColumn(
+        "places", F.lit(None).cast("binary"))
 
 
-def _places(lists: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(lists or ()), "<u4").astype(np.int64)
+def _places(listed: bytes | None) -> np.ndarray:
+    return np.frombuffer(listed or b"", "<u4").astype(np.int64)
 
 
 def windows(rows: DataFrame, buckets: int, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -156,8 +168,8 @@ def windows(rows: DataFrame, buckets: int, window: int = WINDOW, block: int = BL
             starts, ends, first = word_spans(raw, offsets)
             hashes = gram_hashes(word_hashes(raw, starts, ends), window)
             candidate = np.zeros(len(starts) + 1, bool)
-            for i, lists in enumerate(step["lists"].to_pylist()):
-                places, size = _places(lists), int(first[i + 1] - first[i])
+            for i, listed in enumerate(step["places"].to_pylist()):
+                places, size = _places(listed), int(first[i + 1] - first[i])
                 if size >= window and len(places):
                     edges = np.zeros(size + window, np.int32)
                     np.add.at(edges, np.maximum(places - (window - block), 0), 1)
@@ -170,7 +182,7 @@ def windows(rows: DataFrame, buckets: int, window: int = WINDOW, block: int = BL
         if own.size:
             yield from flush()
 
-    return rows.select("id", "text", "lists").mapInArrow(run, blobs.SCHEMA)
+    return rows.select("id", "text", "places").mapInArrow(run, blobs.SCHEMA)
 
 
 def later_windows(rows: DataFrame, buckets: int, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -182,9 +194,10 @@ def later_windows(rows: DataFrame, buckets: int, window: int = WINDOW, block: in
             keys, owners, places = blobs.unpacked(table, np.uint64)
             order, later = _first_of_equal(keys, owners, places)
             owners, places = owners[order[later]], places[order[later]]
-        return pa.Table.from_batches([blobs.by_owner(owners, places, ("id", "places"))])
+        return returned(owners, places, buckets)
 
-    return windows(rows, buckets, window, block).groupBy("bucket").applyInArrow(meet, "id long, places binary")
+    met = windows(rows, buckets, window, block).groupBy("bucket").applyInArrow(meet, blobs.SCHEMA)
+    return met.groupBy("bucket").applyInArrow(by_owners, "id long, places binary")
 
 
 KEPT = "id long, n_words long, n_removed long, kept_sha256 string"
@@ -198,9 +211,9 @@ def kept_words(rows: DataFrame, window: int = WINDOW, texts: bool = False) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches):
             totals, removed, digests, bodies = [], [], [], []
-            for text, lists in zip(step["text"].to_pylist(), step["lists"].to_pylist(), strict=True):
+            for text, listed in zip(step["text"].to_pylist(), step["places"].to_pylist(), strict=True):
                 found = (text or "").encode().split()
-                places = _places(lists)
+                places = _places(listed)
                 totals.append(len(found))
                 if len(places):
                     edges = np.zeros(len(found) + window + 1, np.int32)
@@ -216,7 +229,7 @@ def kept_words(rows: DataFrame, window: int = WINDOW, texts: bool = False) -> Da
             columns = [step["id"], pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(bodies, pa.string())] if texts else []), names)
 
-    return rows.select("id", "text", "lists").mapInArrow(run, schema)
+    return rows.select("id", "text", "places").mapInArrow(run, schema)
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, texts: bool = False) -> DataFrame:
