@@ -357,9 +357,12 @@ def clustered(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = materialise(verified(first, docs, nodes, percent), "join-links")
     roots = materialise(components(links), "join-roots")
     rest = between_roots(pairs.join(first, ["a", "b"], "left_anti"), roots)
-    more = materialise(rest.unionByName(remaining_pairs(large, nodes, roots, percent).join(pairs, ["a", "b"], "left_anti")), "join-rest")
-    if more.limit(1).count():
-        roots = materialise(components(links.unionByName(verified(more, docs, nodes, percent))), "join-roots")
+    far = lambda r: remaining_pairs(large, nodes, r, percent).join(pairs, ["a", "b"], "left_anti")
+    for name, left in (("join-rest", lambda r: rest), ("join-far", far)):
+        more = materialise(left(roots), name)
+        if more.limit(1).count():
+            links = links.unionByName(materialise(verified(more, docs, nodes, percent), "join-links"))
+            roots = materialise(components(links), "join-roots")
     firsts = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
     least = firsts.groupBy("root").agg(F.min("first_id").alias("component"))
     named = firsts.join(least, "root").select("node", "component")

@@ -23,6 +23,7 @@ MAX_REPEAT = 30
 WINDOW = 8
 #: Shrunk failure rate beyond which a host is blocked.
 MAX_HOST_RATE = 0.5
+BROADCAST_HOSTS = 200_000
 
 
 def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
@@ -77,9 +78,12 @@ def host_verdicts(rows: DataFrame, host: str = "source", failed: str = "base_fai
 
 
 def joined_verdicts(rows: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
-    """``rows`` with ``kept``; the host table has one row per host and the optimizer broadcasts it where it is small."""
+    """``rows`` with ``kept``. Up to ``BROADCAST_HOSTS`` hosts, their table is broadcast; beyond, the rows are dealt out by host."""
+    hosts = materialise(hosts, "hosts")
     side = hosts.select(F.coalesce("host", F.lit("")).alias("_host"), F.col("host").isNull().alias("_no_host"), "blocked")
     keyed = rows.withColumns({"_host": F.coalesce(F.col(host), F.lit("")), "_no_host": F.col(host).isNull()})
+    if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        side = F.broadcast(side)
     out = keyed.join(side, ["_host", "_no_host"], "left")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("blocked", F.lit(False))).drop("_host", "_no_host", "blocked")
 
