@@ -183,3 +183,63 @@ def document_text(bodies: Column) -> Column:
     """Section bodies as one normalised text."""
     return normalise(F.array_join(bodies, "\n"))
 
+
+
+# Where a text is split for very small chunks, from coarse to fine.
+SEPARATORS = ("\n\n", "\n", ". ", " ")
+
+
+def _grouped(parts: Column, size: int, glue: str, finer) -> Column:
+    """Texts of neighbouring parts joined while they fit in ``size``; a part that alone is too long goes through ``finer``.
+
+    The fold sees only lengths and leaves the positions at which groups begin; texts are put together once, afterwards.
+    """
+    start = F.struct(F.expr("cast(array() AS ARRAY<INT>)").alias("begins"), F.lit(size + 1).alias("fill"), F.lit(0).alias("at"))
+
+    def step(acc: Column, part: Column) -> Column:
+        grown = acc["fill"] + len(glue) + F.char_length(part)
+        return F.when(grown <= size, F.struct(acc["begins"].alias("begins"), grown.alias("fill"), (acc["at"] + 1).alias("at"))).otherwise(
+            F.struct(F.concat(acc["begins"], F.array(acc["at"])).alias("begins"), F.char_length(part).alias("fill"),
+                     (acc["at"] + 1).alias("at")))
+
+    def groups(begins: Column) -> Column:
+        def text(begin: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(begins, i + 1), F.size(parts))
+            return let(F.array_join(F.slice(parts, begin + 1, end - begin), glue),
+                       lambda t: F.when(F.char_length(t) > size, finer(t)).otherwise(F.array(t)))
+        return F.flatten(F.transform(begins, text))
+
+    return let(F.aggregate(parts, start, step, lambda acc: acc["begins"]), groups)
+
+
+def _windows(text: Column, size: int) -> Column:
+    return F.transform(_cut(text, size), strip)
+
+
+def _separated(text: Column, size: int, level: int = 0) -> Column:
+    """A too long text in groups by the coarsest separator it has; longer parts by finer ones, at last in fixed windows."""
+    if level == len(SEPARATORS):
+        return _windows(text, size)
+    glue = SEPARATORS[level]
+    finer = lambda t: _separated(t, size, level + 1)
+    parts = _non_empty(F.split(text, glue.replace(".", r"\.")))
+    return F.when(F.contains(text, F.lit(glue)), let(parts, lambda p: F.when(F.size(p) > 0, _grouped(p, size, glue, finer))
+                                                     .otherwise(_windows(text, size)))).otherwise(finer(text))
+
+
+def character_chunks(text: Column, size: int, overlap: int) -> Column:
+    """Chunks of a trimmed text by characters. Sections of second-level headings group first where there are several; with
+    ``overlap``, a chunk opens with the end of the one before it."""
+    heads = _non_empty(F.split(text, "(?m)^(?=## )"))
+    finer = lambda t: _separated(t, size)
+    long = let(heads, lambda h: F.when(F.size(h) > 1, _grouped(h, size, "\n\n", finer)).otherwise(finer(text)))
+    pieces = F.when(F.char_length(text) <= size, F.array(text)).otherwise(long)
+    if overlap <= 0:
+        return F.filter(pieces, lambda p: p != "")
+
+    def opened(all_pieces: Column) -> Column:
+        longer = F.transform(all_pieces, lambda p, i: F.when(p == "", p).when(i == 0, p).otherwise(
+            strip(F.concat(F.right(F.get(all_pieces, i - 1), F.lit(overlap)), F.lit(" "), p))))
+        return F.filter(longer, lambda p: p != "")
+
+    return let(pieces, opened)

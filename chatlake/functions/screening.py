@@ -18,23 +18,23 @@ MEDIUM_PHRASES = (
 )
 # Instruction, role, token, delimiter and prompt patterns; matched ignoring case, ^ and $ per line.
 INJECTION_PATTERNS = (
-    r"(ignore|forget|discard|override|ลืม|ละเลย|เพิกเฉย).{0,20}(previous|above|earlier|prior|ก่อนหน้า|ข้างบน|ก่อน).{0,20}(instruction|prompt|rule|command|คำสั่ง|กฎ)",
-    r"(new|different|updated|ใหม่|เปลี่ยน|อัพเดท).{0,20}(instruction|prompt|role|personality|คำสั่ง|บทบาท|บุคลิก)",
-    r"(you are now|ตอนนี้คุณคือ|คุณกลายเป็น|เปลี่ยนเป็น|ให้คุณเป็น).{0,30}(AI|assistant|chatbot|system|admin|ผู้ช่วย|บอท)",
-    r"system\s*[:：]\s*(you|คุณ)",
-    r"(act as|แสดงเป็น|ทำตัวเป็น|เล่นบทเป็น).{0,20}(AI|model|system|DAN)",
+    r"(?i)(ignore|forget|discard|override|ลืม|ละเลย|เพิกเฉย).{0,20}(previous|above|earlier|prior|ก่อนหน้า|ข้างบน|ก่อน).{0,20}(instruction|prompt|rule|command|คำสั่ง|กฎ)",
+    r"(?i)(new|different|updated|ใหม่|เปลี่ยน|อัพเดท).{0,20}(instruction|prompt|role|personality|คำสั่ง|บทบาท|บุคลิก)",
+    r"(?i)(you are now|ตอนนี้คุณคือ|คุณกลายเป็น|เปลี่ยนเป็น|ให้คุณเป็น).{0,30}(AI|assistant|chatbot|system|admin|ผู้ช่วย|บอท)",
+    r"(?i)system\s*[:：]\s*(you|คุณ)",
+    r"(?i)(act as|แสดงเป็น|ทำตัวเป็น|เล่นบทเป็น).{0,20}(AI|model|system|DAN)",
     r"###\s*(system|admin|root|override)",
     r"</?(system|assistant|user|human)>",
     r"\[(SYSTEM|ADMIN|OVERRIDE|ROOT)\]",
     r"<\|.*?\|>",
-    r"(DAN|jailbreak|bypass|unlock|jail\s*break)",
-    r"(act as|pretend to be|simulate).{0,20}(without|ignore|bypass).{0,20}(restriction|limit|rule|filter|ข้อจำกัด|กฎ)",
-    r"developer\s*mode",
+    r"(?i)(DAN|jailbreak|bypass|unlock|jail\s*break)",
+    r"(?i)(act as|pretend to be|simulate).{0,20}(without|ignore|bypass).{0,20}(restriction|limit|rule|filter|ข้อจำกัด|กฎ)",
+    r"(?i)developer\s*mode",
     r"---+\s*(end|stop|finish)\s*of\s*(prompt|instruction|คำสั่ง)",
     r"```.*?(system|instruction|prompt|คำสั่ง).*?```",
-    r"(i|me|my|ฉัน|ผม|หนู|เรา)\s+(am|is|เป็น|คือ)\s+(AI|model|assistant|chatbot|grok|ผู้ช่วย)",
-    r"(summarize|translate|analyze|วิเคราะห์|สรุป|แปล)\s+(this\s+)?(prompt|instruction|system|คำสั่ง)",
-    r"what\s+(is|are)\s+your\s+(instruction|prompt|rule|system)",
+    r"(?i)(i|me|my|ฉัน|ผม|หนู|เรา)\s+(am|is|เป็น|คือ)\s+(AI|model|assistant|chatbot|grok|ผู้ช่วย)",
+    r"(?i)(summarize|translate|analyze|วิเคราะห์|สรุป|แปล)\s+(this\s+)?(prompt|instruction|system|คำสั่ง)",
+    r"(?i)what\s+(is|are)\s+your\s+(instruction|prompt|rule|system)",
 )
 # Attempts to read the prompt back.
 LEAK_PATTERNS = (
@@ -131,7 +131,7 @@ def allowed_characters(text: Column) -> Column:
 
 def email_errors(value: Column) -> list[Column]:
     return [
-        F.when(value.isNotNull() & ~value.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s.]+$"), "email: invalid_format"),
+        F.when(value.isNotNull() & ~value.rlike(r"^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+\z"), "email: invalid_format"),
         F.when(F.char_length(value) > 254, "email: too_long"),
         F.when(_contains_any(value, UNSAFE_EMAIL), "email: dangerous_content"),
     ]

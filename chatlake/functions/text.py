@@ -228,8 +228,8 @@ def sanitise_string(text: Column, *, unicode: bool = True) -> Column:
 
 
 def safe_filename(name: Column) -> Column:
-    """Base name reduced to letters, digits, dot, underscore and hyphen."""
-    return F.regexp_replace(F.element_at(F.split(name, r"[/\\]"), -1), r"[^A-Za-z0-9._-]", "")
+    """What follows the last slash, stripped and reduced to letters and numbers of any script, dot, underscore and hyphen."""
+    return F.regexp_replace(strip(F.element_at(F.split(name, "/"), -1)), r"[^\p{L}\p{N}._-]", "")
 
 
 def json_map(text: Column, schema: str = "MAP<STRING, STRING>") -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chatlake.operators.segments import top_n
 
-# Bounds of the request parameters.
+# Bounds of the request parameters (F5). Plans apply them; operators take what they are given.
 LIMITS = {
     "lookback": (1, 180), "feed": (1, 200), "summaries": (1, 500), "users": (1, 100), "keywords": (1, 50),
     "history": (10, 200), "export": (1, 50_000),
@@ -30,7 +30,7 @@ def clamp(kind: str, value: int) -> int:
 def lookback_start(as_of: dt.datetime, days: int) -> dt.datetime:
     """midnight of the first day of the window that ends on the day of ``as_of``."""
     midnight = as_of.replace(hour=0, minute=0, second=0, microsecond=0)
-    return midnight - dt.timedelta(days=clamp("lookback", days) - 1)
+    return midnight - dt.timedelta(days=max(1, days) - 1)
 
 
 def since(df: DataFrame, *, cutoff: dt.datetime | None = None, as_of: dt.datetime | None = None,
@@ -76,12 +76,12 @@ def _counts() -> list[Column]:
 
 def feed(df: DataFrame, user_id, *, limit: int = 20, order: str = "id") -> DataFrame:
     """F6 for one user: newest first; runs as a distributed top-k."""
-    return df.where(F.col("user_id") == user_id).orderBy(F.col("ts").desc(), F.col(order).desc()).limit(clamp("feed", limit))
+    return df.where(F.col("user_id") == user_id).orderBy(F.col("ts").desc(), F.col(order).desc()).limit(limit)
 
 
 def feeds(df: DataFrame, *, limit: int = 20, order: str = "id") -> DataFrame:
     """F6 for every user: the newest rows with their position."""
-    return top_n(df, ["user_id"], [F.col("ts").desc(), F.col(order).desc()], clamp("feed", limit))
+    return top_n(df, ["user_id"], [F.col("ts").desc(), F.col(order).desc()], limit)
 
 
 def pseudonym(user_id: Column, salt: str) -> Column:
@@ -94,7 +94,7 @@ def export_rows(df: DataFrame, salt: str, *, limit: int, order: str = "id") -> D
     names = set(df.columns)
     texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("user_message", "bot_response") if c in names]
     return (
-        df.orderBy("ts", order).limit(clamp("export", limit))
+        df.orderBy("ts", order).limit(limit)
         .select(F.col(order), pseudonym(F.col("user_id"), salt).alias("user_hash"), "ts", *texts,
                 _tokens().alias("token_count"), _important().alias("important_flag"))
     )
@@ -145,7 +145,7 @@ def user_summaries(df: DataFrame) -> DataFrame:
 def newest_users(summaries: DataFrame, limit: int | None = None) -> DataFrame:
     """K5: newest first; with a limit this is a distributed top-k."""
     ordered = summaries.orderBy(F.col("last_interaction").desc(), "user_id")
-    return ordered if limit is None else ordered.limit(clamp("summaries", limit))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def user_snapshots(df: DataFrame) -> DataFrame:

@@ -6,16 +6,11 @@ chunks are produced where its row was read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.functions import chunking as C
 from chatlake.functions import text as T
-from chatlake.functions.charsplit import split_text
-from chatlake.operators.sizing import spread
 
 CHUNK_SIZE, OVERLAP = 1100, 120
 
@@ -89,31 +84,17 @@ def chunk_texts(rows: DataFrame, text: str, *, size: int = CHUNK_SIZE, overlap:
     """Add the chunk texts of a column; sizes up to 256 split by characters, larger ones by tokens."""
     size, overlap = (size if size > 0 else CHUNK_SIZE), max(0, overlap)
     trimmed = T.strip(F.coalesce(F.col(text), F.lit("")))
-    if size > 256:
-        none = F.expr("cast(array() AS ARRAY<STRING>)")
-        return rows.withColumn("__t", trimmed).withColumn(
-            name, F.when(F.col("__t") == "", none).otherwise(C.token_chunks(F.col("__t"), size, overlap))).drop("__t")
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(**{name: [split_text(t, size, overlap) for t in pdf["__t"]]}).drop(columns="__t")
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.withColumn("__t", trimmed).mapInPandas(split, f"{schema}, `{name}` array<string>")
+    none = F.expr("cast(array() AS ARRAY<STRING>)")
+    pieces = C.token_chunks if size > 256 else C.character_chunks
+    return rows.withColumn("__t", trimmed).withColumn(
+        name, F.when(F.col("__t") == "", none).otherwise(pieces(F.col("__t"), size, overlap))).drop("__t")
 
 
 def chunks(documents: DataFrame, *, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Chunk rows with metadata. Short chunks merge, low-signal ones go, the rest is renumbered."""
     names = set(documents.columns)
     keep = ["doc_id", "doc_name"] + [c for c in ("source_path", "page_start", "page_end") if c in names]
-    documents = spread(documents)
-    section = clean_sections(documents).select(*keep, F.explode("sections").alias("s")).select(
-        *keep, F.col("s.segment").alias("segment"), F.col("s.title").alias("title"), F.col("s.body").alias("body"))
-    if size > 256:
-        # Sections of a document fold into one array again, so chunk per section without an exchange.
-        pieces = _chunks_in_place(documents, keep, size, overlap)
-    else:
-        pieces = _chunks_by_segment(chunk_texts(section, "body", size=size, overlap=overlap), keep)
+    pieces = _chunks_in_place(documents, keep, size, overlap)
     content = F.col("c.content")
     profile = source_profile(F.col("doc_name"))
     path = F.col("source_path") if "source_path" in names else F.lit(None).cast("string")
@@ -144,23 +125,15 @@ def _chunk_struct(piece: Column, title: Column, segment: Column, position: Colum
 
 
 def _chunks_in_place(documents: DataFrame, keep: list[str], size: int, overlap: int) -> DataFrame:
+    """A document's chunks where its row was read; short ones merge only where sizes are tokens."""
     low, high = C.merge_bounds(C.token_limit(size))
     pages = _pages(set(documents.columns))
+    split = C.token_chunks if size > 256 else C.character_chunks
+    none = F.expr("cast(array() AS ARRAY<STRING>)")
+    pieces = lambda body: F.when(body == "", none).otherwise(split(body, size, overlap))
     per_section = F.transform("sections", lambda s: F.transform(
-        C.token_chunks(s["body"], size, overlap),
-        lambda p, i: _chunk_struct(p, s["title"], s["segment"], i, pages)))
+        pieces(s["body"]), lambda p, i: _chunk_struct(p, s["title"], s["segment"], i, pages)))
     rows = clean_sections(documents).select(*keep, F.flatten(per_section).alias("parts"))
-    merged = rows.select(*keep, C.merge_short(F.col("parts"), low, high).alias("parts"))
+    merged = rows.select(*keep, C.merge_short(F.col("parts"), low, high).alias("parts")) if size > 256 else rows
     kept = F.filter("parts", lambda c: ~T.is_low_signal(c["content"]))
     return merged.select(*keep, F.posexplode(kept).alias("chunk_index", "c"))
-
-
-def _chunks_by_segment(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """Character mode: pieces were split in Arrow batches of segments; a document's segments meet again by its id."""
-    pages = _pages(set(keep))
-    parts = F.transform("pieces", lambda p, i: _chunk_struct(p, F.col("title"), F.col("segment"), i, pages))
-    kept = rows.select(*keep, "segment", F.filter(parts, lambda c: ~T.is_low_signal(c["content"])).alias("parts"))
-    return (
-        kept.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("segment", "parts"))).alias("s"))
-        .select(*keep, F.posexplode(F.flatten(F.transform("s", lambda s: s["parts"]))).alias("chunk_index", "c"))
-    )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.functions.risk import score_band
+from chatlake.functions.text import strip
 from chatlake.operators.monitoring import throttle
 from chatlake.operators.segments import previous, running, time_segment
 
@@ -130,7 +131,7 @@ def import_codes(codes: DataFrame, incoming: DataFrame, as_of: dt.datetime) -> t
 
     ``incoming`` rows are (code, full_data) with full_data as JSON text.
     """
-    trimmed = incoming.select(F.trim(F.col("code")).alias("code"), "full_data")
+    trimmed = incoming.select(strip(F.col("code")).alias("code"), "full_data")
     good = trimmed.where(F.col("code").rlike(r"^\d{6}$"))
     bad = trimmed.where(~F.coalesce(F.col("code").rlike(r"^\d{6}$"), F.lit(False))).select("code", F.lit("invalid_code").alias("reason"))
     known = codes.select("code").distinct()

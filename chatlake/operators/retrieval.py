@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import text as T
 from chatlake.operators.segments import top_n
-from chatlake.operators.sizing import BROADCAST_ROWS, fits, spread
+from chatlake.operators.sizing import BROADCAST_ROWS, fits
 
 # Ranking constants.
 BM25_K1, BM25_B = 1.5, 0.75
@@ -55,7 +55,7 @@ def tokenised(chunks: DataFrame) -> DataFrame:
 
     Postings, frequencies and statistics all start here, so a plan using several of them reads this one exchange.
     """
-    keyed = spread(chunks).select("doc_id", "chunk_index", T.lexical_tokens(F.col("content")).alias("tokens"))
+    keyed = chunks.select("doc_id", "chunk_index", T.lexical_tokens(F.col("content")).alias("tokens"))
     return keyed.repartition("doc_id", "chunk_index")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from chatlake.functions import risk as R
 from chatlake.functions.lexicon import Lexicon
-from chatlake.functions.text import estimate_tokens
+from chatlake.functions.text import estimate_tokens, strip
 from chatlake.operators.segments import top_n
 from chatlake.schemas import ALERTS
 
@@ -156,7 +156,7 @@ def risk_trend(events: DataFrame) -> DataFrame:
 def top_keywords(events: DataFrame, lexicon: Lexicon, k: int = 10, order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """Keywords by count, shown in their first spelling, classed by lexicon level."""
     # The outer form spares the optimizer's "not empty" filter, which would score the messages a second time.
-    words = events.select(*order, F.explode_outer("keywords").alias("w")).select(*order, F.trim("w").alias("w")).where("w <> ''")
+    words = events.select(*order, F.explode_outer("keywords").alias("w")).select(*order, strip(F.col("w")).alias("w")).where("w <> ''")
     counted = words.groupBy(F.lower("w").alias("key")).agg(
         F.count(F.lit(1)).alias("uses"), F.min_by("w", F.struct(*order)).alias("keyword"))
     level = (

@@ -17,12 +17,3 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast for a relation within the bound; otherwise leave the join to the optimizer."""
     return F.broadcast(df) if fits(df, rows) else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy text work every core: a scan with fewer splits than cores is dealt out once.
-
-    A table with many row groups already has the parallelism and is left where it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -15,6 +15,7 @@ from chatlake.operators import risk as K
 def insights(activity: DataFrame, progress: DataFrame, follow_ups: DataFrame, as_of: dt.datetime, *, days: int = 30,
              users: int = 20, keywords: int = 10, lexicon: Lexicon = DEFAULT, order: str = "event_id") -> dict[str, DataFrame]:
     """Panels stay separate lazy frames; the window predicate reaches every scan."""
+    days = N.clamp("lookback", days)
     window = N.since(activity, as_of=as_of, days=days)
     events = N.since(progress, as_of=as_of, days=days)
     summaries = N.user_summaries(window)
@@ -30,7 +31,7 @@ def insights(activity: DataFrame, progress: DataFrame, follow_ups: DataFrame, as
 
 def consensus_stats(runs: DataFrame, as_of: dt.datetime, days: int = 30) -> dict[str, DataFrame]:
     """Panels of the consensus log."""
-    window = N.since(runs, as_of=as_of, days=days)
+    window = N.since(runs, as_of=as_of, days=N.clamp("lookback", days))
     return {
         "summary": C.summary(window), "provider_wins": C.provider_wins(window), "provider_scores": C.provider_scores(window),
         "provider_tokens": C.provider_tokens(window), "provider_times": C.provider_times(window),

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from chatlake.operators import chunking as H
 from chatlake.operators import retrieval as Q
-from chatlake.operators.sizing import spread
 from chatlake.plans import hybrid
 from chatlake.plans.registry import query
 from chatlake.session import materialise
@@ -168,7 +167,7 @@ def hybrid_documents(spark, sf):
 @query()
 def hybrid_search(spark, sf):
     """Flagship: the whole path from cleaned documents over chunks and both indexes to formatted sources."""
-    chunks = materialise(H.chunks(spread(S.corpus(spark, sf))), "chunks")
+    chunks = materialise(H.chunks(S.corpus(spark, sf)), "chunks")
     return hybrid.search(S.search_queries(spark, sf), chunks, S.chunk_vectors(spark, sf), S.query_vectors(spark, sf),
                          expansions=PROBE_EXPANSIONS)
 

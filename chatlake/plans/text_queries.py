@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from chatlake.functions import screening as G
 from chatlake.functions import text as T
 from chatlake.operators import chunking as H
-from chatlake.operators.sizing import spread
 from chatlake.plans.registry import query
 from chatlake.plans.risk_queries import tokens_sql
 from chatlake.sources import adapters as S
@@ -30,7 +29,7 @@ _TOK = r"len(regexp_extract_all({t}, '[A-Za-z0-9_]+|[\x{{0E00}}-\x{{0E7F}}]'))"
 
 
 def corpus(spark, sf):
-    return spread(S.corpus(spark, sf))
+    return S.corpus(spark, sf)
 
 
 @query(f"SELECT doc_id, array_to_string({_lines('text')}, chr(10)) AS body FROM documents")
@@ -69,7 +68,7 @@ def token_counts(spark, sf):
  b AS (SELECT page_id, regexp_replace(regexp_replace(h, '<[^>]*>', '', 'g'), '&(#?[A-Za-z0-9]+;)', chr(57346) || '\1', 'g') AS h FROM a)
  SELECT page_id, translate(replace(replace(replace(h, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(57344) || chr(57345) || chr(57346), '<>&') AS body FROM b""")
 def html_strip(spark, sf):
-    return spread(S.raw_html(spark, sf)).select("page_id", T.sanitise_html(F.col("html")).alias("body"))
+    return S.raw_html(spark, sf).select("page_id", T.sanitise_html(F.col("html")).alias("body"))
 
 
 @query(r"""WITH p AS (SELECT conv_id, turn, 'Assistant: <|x|>' || text || chr(10) || chr(10) || chr(10) || chr(10) || '<|start_header_id|>y<|end_header_id|> end' AS t FROM conversations),
@@ -102,9 +101,13 @@ def id_and_time_formats(spark, sf):
     return scan(spark, sf, "events").select("event_id", T.is_user_id(uid).alias("valid"), T.epoch_text(seconds).alias("shown"))
 
 
-@query(r"""SELECT page_id, regexp_replace(list_extract(regexp_split_to_array(url, '[/\\]'), -1), '[^A-Za-z0-9._-]', '', 'g') AS file_name FROM pages""")
+@query(r"""
+SELECT page_id, regexp_replace(list_extract(string_split(translate(url, 'aeiou?', 'ไทéß中\ '), '/'), -1), '[^\p{L}\p{N}._-]', '', 'g') AS file_name
+FROM pages""")
 def safe_file_names(spark, sf):
-    return S.raw_html(spark, sf).select("page_id", T.safe_filename(F.col("url")).alias("file_name"))
+    """T13 over names with letters of several scripts and back slashes, made from the addresses."""
+    names = F.translate("url", "aeiou?", "ไทéß中\\ ")
+    return S.raw_html(spark, sf).select("page_id", T.safe_filename(names).alias("file_name"))
 
 
 def _re2(pattern: str) -> str:
@@ -128,19 +131,19 @@ _LEVEL = """CASE WHEN reason = '' THEN 'none' WHEN starts_with(reason, 'high_ris
 
 @query(f"WITH r AS (SELECT conv_id, turn, {_screen_sql('text')} AS reason FROM conversations) SELECT conv_id, turn, reason <> '' AS flagged, {_LEVEL} AS level, reason FROM r")
 def injection_flags(spark, sf):
-    return spread(S.messages(spark, sf)).select("conv_id", "turn", G.screen(F.col("text")).alias("v")).select("conv_id", "turn", "v.*")
+    return S.messages(spark, sf).select("conv_id", "turn", G.screen(F.col("text")).alias("v")).select("conv_id", "turn", "v.*")
 
 
 @query(f"WITH r AS (SELECT page_id, {_screen_sql('html')} AS reason FROM pages) SELECT page_id, {_LEVEL} AS level, reason FROM r")
 def page_screening(spark, sf):
-    return spread(S.raw_html(spark, sf)).select("page_id", G.screen(F.col("html")).alias("v")).select("page_id", "v.level", "v.reason")
+    return S.raw_html(spark, sf).select("page_id", G.screen(F.col("html")).alias("v")).select("page_id", "v.level", "v.reason")
 
 
 @query(rf"""WITH a AS (SELECT page_id, regexp_replace(html, '---+|===+|###', ' ', 'g') AS t FROM pages),
  b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?s)```.*?```', '[code removed]', 'g'), '</?(?:system|user|assistant|human)>', '', 'gi'), '<\|[^\n]*?\|>', '', 'g') AS t FROM a)
  SELECT page_id, trim(regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '[{_WS}]{{3,}}', '  ', 'g'), {_TRIM}) AS body FROM b""")
 def prompt_cleaning(spark, sf):
-    return spread(S.raw_html(spark, sf)).select("page_id", G.clean_prompt(F.col("html")).alias("body"))
+    return S.raw_html(spark, sf).select("page_id", G.clean_prompt(F.col("html")).alias("body"))
 
 
 @query(rf"""WITH m AS (SELECT conv_id, turn, text, 'U' || substr(sha256(CAST(conv_id AS VARCHAR)), 1, CASE WHEN role = 'system' THEN 20 ELSE 32 END) AS u, {_screen_sql('text')} AS reason FROM conversations)
@@ -152,7 +155,7 @@ def prompt_cleaning(spark, sf):
 def validation(spark, sf):
     size = F.when(F.col("role") == "system", 20).otherwise(32)
     uid = F.concat(F.lit("U"), F.substring(F.sha2(F.col("conv_id").cast("string"), 256), F.lit(1), size))
-    rows = spread(S.messages(spark, sf)).withColumn("u", uid)
+    rows = S.messages(spark, sf).withColumn("u", uid)
     return rows.select("conv_id", "turn", F.array_join(G.user_message_errors(F.col("u"), F.col("text")), "; ").alias("errors"))
 
 

@@ -35,9 +35,13 @@ def local_session(cores: int | str = "*", *, shuffle_partitions: int = 8, memory
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder named in ``spark.checkpoint.dir``. Where it is unset, local mode gets a temporary folder; a cluster must name
+    one, as its executors do not share local folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_FALLBACK, None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="chatlake-")
         spark.conf.set(_FALLBACK, folder)
     return folder

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import chunking as C
 from chatlake.functions import text as T
-from chatlake.functions.charsplit import split_text
 from chatlake.operators import chunking as H
 
 TOKEN = re.compile(r"[A-Za-z0-9_]+|[฀-๿]")
@@ -87,8 +86,11 @@ def test_character_mode(spark):
     for r in H.chunk_texts(df, "text", size=100, overlap=0).collect():
         assert all(0 < len(p) <= 100 for p in r.pieces)
         assert re.sub(r"\s|\. |\.", "", "".join(r.pieces)) == re.sub(r"\s|\. |\.", "", r.text)
-    pieces = split_text("one two three four five six", 12, 4)
-    assert pieces == ["one two", " two three four".strip(), "four five six"]
+    text = spark.createDataFrame([("one two three four five six",), ("a" * 30,), ("## a b\n## " + "c d " * 6,)], "t STRING")
+    got = [r.p for r in text.select(C.character_chunks(F.col("t"), 12, 4).alias("p")).collect()]
+    assert got[0] == ["one two", "two three four", "four five six"]
+    assert got[1] == ["a" * 12, "aaaa " + "a" * 12, "aaaa " + "a" * 6]
+    assert got[2][0] == "## a b" and all(len(p) <= 17 for p in got[2])
 
 
 def test_merge(spark):
