@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlake.llm import blobs
-from chatlake.llm.common import gram_hashes, mixed, read, steps, utf8, word_hashes, word_spans
+from chatlake.llm.common import STEP_BYTES, gram_hashes, mixed, read, steps, utf8, word_hashes, word_spans
 from chatlake.llm.components import components
 from chatlake.llm.registry import query
 from chatlake.session import materialise
@@ -133,8 +133,10 @@ def blocks(docs: DataFrame, sketch: np.ndarray, buckets: int, percent: int = PER
 
         def flush() -> Iterator[pa.RecordBatch]:
             k, o = np.concatenate(keys), np.concatenate(owners)
-            # The bucket comes from a mixed hash, as shingles are chosen by their leading bits.
-            yield blobs.packed(mixed(k), k, o, np.concatenate(sizes), buckets)
+            # The bucket comes from a mixed hash, as shingles are chosen by their leading bits. Within a bucket its low half
+            # tells shingles apart; two that share it only add pairs to check.
+            k = mixed(k)
+            yield blobs.packed(k, k.astype(np.uint32), o, np.concatenate(sizes), buckets)
 
         for step in steps(batches):
             for s in shingle_sets(step["text"]):
@@ -169,7 +171,7 @@ def first_pairs(blocked: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``a``, ``b`` (a < b) that meet in small blocks or as neighbours in large ones, and, with ``block`` set, the large blocks:
     rows ``block``, ``a`` for each node. A block is named by its members, so blocks with the same nodes count once."""
     def meet(table: pa.Table) -> pa.Table:
-        keys, owners, sizes = blobs.unpacked(table, np.uint64)
+        keys, owners, sizes = blobs.unpacked(table, np.uint32)
         order = np.lexsort((owners, keys))
         k, o, n = keys[order], owners[order], sizes[order].astype(np.int64)
         fresh = np.append(True, (k[1:] != k[:-1]) | (o[1:] != o[:-1]))
@@ -248,27 +250,35 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int =
         wanted = F.broadcast(wanted)
     texts = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("first_id"), "text").join(wanted, "first_id").select("node", "text")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches):
-            rows = [(node, s.tobytes()) for node, s in zip(step["node"].to_pylist(), shingle_sets(step["text"]), strict=True)
-                    if len(s) and node_of(s) == node]  # an id may have rows with other texts
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "s"])
+            keep = [len(x) > 0 and node_of(x) == node  # an id may have rows with other texts
+                    for node, x in zip(step["node"].to_pylist(), shingle_sets(step["text"]), strict=True)]
+            kept = step.filter(pa.array(keep, pa.bool_()))
+            raw = [x.as_buffer() for x in kept["text"].cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([kept["node"], pa.array([x.size for x in raw], pa.int64()), pa.array(
+                [pa.compress(x, codec="zstd", asbytes=True) for x in raw], pa.binary())], ["node", "size", "text"])
 
-    found = materialise(texts.mapInArrow(sets, "node long, s binary"), "join-sets")
+    # Squeezed texts are a third as large as their sets of hashes, so the sets are made again at each pair.
+    found = materialise(texts.mapInArrow(chosen, "node long, size long, text binary"), "join-texts")
+
+    def sets_of(part: pa.RecordBatch, side: str) -> Iterator[np.ndarray]:
+        raw = [pa.decompress(x.as_buffer(), size, codec="zstd", asbytes=True)
+               for x, size in zip(part[f"text{side}"], part[f"size{side}"].to_pylist(), strict=True)]
+        return shingle_sets(pa.array(raw, pa.binary()).view(pa.string()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in steps(batches, "texta", STEP_BYTES // 4):
             keep = []
-            for x, y in zip(batch["sa"], batch["sb"], strict=True):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            for s, t in zip(sets_of(part, "a"), sets_of(part, "b"), strict=True):
                 small, large = (s, t) if len(s) <= len(t) else (t, s)
                 at = np.searchsorted(large, small)
                 common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
                 keep.append(common >= needed(len(s), len(t), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x: found.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+    side = lambda x: found.select(F.col("node").alias(x), F.col("size").alias(f"size{x}"), F.col("text").alias(f"text{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sizea", "texta", "sizeb", "textb")
     return both.mapInArrow(check, "a long, b long")
 
 
