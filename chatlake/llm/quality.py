@@ -96,11 +96,12 @@ def judged(docs: DataFrame, host: str = "source", limit: float = MAX_HOST_RATE)
 
 
 def filtered(docs: DataFrame, host: str = "source", limit: float = MAX_HOST_RATE) -> DataFrame:
-    """The documents that are kept, with the columns they came with. Texts are counted twice, once for the hosts and once
-    for the rows, which moves no text between tasks."""
-    hosts = host_verdicts(measured(docs.select(host, "text")), host, limit=limit)
+    """The documents that are kept, with the columns they came with. Each text is counted once: documents that pass their own
+    rules are written beside the hosts of all before hosts are added up, which moves no text between tasks."""
     rows = measured(docs.select(F.struct("*").alias("_doc"), F.col(host), F.col("text")))
-    return joined_verdicts(rows, hosts, host).filter("kept").select("_doc.*")
+    passed = F.when(~F.col("base_failed"), F.col("_doc"))
+    rows = materialise(rows.select(host, "base_failed", passed.alias("_doc")), "quality-rows")
+    return joined_verdicts(rows, host_verdicts(rows, host, limit=limit), host).filter("kept").select("_doc.*")
 
 
 @query(r"""

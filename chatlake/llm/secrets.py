@@ -178,10 +178,11 @@ def listed(column: str) -> Column:
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """The documents with each secret replaced by ``mark``; overlapping spans are replaced together. Texts are scanned twice
-    (for the thresholds and for the spans), which moves none of them between tasks. ``n_chars`` is counted anew if present."""
-    limits = thresholds(scanned(docs.select("text")))
-    rows = decided(scanned(docs.select(F.struct("*").alias("_doc"), "text")), limits)
+    """The documents with each secret replaced by ``mark``; overlapping spans are replaced together. Each text is scanned once: the
+    documents are written with their spans before thresholds are set, which moves no text between tasks. ``n_chars`` is counted
+    anew if present."""
+    rows = materialise(scanned(docs.select(F.struct("*").alias("_doc"), "text")).drop("text"), "secret-rows")
+    rows = decided(rows, thresholds(rows)).withColumn("text", F.col("_doc.text"))
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     step = lambda acc, x: F.struct(
         F.greatest(acc["pos"], x["end"]).alias("pos"), F.when(x["start"] < acc["pos"], acc["out"]).otherwise(
