@@ -3,8 +3,10 @@
 A candidate is a run of 20 or more characters of the usual encodings. Its encoding is inferred from the characters it has. Under
 "random", its symbols are uniform (chi-squared), their upper and lower halves alternate at random (runs) and neighbours are
 uncorrelated (lag 1); a candidate that fails one of the three is no secret. Under "word-like", the chi-squared value is
-noncentral and grows with the length; its lower tail is the p-value of a discovery. Benjamini and Hochberg's rule, within bands of
-length, over all documents, bounds the share of false discoveries.
+noncentral and grows with the length; its lower tail is the p-value of a discovery. A hex token must differ from two kinds of
+runs: words of its six letters, and numbers with stray letters. Digits alone have an alphabet of their own, in which a number is as
+even as a secret, so they are hardly ever discoveries. Benjamini and Hochberg's rule, within bands of length, over all documents,
+bounds the share of false discoveries.
 
 Null and empty texts have no spans. Rows are judged one by one, repeated or not; the rule counts repeats. An empty table gives no
 rows. Offsets are code points, ends exclusive. Columns other than the text are never read; ``redacted`` keeps them.
@@ -29,12 +31,16 @@ MIN_VALUE = 8
 KINDS = ("assign", "access", "hex", "random")
 #: Alphabets in the order they are tried: name, pattern, symbols.
 ALPHABETS = (
-    ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", 16), ("lower", r"^[a-z]+$", 26), ("upper", r"^[A-Z]+$", 26),
+    ("digits", r"^[0-9]+$", 10), ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", 16), ("lower", r"^[a-z]+$", 26), ("upper", r"^[A-Z]+$", 26),
     ("base32", r"^[A-Z2-7]+=*$", 32), ("lower36", r"^[a-z0-9]+$", 36), ("upper36", r"^[A-Z0-9]+$", 36),
     ("alnum", r"^[A-Za-z0-9]+$", 62), ("base64", r"", 64),
 )
-#: Chance that two characters of a word-like text are equal.
+#: Chance that two characters of a word-like text are equal: any letters, and by size of the alphabet where it holds few of them
+#: (numbers have even digits; a to f keep their frequencies in text).
 TEXT_COINCIDENCE = 0.066
+COINCIDENCE = {10: 0.1, 16: 0.26}
+#: Share of letters in a hex-like run that is a number.
+STRAY_LETTERS = 0.03
 RANDOM_LEVEL = 0.01
 FALSE_SHARE = 0.01
 BANDS = (32, 48, 64, 128)
@@ -69,6 +75,13 @@ def normal_cdf(z: Column) -> Column:
     return 1 / (1 + F.exp(-1.5976 * bounded - 0.070566 * bounded * bounded * bounded))
 
 
+def number_like(letters: Column, n: Column) -> Column:
+    """Chernoff's bound of the chance that a number of ``n`` characters has so many stray letters."""
+    share, rest = letters / n, (n - letters) / n
+    part = lambda x, of: F.when(x > 0, x * F.log(F.greatest(x, F.lit(1e-9)) / of)).otherwise(0.0)
+    return F.when(share <= STRAY_LETTERS, 1.0).otherwise(F.exp(-n * (part(share, STRAY_LETTERS) + part(rest, 1 - STRAY_LETTERS))))
+
+
 def battery(token: Column) -> Column:
     """Struct of ``n``, ``p_random`` (the smallest of the three tests, times three) and ``p_word`` for a token."""
     body = F.rtrim(token, F.lit("="))
@@ -97,8 +110,12 @@ def battery(token: Column) -> Column:
                 var = (mu - 1) * (mu - 2) / (n - 1)
                 z_runs = F.when(var > 1e-9, (v["changes"] + 1 - mu) / F.sqrt(F.greatest(var, F.lit(1e-9)))).otherwise(30.0)
                 z_serial = F.when(v["dev"] > 1e-9, v["co"] / F.greatest(v["dev"], F.lit(1e-9)) * F.sqrt(n)).otherwise(30.0)
-                shift = n * (k * TEXT_COINCIDENCE - 1)
-                word = normal_cdf((v["chi"] - df - shift) / F.sqrt(2 * df + 4 * shift))
+                rate = F.lit(TEXT_COINCIDENCE)
+                for size, own in COINCIDENCE.items():
+                    rate = F.when(k == size, F.lit(own)).otherwise(rate)
+                shift = n * (k * rate - 1)
+                even = normal_cdf((v["chi"] - df - shift) / F.sqrt(2 * df + 4 * shift))
+                word = F.when(k == 16, F.greatest(even, x["number"])).otherwise(even)
                 worst = F.least(1 - normal_cdf(z_chi), 2 * normal_cdf(-F.abs(z_runs)), 2 * normal_cdf(-F.abs(z_serial)))
                 return F.struct(n.cast("int").alias("n"), F.least(F.lit(1.0), 3 * worst).alias("p_random"), word.alias("p_word"))
 
@@ -106,9 +123,10 @@ def battery(token: Column) -> Column:
 
         return let(F.struct(mean.alias("m"), squares.alias("sq"), pairs.alias("pairs")), last)
 
-    chars = F.split(body, "")
-    return let(F.struct(chars.alias("chars"), F.transform(chars, lambda c: F.ascii(c).cast("double")).alias("codes"),
-                        k.alias("k"), F.length(body).cast("double").alias("n")), tests)
+    chars, n = F.split(body, ""), F.length(body).cast("double")
+    letters = F.length(F.translate(body, "0123456789", "")).cast("double")
+    return let(F.struct(number_like(letters, n).alias("number"), chars.alias("chars"), F.transform(chars, lambda c: F.ascii(c).cast("double")).alias("codes"),
+                        k.alias("k"), n.alias("n")), tests)
 
 
 def band(n: Column) -> Column:

@@ -119,6 +119,23 @@ def test_secrets(docs, spark):
     assert sum("[secret]" in r.text for r in found[:30]) >= 24 and not any("[secret]" in r.text for r in found[30:])
 
 
+def test_hex_secrets(spark):
+    """Keys of 16 symbols in both cases and of all lengths, among words, numbers and runs of the same symbols that are none."""
+    rng = random.Random(2)
+    keys = ["".join(rng.choice(digits) for _ in range(n)) for digits in ("0123456789abcdef", "0123456789ABCDEF")
+            for n in (20, 22, 24, 26, 28, 31, 32, 40, 64, 128) for _ in range(6)]
+    digits = ["".join(rng.choice("0123456789") for _ in range(n)) for n in (20, 24, 28, 31, 32, 40, 64, 128) for _ in range(5)]
+    others = ["deadbeef" * 4, "DEADBEEF" * 3, "facadedecadebeadedfacebedface", "0123456789ABCDEF" * 2, "00000000000000000000FF", "20240105123456789012A",
+              "theonationing" * 2, "theonationing" * 5, "einschachverschlichkeiten", "ACCEDEDFACADEDEFACEDBEADED"] + [x for x in digits if len(x) < 32]
+    texts = [f"value {x} end" for x in keys + others] + [f"value {x.replace('0', '7')} end" for x in digits]
+    rows = secrets.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r.spans for r in secrets.decided(rows, secrets.thresholds(rows)).select("doc_id", secrets.listed("_spans").alias("spans")).collect()}
+    found = [f"random:6:{6 + len(x)}" in got[i] for i, x in enumerate(keys)]
+    for part in (range(36), range(36, 60), range(60, 96), range(96, 120)):  # lower and upper case, under 32 characters and longer
+        assert sum(found[i] for i in part) >= 0.85 * len(part)
+    assert not any("random" in got[i] for i in range(len(keys), len(texts)))
+
+
 def test_jaccard(docs):
     got = jaccard.clustered(docs).collect()
     sets = {}
