@@ -181,10 +181,10 @@ def encoded(payload: bytes) -> bytes:
     return b"".join((tag, _frame(index, table, _LENGTH[index] - _HEAD), *frames))
 
 
-def _leads_on(data: bytes, at: int, h: Header) -> bool:
-    """Whether the frame at ``at`` is followed by a frame, a closing tag or the end."""
+def _leads_on(data: bytes, at: int, h: Header, closing: int | None) -> bool:
+    """Whether the frame at ``at`` is followed by a frame, the closing tag or the end."""
     after = at + h.length
-    return after == len(data) or data[after:after + 3] == b"TAG" or (after < len(data) and header(data[after:after + 4]) is not None)
+    return after in (len(data), closing) or (after < len(data) and header(data[after:after + 4]) is not None)
 
 
 def parsed(data: bytes) -> Stream:
@@ -200,14 +200,14 @@ def parsed(data: bytes) -> Stream:
             number = body.partition(b"payload\0")[2][:12]
             out.payload_bytes = int(number) if number.isdigit() else None
         at += 10 + size + (10 if data[at + 5] & 0x10 else 0)
-    end = len(data)
-    if end - at >= 128 and data[end - 128:end - 125] == b"TAG":
-        out.tags.append("ID3v1")
-        end -= 128
+    # The place of a closing tag. Payload can have the same letters there: it is a tag only if no whole frame reaches past it.
+    end, reached = len(data), at
+    closing = end - 128 if end - at >= 128 and data[end - 128:end - 125] == b"TAG" else None
     synchronised = False
-    while at + 4 <= end:
+    while at + 4 <= end and not (synchronised and at == closing):
         h = header(data[at:at + 4])
-        if h is None or at + h.length > end or not (synchronised or _leads_on(data, at, h)):
+        sure = synchronised and not (closing is not None and h is not None and at < closing < at + h.length)
+        if h is None or at + h.length > end or not (sure or _leads_on(data, at, h, closing)):
             nearest = data.find(b"\xff", at + 1, end)
             nearest = end if nearest < 0 else nearest
             out.lost += nearest - at
@@ -233,7 +233,11 @@ def parsed(data: bytes) -> Stream:
             out.offsets.append(at)
             out.headers.append(h)
         at += h.length
+        reached = at
     out.lost += max(0, end - at)
+    if closing is not None and reached <= closing:
+        out.tags.append("ID3v1")
+        out.lost -= 128
     return out
 
 

@@ -200,6 +200,25 @@ def test_media(docs):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
 
 
+def test_media_payload_like_tag():
+    """TAG at each phase of a payload is no closing tag; one behind the frames is, also behind a cut frame."""
+    for n in (128, 576, 640, 704, 4096):
+        for phase in range(8):
+            data = (b"TAG".rjust(phase + 3, b".") + b"....." * 2)[:8] * (n // 8) if phase < 6 else (b"AG......TAG......"[8 - phase:] * n)[:n]
+            stream = media.parsed(stored := media.encoded(data))
+            assert media.decoded(stored, stream) == data and not stream.lost and stream.tags == ["ID3v2.4"]
+    for at in range(500, 640):
+        data = (b"x" * at + b"TAG" + b"x" * 640)[:640]
+        assert media.decoded(media.encoded(data)) == data
+    stored = media.encoded(b"TAG" * 600)
+    last = media.parsed(stored)
+    for tag in (b"TAG" + bytes(125), b"TAG" * 42 + b"TA"):
+        whole = media.parsed(stored + tag)
+        assert whole.tags == ["ID3v2.4", "ID3v1"] and not whole.lost and whole.offsets == last.offsets
+        cut = media.parsed(stored[:-20] + tag)
+        assert cut.tags == whole.tags and cut.offsets == last.offsets[:-1] and cut.lost == last.headers[-1].length - 20
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     import public_tokenizers
