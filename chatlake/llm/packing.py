@@ -3,7 +3,8 @@
 A document's tokens are its ids and one closing id 0. Only a longer one than a sequence is cut, into full pieces behind a first
 piece with the rest. Pieces are dealt by a hash of their document into shards of about ``SHARD`` pieces; a shard is packed in one task:
 best fit in falling order of length, then a search that moves one document, swaps one for one, or two for one, between underfull
-sequences whenever that makes the sum of squared fills larger, until sequences are empty. A shard wastes part of one sequence.
+sequences whenever that makes the sum of squared fills larger. All underfull sequences are candidates, found by their gap and the
+lengths in them; the search ends when the tokens need as many sequences as there are, or no such move is left.
 
 Null texts are empty and have the closing id alone. Repeated rows are packed one by one. An empty table gives no rows. Columns other
 than ``doc_id`` and ``text`` are never read.
@@ -11,6 +12,7 @@ than ``doc_id`` and ``text`` are never read.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +29,6 @@ from chatlake.session import materialise
 
 LENGTH = 2048
 SHARD = 16_384
-#: Steps of the local search per underfull sequence.
-EFFORT = 8
 _END = bytes(4)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -81,80 +81,142 @@ def best_fit(lengths: np.ndarray, room: int = LENGTH) -> list[list[int]]:
     return bins
 
 
+class Index:
+    """Sets of sizes, one for each bin, by the bin's fill: finds a bin in a range of fills whose set meets another, looking at all.
+
+    Sets are bits of integers; a tree over fills holds the union of each range.
+    """
+
+    def __init__(self, room: int) -> None:
+        self.width = 1 << room.bit_length()
+        self.union = [0] * (2 * self.width)
+        self.at: list[dict[int, int]] = [{} for _ in range(self.width)]
+
+    def put(self, fill: int, b: int, sizes: int) -> None:
+        self.at[fill][b] = sizes
+        node = self.width + fill
+        while node and self.union[node] | sizes != self.union[node]:
+            self.union[node] |= sizes
+            node >>= 1
+
+    def drop(self, fill: int, b: int) -> None:
+        del self.at[fill][b]
+        node, left = self.width + fill, 0
+        for sizes in self.at[fill].values():
+            left |= sizes
+        while node and self.union[node] != left:
+            self.union[node] = left
+            node >>= 1
+            left = self.union[2 * node] | self.union[2 * node + 1]
+
+    def find(self, sizes: int, low: int, high: int, but: int, fullest: bool) -> int | None:
+        """The fullest (or emptiest) bin but ``but`` whose set has one of ``sizes``."""
+        waiting = [(1, 0, self.width - 1)]
+        while waiting:
+            node, first, last = waiting.pop()
+            if last < low or first > high or not self.union[node] & sizes:
+                continue
+            if first == last:
+                found = next((b for b, own in self.at[first].items() if own & sizes and b != but), None)
+                if found is not None:
+                    return found
+                continue
+            middle = (first + last) // 2
+            halves = [(2 * node, first, middle), (2 * node + 1, middle + 1, last)]
+            waiting += halves if fullest else halves[::-1]
+        return None
+
+
 class Search:
-    """Local search over the underfull bins."""
+    """Local search over the underfull bins. A bin gives one or two items to a bin at least as full, which may hand back a smaller one.
+
+    Each open bin has the set of sizes it can give and the set it can take. When no bin that changed can give or take, no move is left.
+    """
 
     def __init__(self, lengths: np.ndarray, bins: list[list[int]], room: int) -> None:
         self.lengths, self.bins, self.room = lengths.tolist(), bins, room
         self.fill = [sum(self.lengths[i] for i in b) for b in bins]
-        self.open = {b for b, f in enumerate(self.fill) if 0 < f < room}
-
-    def shift(self, item: int, source: int, target: int) -> None:
-        size = self.lengths[item]
-        self.bins[source].remove(item)
-        self.bins[target].append(item)
-        self.fill[source] -= size
-        self.fill[target] += size
-
-    def settle(self, *changed: int) -> None:
-        """Bins that became full or empty leave the search."""
-        for b in changed:
-            if self.fill[b] in (0, self.room):
-                self.open.discard(b)
-
-    def improve(self, b: int) -> bool:
-        """One move that makes the squared fills larger by taking from bin ``b`` for a bin at least as full."""
-        own = sorted(self.bins[b], key=self.lengths.__getitem__, reverse=True)
-        fullest = sorted((x for x in self.open if x != b and self.fill[x] >= self.fill[b]), key=lambda x: -self.fill[x])[:256]
-        for item in own:  # one document moves
-            size = self.lengths[item]
-            for other in fullest:
-                if self.fill[other] + size <= self.room:
-                    self.shift(item, b, other)
-                    self.settle(b, other)
-                    return True
-        for item in own:  # one for one: a longer one goes to the fuller bin
-            size = self.lengths[item]
-            for other in fullest:
-                gap = self.room - self.fill[other]
-                best = max((i for i in self.bins[other] if 0 < size - self.lengths[i] <= gap), default=None,
-                           key=lambda i: size - self.lengths[i])
-                if best is not None:
-                    self.shift(item, b, other)
-                    self.shift(best, other, b)
-                    self.settle(b, other)
-                    return True
-        for k, x in enumerate(own):  # two for one
-            for y in own[k + 1:]:
-                size = self.lengths[x] + self.lengths[y]
-                for other in fullest[:32]:
-                    gap = self.room - self.fill[other]
-                    best = max((i for i in self.bins[other] if 0 < size - self.lengths[i] <= gap), default=None,
-                               key=lambda i: size - self.lengths[i])
-                    if best is not None:
-                        self.shift(x, b, other)
-                        self.shift(y, b, other)
-                        self.shift(best, other, b)
-                        self.settle(b, other)
-                        return True
-        return False
-
-    def run(self, effort: int = EFFORT) -> list[list[int]]:
+        self.giving, self.taking = Index(room), Index(room)
+        self.gives, self.takes = [0] * len(bins), [0] * len(bins)
+        self.givers = [(f, b) for b, f in enumerate(self.fill) if 0 < f < room]
+        self.takers: dict[int, None] = {}
+        heapq.heapify(self.givers)
+        for _, b in self.givers:
+            self.enter(b)
+
+    def enter(self, b: int) -> None:
+        gap, one, two, takes = self.room - self.fill[b], 0, 0, 0
+        span = (1 << gap) - 1 << 1
+        for size in map(self.lengths.__getitem__, self.bins[b]):
+            two |= one << size
+            one |= 1 << size
+            takes |= span << size
+        self.gives[b] = (one | two) & (1 << self.room + 1) - 1
+        self.takes[b] = takes | span
+        self.giving.put(self.fill[b], b, self.gives[b])
+        self.taking.put(self.fill[b], b, self.takes[b])
+
+    def leave(self, b: int) -> None:
+        self.giving.drop(self.fill[b], b)
+        self.taking.drop(self.fill[b], b)
+
+    def move(self, source: int, target: int) -> None:
+        """The move between two bins that shifts most."""
+        gap, best = self.room - self.fill[target], (0, 0, -1)
+        for back in (-1, *self.bins[target]):
+            less = self.lengths[back] if back >= 0 else 0
+            fitting = self.gives[source] & ((1 << gap) - 1 << less + 1)
+            if fitting and fitting.bit_length() - 1 - less > best[0]:
+                best = (fitting.bit_length() - 1 - less, fitting.bit_length() - 1, back)
+        shifted, size, back = best
+        self.leave(source)
+        self.leave(target)
+        seen: dict[int, int] = {}
+        given = [x for x in self.bins[source] if self.lengths[x] == size][:1]
+        for x in () if given else self.bins[source]:
+            if (other := seen.get(size - self.lengths[x])) is not None:
+                given = [x, other]
+                break
+            seen[self.lengths[x]] = x
+        for x in given:
+            self.bins[source].remove(x)
+            self.bins[target].append(x)
+        if back >= 0:
+            self.bins[target].remove(back)
+            self.bins[source].append(back)
+        self.fill[source] -= shifted
+        self.fill[target] += shifted
+        for b in (source, target):
+            self.takers.pop(b, None)
+            if 0 < self.fill[b] < self.room:
+                self.enter(b)
+                self.takers[b] = None
+                heapq.heappush(self.givers, (self.fill[b], b))
+
+    def improve(self) -> int | None:
+        """One move that makes the squared fills larger, of the emptiest bin that can give; the bin that gave, None if no move is left."""
+        while self.givers:
+            fill, b = self.givers[0]
+            if fill == self.fill[b]:
+                target = self.taking.find(self.gives[b], fill, self.room, b, True)
+                if target is not None:
+                    self.move(b, target)
+                    return b
+            heapq.heappop(self.givers)
+        while self.takers:
+            b = next(iter(self.takers))
+            source = self.giving.find(self.takes[b], 0, self.fill[b], b, False)
+            if source is not None:
+                self.move(source, b)
+                return source
+            del self.takers[b]
+        return None
+
+    def run(self) -> list[list[int]]:
         least = -(-sum(self.lengths) // self.room)
         used = sum(1 for f in self.fill if f)
-        steps_left = effort * max(1, len(self.open))
-        stuck: set[int] = set()
-        while used > least and steps_left > 0:
-            waiting = [b for b in self.open if b not in stuck]
-            if not waiting:
-                break
-            b = min(waiting, key=lambda x: (self.fill[x], x))
-            steps_left -= 1
-            if self.improve(b):
-                stuck.clear()
-                used -= self.fill[b] == 0
-            else:
-                stuck.add(b)
+        while used > least and (source := self.improve()) is not None:
+            used -= self.fill[source] == 0
         return [b for b in self.bins if b]
 
 

@@ -283,6 +283,28 @@ def test_search_empties_bins():
     assert len(bins) == 4 and sorted(i for b in bins for i in b) == list(range(10)) and all(lengths[b].sum() <= 10 for b in bins)
 
 
+def test_search_sees_all_bins():
+    """Room in a bin that many fuller ones precede is found; at the end no move is left between any two bins."""
+    assert len(packing.Search(np.array([99] * 300 + [50, 49]), [[i] for i in range(302)], 100).run()) == 301
+    rng = np.random.default_rng(4)
+    for low, high in ((30, 90), (50, 110), (10, 150)):
+        lengths = rng.integers(low, high, 200)
+        bins = packing.Search(lengths, packing.best_fit(lengths, 200), 200).run()
+        assert sorted(i for b in bins for i in b) == list(range(200)) and all(lengths[b].sum() <= 200 for b in bins)
+        if len(bins) == -(-lengths.sum() // 200):
+            continue
+        for b in bins:
+            sizes = lengths[b].tolist()
+            given = sizes + [x + y for i, x in enumerate(sizes) for y in sizes[i + 1:]]
+            for other in bins:
+                fill = lengths[other].sum()
+                if other is not b and fill >= sum(sizes):
+                    assert not any(0 < g - back <= 200 - fill for g in given for back in (0, *lengths[other].tolist()))
+    lengths = np.random.default_rng(1).integers(300, 901, 4096)
+    start = packing.best_fit(lengths, 2048)
+    assert sum(1 for b in start if lengths[b].sum() < 2048) > 256 and len(packing.Search(lengths, start, 2048).run()) < len(packing.best_fit(lengths, 2048))
+
+
 def test_language(spark):
     rows = [(i, " ".join(random.Random(i).choices(["der", "und", "nicht", "schön"] if i % 2 else ["the", "and", "of", "which"], k=40)), "de" if i % 2 else "en")
             for i in range(60)] + [(90, None, "en"), (91, "123 ...", None), (None, "the and of the", None)]
