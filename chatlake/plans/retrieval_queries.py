@@ -159,6 +159,7 @@ def diverse_topk(spark, sf):
  SELECT query_id, doc_id, CAST(position AS INTEGER) AS position, line, round(round(score, 9), 4) AS score, round(round(dense_norm, 9), 4) AS dense_score,
  round(round(lexical_norm, 9), 4) AS lexical_score FROM us WHERE position = 1 OR used <= 4000""")
 def hybrid_documents(spark, sf):
+    """Whole documents, each its only chunk. Documents without a stored vector have the lexical leg alone."""
     rows = hybrid.search(S.search_queries(spark, sf), S.document_chunks(spark, sf), S.chunk_vectors(spark, sf),
                          S.query_vectors(spark, sf), max_chars=4000, expansions=PROBE_EXPANSIONS)
     return rows.select("query_id", "doc_id", "position", "line", "score", "dense_score", "lexical_score")
@@ -166,7 +167,10 @@ def hybrid_documents(spark, sf):
 
 @query()
 def hybrid_search(spark, sf):
-    """Flagship: the whole path from cleaned documents over chunks and both indexes to formatted sources."""
+    """Flagship: the whole path from cleaned documents over chunks and both indexes to formatted sources.
+
+    There is one stored vector to a document: it stands for the first chunk, and later chunks have the lexical leg alone.
+    """
     chunks = materialise(H.chunks(S.corpus(spark, sf)), "chunks")
     return hybrid.search(S.search_queries(spark, sf), chunks, S.chunk_vectors(spark, sf), S.query_vectors(spark, sf),
                          expansions=PROBE_EXPANSIONS)
