@@ -3,7 +3,8 @@
 ``encoded`` stores bytes as a variable-bitrate stream: an ID3v2 tag with the payload's length, an information frame with the
 frame count, the byte count and a table of 100 seek points, then mono frames with a CRC, each of the smallest bitrate whose main data holds
 what is left. ``parsed`` reads any stream: it skips tags, looks for a header whose frame length leads to another header (or the end),
-verifies the CRC of protected frames, and gives exact durations in samples and the offset of every frame.
+verifies the CRC of protected frames of all layers, reads the table of variable-bitrate streams (Xing, Info or VBRI), and gives exact
+durations in samples and the offset of every frame.
 
 Null text counts as empty; its payload is 64 zero bytes. Equal texts give equal values; repeated rows are worked on one by one. An
 empty table gives no rows. A stream without frames has no duration; bytes between frames are counted as lost, not guessed at.
@@ -34,6 +35,9 @@ KBITS = {
 }
 HERTZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 CRC_START, CRC_POLYNOMIAL = 0xFFFF, 0x8005
+#: Layer II: bits of each subband's allocation, by table: (bits, subbands) in order.
+ALLOCATION = {"a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)),
+              "low": ((4, 4), (3, 7), (2, 19))}
 
 #: What ``encoded`` writes: MPEG-1 Layer III, mono, 44.1 kHz, protected.
 _SIDE = 17
@@ -54,10 +58,15 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
-def crc16(data: bytes) -> int:
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The checksum of all bytes, or of the first ``bits`` bits."""
+    whole, rest = divmod(8 * len(data) if bits is None else bits, 8)
     value = CRC_START
-    for byte in data:
+    for byte in data[:whole]:
         value = (value << 8 & 0xFFFF) ^ _CRC[value >> 8 ^ byte]
+    for k in range(rest):
+        bit = data[whole] >> 7 - k & 1 ^ value >> 15
+        value = (value << 1 & 0xFFFF) ^ CRC_POLYNOMIAL * bit
     return value
 
 
@@ -71,6 +80,8 @@ class Header:
     mono: bool
     length: int
     samples: int
+    #: First subband that joint stereo stores once for both channels; 32 without joint stereo.
+    bound: int = 32
 
     @property
     def side(self) -> int:
@@ -80,6 +91,39 @@ class Header:
         return (17 if self.mono else 32) if self.version == 3 else (9 if self.mono else 17)
 
 
+def allocation(h: Header) -> list[int]:
+    """Layer II: bits of the allocation of each subband."""
+    each = h.kbits if h.mono else h.kbits // 2
+    if h.version != 3:
+        table = "low"
+    elif 56 <= each and (h.hertz == 48000 or each <= 80):
+        table = "a"
+    elif each >= 96:
+        table = "b"
+    else:
+        table = "d" if h.hertz == 32000 else "c"
+    return [bits for bits, n in ALLOCATION[table] for _ in range(n)]
+
+
+def guarded(h: Header, body: bytes) -> int | None:
+    """Bits behind the checksum that it covers: side information of Layer III, allocation of I, allocation and scale factor selection
+    of II. None if they do not fit the frame."""
+    if h.layer == 3:
+        bits = 8 * h.side
+    elif h.layer == 1:
+        bits = 4 * (32 if h.mono else 32 + h.bound)
+    else:
+        stream, bits, chosen = int.from_bytes(body, "big"), 0, 0
+        for band, width in enumerate(allocation(h)):
+            shared = band >= h.bound
+            for _ in range(1 if h.mono or shared else 2):
+                value = stream >> max(0, 8 * len(body) - bits - width) & (1 << width) - 1
+                bits += width
+                chosen += 0 if not value else 2 if shared and not h.mono else 1
+        bits += 2 * chosen
+    return bits if bits <= 8 * len(body) else None
+
+
 _HEADERS: dict[bytes, Header | None] = {}
 
 
@@ -102,16 +146,22 @@ def _header(four: bytes) -> Header | None:
     kbits, hertz, pad = KBITS[version == 3, layer][rate], HERTZ[version][speed], four[2] >> 1 & 1
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 3 else 1152
     length = (12 * kbits * 1000 // hertz + pad) * 4 if layer == 1 else samples // 8 * kbits * 1000 // hertz + pad
-    return Header(version, layer, not four[1] & 1, kbits, hertz, four[3] >> 6 == 3, length, samples)
+    bound = 4 * ((four[3] >> 4 & 3) + 1) if four[3] >> 6 == 1 else 32
+    return Header(version, layer, not four[1] & 1, kbits, hertz, four[3] >> 6 == 3, length, samples, bound)
 
 
 @dataclass
 class Stream:
     tags: list[str] = field(default_factory=list)
     payload_bytes: int | None = None
+    table: str | None = None
     table_frames: int | None = None
     table_bytes: int | None = None
+    #: Xing and Info: 100 places in 256ths of the bytes.
     table_seek: bytes = b""
+    #: VBRI: bytes of each step, and frames in one.
+    table_steps: list[int] = field(default_factory=list)
+    table_step_frames: int | None = None
     offsets: list[int] = field(default_factory=list)
     headers: list[Header] = field(default_factory=list)
     checked: int = 0
@@ -215,12 +265,15 @@ def parsed(data: bytes) -> Stream:
             continue
         synchronised = True
         start = at + 4 + 2 * h.protected
-        if h.protected and h.layer == 3:
+        if h.protected:
             out.checked += 1
-            stored = data[at + 4:at + 6]
-            out.bad_checks += crc16(data[at + 2:at + 4] + data[start:start + h.side]).to_bytes(2, "big") != stored
+            body = data[start:start + h.side] if h.layer == 3 else data[start:min(start + 64, at + h.length)]
+            bits = guarded(h, body)
+            out.bad_checks += bits is None or crc16(data[at + 2:at + 4] + body, 16 + bits).to_bytes(2, "big") != data[at + 4:at + 6]
         info = start + h.side
-        if not out.headers and out.table_frames is None and data[info:info + 4] in (b"Xing", b"Info"):
+        first = not out.headers and out.table is None and h.layer == 3
+        if first and data[info:info + 4] in (b"Xing", b"Info"):
+            out.table = data[info:info + 4].decode()
             flags, place = int.from_bytes(data[info + 4:info + 8], "big"), info + 8
             if flags & 1:
                 out.table_frames = int.from_bytes(data[place:place + 4], "big")
@@ -229,6 +282,11 @@ def parsed(data: bytes) -> Stream:
             if flags & 4:
                 begin = place + 4 * (flags & 1) + 2 * (flags & 2)
                 out.table_seek = data[begin:begin + 100]
+        elif first and data[at + 36:at + 40] == b"VBRI" and h.length >= 62:
+            out.table = "VBRI"
+            out.table_bytes, out.table_frames, n, scale, width, out.table_step_frames = struct.unpack(">IIHHHH", data[at + 46:at + 62])
+            places = range(at + 62, min(at + 62 + n * width, at + h.length - width + 1), width or 1)
+            out.table_steps = [scale * int.from_bytes(data[x:x + width], "big") for x in places]
         else:
             out.offsets.append(at)
             out.headers.append(h)
@@ -267,7 +325,9 @@ def feature(stream: Stream) -> str:
 
 
 SCHEMA = ("doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-          "media_sha256 string, feature string, duration_samples long, sample_rate int, n_frames int, bad_checks int")
+          "media_sha256 string, feature string, duration_samples long, sample_rate int, n_frames int, bad_checks int, "
+          "frame_offsets array<long>, table_kind string, table_frames long, table_bytes long, table_seek array<int>, "
+          "table_steps array<long>, table_step_frames int")
 
 
 def media_rows(docs: DataFrame) -> DataFrame:
@@ -293,9 +353,11 @@ def described(media: DataFrame) -> DataFrame:
                 payload = decoded(data, stream)
                 rows.append((doc_id, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data),
                              hashlib.sha256(data).hexdigest(), feature(stream), stream.samples, stream.hertz, len(stream.headers),
-                             stream.bad_checks))
+                             stream.bad_checks, stream.offsets, stream.table, stream.table_frames, stream.table_bytes,
+                             list(stream.table_seek), stream.table_steps, stream.table_step_frames))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(),
-                     pa.int32(), pa.int32(), pa.int32()]
+                     pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.int64(),
+                     pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32()]
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 

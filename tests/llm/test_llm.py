@@ -219,6 +219,60 @@ def test_media_payload_like_tag():
         assert cut.tags == whole.tags and cut.offsets == last.offsets[:-1] and cut.lost == last.headers[-1].length - 20
 
 
+def test_media_index(docs):
+    """Stored offsets lead to every frame, and the table is stored; the digest in the feature is that of the offsets."""
+    for r, d in zip(media.described(media.media_rows(docs)).orderBy("doc_id").collect(), docs.orderBy("doc_id").collect(), strict=True):
+        data = media.encoded(media.padded(d.text)[1])
+        assert len(r.frame_offsets) == r.n_frames == r.table_frames and r.table_kind == "Xing" and len(r.table_seek) == 100
+        lengths = [media.header(data[x:x + 4]).length for x in r.frame_offsets]
+        assert [x + n for x, n in zip(r.frame_offsets, lengths, strict=True)] == [*r.frame_offsets[1:], len(data)]
+        assert r.table_bytes == len(data) - data.index(b"\xff\xfa") and r.table_steps == [] and r.table_step_frames is None
+        assert r.feature.endswith(f"index={zlib.crc32(np.array(r.frame_offsets, '<i8').tobytes()):08x}")
+
+
+def crc_of_bits(bits):
+    value = 0xFFFF
+    for b in bits:
+        value = (value << 1 ^ (0x8005 if int(b) ^ value >> 15 else 0)) & 0xFFFF
+    return value.to_bytes(2, "big")
+
+
+def test_media_layers_and_vbri():
+    """Checksums of Layers I and II cover their allocation; in II the selection of scale factors too. VBRI tables are read."""
+    bits = lambda data: "".join(f"{x:08b}" for x in data)
+    rng = random.Random(8)
+    # Second to fourth byte, and bits behind the checksum that count: Layer I mono, stereo, joint from band 8.
+    for head, covered in ((b"\xfe\x50\xc0", 128), (b"\xfe\x50\x00", 256), (b"\xfe\x50\x50", 160)):
+        frame = bytearray(b"\xff" + head + b"\0\0" + rng.randbytes(media.header(b"\xff" + head).length - 6))
+        frame[4:6] = crc_of_bits(bits(frame[2:4]) + bits(frame[6:])[:covered])
+        stream = media.parsed(bytes(frame) * 3)
+        assert (stream.checked, stream.bad_checks, len(stream.offsets)) == (3, 0, 3)
+        for at, bad in ((covered - 1, 3), (covered, 0)):
+            other = bytearray(frame)
+            other[6 + at // 8] ^= 128 >> at % 8
+            assert media.parsed(bytes(other) * 3).bad_checks == bad
+    # Layer II, 44.1 kHz mono: 64 kbit/s with 88 bits of allocation, 32 kbit/s with 26; MPEG-2 at 22.05 kHz with 75. Two bands are used.
+    for head, covered in ((b"\xfc\x40\xc0", 88), (b"\xfc\x10\xc0", 26), (b"\xf4\x80\xc0", 75)):
+        length = media.header(b"\xff" + head).length
+        body = "00010010" + "0" * (covered - 8) + "1001" + bits(rng.randbytes(length))
+        frame = bytearray(b"\xff" + head + b"\0\0" + bytes(int(body[i:i + 8], 2) for i in range(0, 8 * (length - 6), 8)))
+        frame[4:6] = crc_of_bits(bits(frame[2:4]) + body[:covered + 4])
+        stream = media.parsed(bytes(frame) * 3)
+        assert (stream.checked, stream.bad_checks, len(stream.offsets)) == (3, 0, 3)
+        for at, bad in ((covered + 3, 3), (covered + 4, 0)):
+            other = bytearray(frame)
+            other[6 + at // 8] ^= 128 >> at % 8
+            assert media.parsed(bytes(other) * 3).bad_checks == bad
+    audio = media.encoded(b"v" * 4000)
+    frames = audio[media.parsed(audio).offsets[0]:]
+    head = b"\xff\xfb\x90\xc0"
+    info = (head + bytes(32) + b"VBRI" + bytes(6) + (5000).to_bytes(4, "big") + (11).to_bytes(4, "big")
+            + b"".join(x.to_bytes(2, "big") for x in (3, 2, 2, 4, 100, 200, 300)))
+    stream = media.parsed(info.ljust(media.header(head).length, b"\0") + frames)
+    assert (stream.table, stream.table_bytes, stream.table_frames, stream.table_step_frames) == ("VBRI", 5000, 11, 4)
+    assert stream.table_steps == [200, 400, 600] and stream.samples == 1152 * 11 and not stream.bad_checks
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     import public_tokenizers
