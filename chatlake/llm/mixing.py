@@ -33,9 +33,9 @@ BROADCAST_SOURCES = 100_000
 
 
 def sized(docs: DataFrame, source: str = "source") -> DataFrame:
-    """``doc_id``, ``source`` and ``size`` of every row."""
+    """``doc_id``, ``source``, ``size`` and ``row`` (a hash of id and text) of every row."""
     return docs.select("doc_id", F.col(source).alias("source"),
-                       F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+                       F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("row"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes: int = MAX_PASSES,
@@ -97,14 +97,16 @@ def schedule(plan: DataFrame, passes: int = MAX_PASSES) -> DataFrame:
 
 def mixed_counts(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes: int = MAX_PASSES, block: int = BLOCK_WORDS,
                  seed: int = 17) -> DataFrame:
-    """Per row of ``sizes`` (stored): ``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and ``taken``."""
+    """Per row of ``sizes`` (stored): ``doc_id``, ``source``, ``size``, ``row``, ``source_size``, ``target`` and ``taken``."""
     plan = materialise(targets(sizes, weights, passes, block), "mix-plan")
     named = sizes.withColumns({"_key": F.coalesce("source", F.lit("")), "_null": F.col("source").isNull()})
     sources = plan.select(F.coalesce("source", F.lit("")).alias("_key"), F.col("source").isNull().alias("_null"), "source_no",
                           "source_size", "target", "n_blocks")
     known = named.join(sources, ["_key", "_null"]).drop("_key", "_null")
-    shuffled = known.filter("size > 0").withColumn("_hash", F.xxhash64("doc_id", F.lit(seed)))
-    placed = running_totals(shuffled, "source_no", [F.col("_hash"), F.col("doc_id"), F.col("size")], "size", "start")
+    # Rows without an id are told apart by their text.
+    shuffled = known.filter("size > 0").withColumn("_hash", F.when(F.col("doc_id").isNull(), F.xxhash64("row", F.lit(seed))).otherwise(
+        F.xxhash64("doc_id", F.lit(seed))))
+    placed = running_totals(shuffled, "source_no", [F.col("_hash"), F.col("doc_id"), F.col("size"), F.col("row")], "size", "start")
     # Of a source's n blocks for S words, the first S mod n have one word more than the others.
     small, extra = F.floor(F.col("source_size") / F.col("n_blocks")), F.col("source_size") % F.col("n_blocks")
     wide = extra * (small + 1)
@@ -117,7 +119,7 @@ def mixed_counts(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes:
     times = schedule(plan, passes).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = (pieces.select("source_no", "block", "start", "words").join(times.hint("merge"), ["source_no", "block"])
              .groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken")))
-    columns = ["doc_id", "source", "size", "source_size", "target"]
+    columns = ["doc_id", "source", "size", "row", "source_size", "target"]
     used = placed.join(taken, ["source_no", "start"], "left").select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return used.unionByName(known.filter("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
 
@@ -127,14 +129,14 @@ def mixed(docs: DataFrame, source: str = "source", weights: tuple[float, ...] =
     """The documents of the mix, each as often as its words are taken, rounded to whole documents.
 
     Blocks are used in order, so all but one document of a source are taken a whole number of times. Rows are found again by
-    ``doc_id``; of repeated ids the rows get the rounded mean. A row without an id or without words is not in the mix.
+    ``doc_id``, null or not, and text; of rows alike in both, each gets the rounded mean. A row without words is not in the mix.
     """
     counts = mixed_counts(materialise(sized(docs, source), "mix-sizes"), weights, passes, block)
-    copies = counts.filter("taken > 0").groupBy("doc_id").agg(
+    copies = counts.filter("taken > 0").groupBy("doc_id", "row").agg(
         F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies")).filter("copies > 0")
-    rows = docs.select(F.col("doc_id").alias("_id"), F.struct("*").alias("_doc"))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_row"), F.struct("*").alias("_doc"))
     rows = rows.filter(F.coalesce("_doc.text", F.lit("")).rlike(WORD))
-    return (rows.join(copies, rows["_id"] == copies["doc_id"]).select("_doc", F.explode(F.sequence(F.lit(1), "copies")))
+    return (rows.join(copies, (rows["_row"] == copies["row"]) & rows["_id"].eqNullSafe(copies["doc_id"])).select("_doc", F.explode(F.sequence(F.lit(1), "copies")))
             .select("_doc.*"))
 
 

@@ -1,12 +1,13 @@
 """Packing of documents into sequences of a fixed number of tokens, by best fit and a local search.
 
 A document's tokens are its ids and one closing id 0. Only a longer one than a sequence is cut, into full pieces behind a first
-piece with the rest. Pieces are dealt by a hash of their document into shards of about ``SHARD`` pieces; a shard is packed in one task:
+piece with the rest. Pieces are dealt by a hash of their document and row into shards of about ``SHARD`` pieces; a shard is packed in one task:
 best fit in falling order of length, then a search that moves one document, swaps one for one, or two for one, between underfull
 sequences whenever that makes the sum of squared fills larger. All underfull sequences are candidates, found by their gap and the
 lengths in them; the search ends when the tokens need as many sequences as there are, or no such move is left.
 
-Null texts are empty and have the closing id alone. Repeated rows are packed one by one. An empty table gives no rows. Columns other
+Null texts are empty and have the closing id alone. Repeated rows are packed one by one. Which sequence a piece is in depends on the
+order of the stored rows. An empty table gives no rows. Columns other
 than ``doc_id`` and ``text`` are never read.
 """
 
@@ -236,7 +237,8 @@ def packed(rows: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFra
                 at += int(lengths[item])
         return frame.drop(columns="_shard").assign(sequence_id=sequence, offset=offset)
 
-    dealt = rows.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    # The row's own number spreads rows of no id or a repeated one; stored rows keep theirs when a task runs again.
+    dealt = rows.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return dealt.groupBy("_shard").applyInPandas(place, f"{fields}, sequence_id long, offset long")
 

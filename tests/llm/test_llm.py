@@ -104,6 +104,20 @@ def test_mix(docs):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+def test_mix_without_ids(spark):
+    """Rows without an id stay in the mix as often as their own words are taken; so do rows that share one."""
+    make = lambda i: " ".join(f"w{i}x{j}" for j in range(5 + i % 40))
+    rows = [(None, make(i), "a", None) for i in range(60)] + [(7, make(i), "b", None) for i in range(60, 90)] + [(i, make(i), "c", 3) for i in range(100, 160)]
+    frame = spark.createDataFrame([*rows, (None, None, "a", None), (None, " ", "b", 1)], "doc_id long, text string, source string, row int").repartition(4)
+    counts = mixing.mixed_counts(mixing.materialise(mixing.sized(frame), "t")).filter("size > 0").collect()
+    of_row = {r.row: int(r.taken / r.size + 0.5) for r in counts}
+    hashed = frame.select("text", F.xxhash64("doc_id", "text").alias("h")).collect()
+    mixed = mixing.mixed(frame)
+    got = collections.Counter(r.text for r in mixed.collect())
+    assert len(of_row) == 150 and got == collections.Counter({r.text: of_row[r.h] for r in hashed if of_row.get(r.h)})
+    assert sum(n for t, n in got.items() if t in {x[1] for x in rows[:60]}) > 0 and mixed.columns == frame.columns
+
+
 def test_secrets(docs, spark):
     rows = secrets.scanned(docs.select("doc_id", "text"))
     got = {r.doc_id: r.s for r in secrets.decided(rows, secrets.thresholds(rows)).select("doc_id", secrets.listed("_base").alias("s")).collect()}
@@ -331,6 +345,18 @@ def test_packing(docs, tokenizer):
     assert sum(r.length for r in rows) <= 64 * len(places) < 1.05 * sum(r.length for r in rows) + 64 * 8
 
 
+def test_packing_spreads_repeated_rows(spark):
+    """No shard holds all rows of a null or repeated id, also where they are alike."""
+    rows = [(None, 0, 0, 9, 5)] * 1000 + [(3, 0, 0, 7, 6)] * 1000
+    frame = mixing.materialise(spark.createDataFrame(rows, packing.PIECES).repartition(3), "t")
+    got = packing.packed(frame, length=64, shard=100).collect()
+    assert len(got) == 2000
+    for doc_id in (None, 3):
+        shards = collections.Counter(r.sequence_id >> 32 for r in got if r.doc_id == doc_id)
+        assert len(shards) == 20 and max(shards.values()) < 100
+    assert len({(r.sequence_id, r.offset) for r in got}) == 2000
+
+
 def test_search_empties_bins():
     lengths = np.array([6, 5, 4, 4, 3, 3, 3, 2, 7, 3])
     bins = packing.Search(lengths, [[i] for i in range(10)], 10).run()
