@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chatlake.functions.binding import let
+from chatlake.functions.binding import fold, let
 from chatlake.functions.text import WS, WS_CHARS, normalise, strip, token_count
 
 _TEXTS = "ARRAY<STRING>"
@@ -89,18 +89,17 @@ def _sized(parts: Column) -> Column:
 def _pack(parts: Column, limit: int, separator: str, overlap: int = 0) -> Column:
     """Greedy packing of sized parts; with ``overlap`` a chunk opens with the tail of the one before it.
 
-    State: finished chunks, the open chunk, its token total and whether it holds anything.
+    State: the open chunk, its token total and whether it holds anything.
     """
-    start = F.struct(
-        F.expr(f"cast(array() AS {_TEXTS})").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"),
-        F.lit(False).alias("any"))
+    none = F.expr(f"cast(array() AS {_TEXTS})")
+    start = {"open": F.lit(""), "n": F.lit(0), "any": F.lit(False)}
 
     def state(done: Column, text: Column, n: Column) -> Column:
         return F.struct(done.alias("done"), text.alias("open"), n.alias("n"), F.lit(True).alias("any"))
 
     def close(acc: Column, part: Column) -> Column:
         def reopen(finished: Column) -> Column:
-            done = F.when(finished != "", F.concat(acc["done"], F.array(finished))).otherwise(acc["done"])
+            done = F.when(finished != "", F.array(finished)).otherwise(none)
             if overlap <= 0:
                 return state(done, part["text"], part["n"])
             return let(_tail(finished, overlap), lambda tail: F.when(tail == "", state(done, part["text"], part["n"])).otherwise(
@@ -111,13 +110,12 @@ def _pack(parts: Column, limit: int, separator: str, overlap: int = 0) -> Column
     def step(acc: Column, part: Column) -> Column:
         grown = F.when(acc["any"], F.concat(acc["open"], F.lit(separator), part["text"])).otherwise(part["text"])
         return F.when(acc["any"] & (acc["n"] + part["n"] > limit), close(acc, part)).otherwise(
-            state(acc["done"], grown, acc["n"] + part["n"]))
+            state(none, grown, acc["n"] + part["n"]))
 
-    def finish(acc: Column) -> Column:
-        last = strip(acc["open"])
-        return F.when(last != "", F.concat(acc["done"], F.array(last))).otherwise(acc["done"])
+    def finish(done: Column, acc: Column) -> Column:
+        return let(strip(acc["open"]), lambda last: F.when(last != "", F.concat(done, F.array(last))).otherwise(done))
 
-    return F.aggregate(parts, start, step, finish)
+    return fold(parts, start, "STRING", step, finish)
 
 
 def split_long(unit: Column, limit: int) -> Column:
@@ -165,18 +163,16 @@ def merge_short(chunks: Column, low: int, high: int) -> Column:
         )
 
     # The last chunk stays apart from the finished ones, so a merge never rewrites the array.
-    start = F.struct(empty.alias("done"), F.expr(f"cast(NULL AS {kind})").alias("last"))
-
     def step(acc: Column, c: Column) -> Column:
         state = lambda done, last: F.struct(done.alias("done"), last.cast(kind).alias("last"))
         return (
-            F.when(acc["last"].isNull(), state(acc["done"], c))
-            .when(fits(acc["last"], c), state(acc["done"], joined(acc["last"], c)))
-            .otherwise(state(F.concat(acc["done"], F.array(acc["last"])), c))
+            F.when(acc["last"].isNull(), state(empty, c))
+            .when(fits(acc["last"], c), state(empty, joined(acc["last"], c)))
+            .otherwise(state(F.array(acc["last"]), c))
         )
 
-    return F.aggregate(chunks, start, step, lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(
-        F.concat(acc["done"], F.array(acc["last"]))))
+    return fold(chunks, {"last": F.expr(f"cast(NULL AS {kind})")}, kind, step, lambda done, acc: F.when(acc["last"].isNull(), done).otherwise(
+        F.concat(done, F.array(acc["last"]))))
 
 
 def document_text(bodies: Column) -> Column:
@@ -194,13 +190,12 @@ def _grouped(parts: Column, size: int, glue: str, finer) -> Column:
 
     The fold sees only lengths and leaves the positions at which groups begin; texts are put together once, afterwards.
     """
-    start = F.struct(F.expr("cast(array() AS ARRAY<INT>)").alias("begins"), F.lit(size + 1).alias("fill"), F.lit(0).alias("at"))
+    none = F.expr("cast(array() AS ARRAY<INT>)")
 
     def step(acc: Column, part: Column) -> Column:
         grown = acc["fill"] + len(glue) + F.char_length(part)
-        return F.when(grown <= size, F.struct(acc["begins"].alias("begins"), grown.alias("fill"), (acc["at"] + 1).alias("at"))).otherwise(
-            F.struct(F.concat(acc["begins"], F.array(acc["at"])).alias("begins"), F.char_length(part).alias("fill"),
-                     (acc["at"] + 1).alias("at")))
+        return F.when(grown <= size, F.struct(none.alias("done"), grown.alias("fill"), (acc["at"] + 1).alias("at"))).otherwise(
+            F.struct(F.array(acc["at"]).alias("done"), F.char_length(part).alias("fill"), (acc["at"] + 1).alias("at")))
 
     def groups(begins: Column) -> Column:
         def text(begin: Column, i: Column) -> Column:
@@ -209,7 +204,8 @@ def _grouped(parts: Column, size: int, glue: str, finer) -> Column:
                        lambda t: F.when(F.char_length(t) > size, finer(t)).otherwise(F.array(t)))
         return F.flatten(F.transform(begins, text))
 
-    return let(F.aggregate(parts, start, step, lambda acc: acc["begins"]), groups)
+    begins = fold(parts, {"fill": F.lit(size + 1), "at": F.lit(0)}, "INT", step, lambda done, acc: done)
+    return let(begins, groups)
 
 
 def _windows(text: Column, size: int) -> Column:
