@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,8 @@ SETTINGS = {
 
 
 _FALLBACK = "chatlake.shared.folder"
+#: Paths that `materialise` wrote and nobody has deleted.
+_WRITTEN: list[str] = []
 
 
 def local_session(cores: int | str = "*", *, shuffle_partitions: int = 8, memory: str = "8g",
@@ -53,8 +57,43 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
-    """Cut lineage by writing to the shared folder, so that a lost executor costs one re-read."""
+    """Cut lineage by writing to the shared folder, so that a lost executor costs one re-read. `discard` deletes what was written."""
     spark = df.sparkSession
     path = scratch_path(spark, purpose)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
+    _WRITTEN.remove(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that `materialise` returned. Only where nothing reads them any more: all that was derived from
+    them has been written or collected."""
+    for frame in frames:
+        path = getattr(frame, "_scratch", None)
+        if path in _WRITTEN:
+            _delete(frame.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what `materialise` writes inside the block, but for the frames that are passed to the function it gives."""
+    before, kept = set(_WRITTEN), set()
+
+    def keep(frame: DataFrame) -> DataFrame:
+        kept.add(frame._scratch)
+        return frame
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _WRITTEN if p not in before and p not in kept]:
+            _delete(spark, path)
