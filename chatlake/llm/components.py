@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.session import materialise
+from chatlake.session import discard, materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node`` and ``root`` (the smallest node reachable) of every node that has an edge to another."""
+    """``node`` and ``root`` (the smallest node reachable) of every node that has an edge to another; written."""
     pairs = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     pairs, seen = materialise(pairs, "star"), None
     while True:
@@ -18,10 +18,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = materialise(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "star")
+        old, pairs = pairs, materialise(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "star")
+        discard(old)
         state = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             break
         seen = state
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    found = materialise(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+    discard(pairs)
+    return found

@@ -1,15 +1,19 @@
 """Exact Jaccard join of documents on word shingles, with count vectors in R-trees.
 
-A document is the set of its distinct shingles of five words; equal sets are one node. Shingles are hashed to 256 groups; a node's
-point is how many of its shingles fall in each. The overlap of two nodes is at most the sum over groups of the smaller count, and at most
-the same sum against the upper corner of an R-tree's box.
+A document is the set of its distinct shingles of five words; equal sets are one node. Shingles are hashed to groups, at least four for
+each shingle of the set, and a node's point is how many of its shingles fall in each. The overlap of two nodes is at most the sum over groups of the
+smaller count, and at most the same sum against the upper corner of an R-tree's box. Groups are leading bits of the hash, so a point of many
+groups is folded by halves to compare it with one of fewer; the R-trees use 256 groups, and what passes is bounded by all.
 
 An R-tree over all points would be read almost whole by each query, as random points of so many dimensions lie all equally far
 apart. So nodes first meet in blocks that lose no link: of two linked nodes, the rarest quarter (and one) of either's shingles
-have one in common. Rarity is a fixed-size sketch of counts; it decides only about cost. Blocks of few nodes give their pairs; in larger
-ones each node is first paired with the block's hub and with neighbours in random orders. Pairs whose bound allows a link are verified on the sets. Then only
-blocks whose nodes are not all in one component are joined in full, by R-trees over tiles of bounded size, leaving out
-pairs within a component. What comes out is every component; links inside one need not all be listed.
+have one in common. Rarity is a fixed-size sketch of counts; it decides only about cost. The first shingle in that order that two linked nodes share
+has enough shingles behind it in both, so pairs with too few behind a block's shingle are left to another block, or have no link. Blocks of few nodes give
+their pairs; in larger ones each node is first paired with the block's hub and with neighbours in random orders. Pairs whose bound allows a
+link are verified on the sets. Then only blocks whose nodes are not all in one component are joined in full: nodes outside the block's largest
+component are looked up among all, by R-trees over tiles of bounded size. What comes out is every component; links inside one need not all be listed.
+
+Nodes of a shingle that very many documents share are dealt out by node instead of meeting in one group, and meet as a block's tiles.
 
 Null texts and texts without a word have an empty set and no links; fewer than five words are one shingle, the whole sequence.
 Repeated rows are nodes like any copy. A null id takes part and counts as larger than all others. An empty table gives no rows.
@@ -29,12 +33,15 @@ from chatlake.llm import blobs
 from chatlake.llm.common import STEP_BYTES, gram_hashes, mixed, read, steps, utf8, word_hashes, word_spans
 from chatlake.llm.components import components
 from chatlake.llm.registry import query
-from chatlake.session import materialise
+from chatlake.session import discard, materialise
 
 SHINGLE = 5
 #: Two sets link when 100 times their intersection is at least this many times their union.
 PERCENT = 75
-GROUPS = 256
+#: Groups of the points in R-trees, as a power of two; a node has at least so many, and four for each shingle.
+GROUP_BITS = 8
+GROUPS = 1 << GROUP_BITS
+PER_SHINGLE = 4
 #: Counters of the rarity sketch, as a power of two; the sketch has this size whatever the input.
 SKETCH_BITS = 19
 _CHUNKS = 32
@@ -45,6 +52,10 @@ ORDERS = 2
 #: Nodes in one tile of a block's join, and points in one box of an R-tree.
 TILE = 1024
 LEAF = 16
+#: A shingle's nodes are dealt out by node if the sketch counts so many documents and several times its mean.
+HOT, TIMES_MEAN = 200_000, 8
+#: Parts by node into which the rows of a block are dealt to meet what is known of the block.
+PARTS = 16
 BROADCAST_NODES = 2_000_000
 
 
@@ -76,23 +87,77 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int = PERCENT) ->
     return -(-percent * (a + b) // (100 + percent))
 
 
-def point_of(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4")
+def group_bits(n: np.ndarray | int) -> np.ndarray | int:
+    """Number of groups, as a power of two, of a set of ``n`` shingles."""
+    return np.maximum(GROUP_BITS, np.ceil(np.log2(PER_SHINGLE * np.maximum(n, 1)))).astype(np.int64)
+
+
+def point_of(shingles: np.ndarray) -> bytes:
+    """The groups of sorted shingles as squeezed differences: a sparse point, as most counts are 0 or 1."""
+    groups = (shingles >> np.uint64(64 - int(group_bits(len(shingles))))).astype(np.uint32)
+    return pa.compress(np.diff(groups, prepend=np.uint32(0)).tobytes(), codec="zstd", asbytes=True)
+
+
+def groups_of(point: bytes, n: int) -> np.ndarray:
+    """The group of each shingle, ascending."""
+    return np.cumsum(np.frombuffer(pa.decompress(point, 4 * n, codec="zstd", asbytes=True), "<u4"), dtype=np.int64)
+
+
+def dense(points: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Counts of 256 groups, a row for each list of groups."""
+    out = np.zeros((len(points), GROUPS), np.int64)
+    for row, groups, bits in zip(out, points, group_bits(sizes).tolist(), strict=True):
+        row += np.bincount(groups >> (bits - GROUP_BITS), minlength=GROUPS)
+    return out
+
+
+def common_at_most(a: np.ndarray, b: np.ndarray) -> int:
+    """The summed coordinate minima of two points, the finer one folded to the groups of the other."""
+    bits = int(group_bits(min(len(a), len(b))))
+    a, b = (g >> (int(group_bits(len(g))) - bits) for g in (a, b))
+    # Equal groups are told apart by their number within the group, so the minimum is what both have.
+    a, b = ((g << 32) + np.arange(len(g)) - np.searchsorted(g, g) for g in (a, b))
+    both = np.sort(np.concatenate((a, b)), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+#: A block's place holds the set's size (24 bits, the largest standing for all above) and, in steps of 1/1024 of it, how many shingles are rarer.
+_SIZE_BITS = 24
+_MAX_SIZE = (1 << _SIZE_BITS) - 1
+
+
+def place_of(n: int, rank: np.ndarray) -> np.ndarray:
+    steps_ = np.minimum(rank * 1024 // n, 255) if n < _MAX_SIZE else np.zeros(len(rank), np.int64)
+    return (min(n, _MAX_SIZE) | (steps_ << _SIZE_BITS)).astype(np.uint32)
+
+
+def size_and_rest(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set sizes, and how many shingles at most are not rarer than the block's."""
+    places = places.astype(np.int64)
+    n = places & _MAX_SIZE
+    return n, n - (places >> _SIZE_BITS) * n // 1024
+
+
+def may_link(n: np.ndarray, rest: np.ndarray, m: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes allow a link and, were the block's shingle the first in common, enough shingles are left on both sides."""
+    near = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(rest, other) >= needed(n, m, percent))
+    return near | (n == _MAX_SIZE) | (m == _MAX_SIZE)
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``node`` (null for empty sets), ``n`` and ``point`` of every row."""
+    """``doc_id``, ``text_key`` (a hash of the text), ``node`` (null for empty sets), ``n`` and ``point`` of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches):
             nodes, sizes, points = [], [], []
             for s in shingle_sets(step["text"]):
                 nodes.append(node_of(s) if len(s) else None)
                 sizes.append(len(s))
-                points.append(pa.compress(point_of(s).tobytes(), codec="zstd", asbytes=True))
-            yield pa.RecordBatch.from_arrays([step["doc_id"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
-                                              pa.array(points, pa.binary())], ["doc_id", "node", "n", "point"])
+                points.append(point_of(s))
+            yield pa.RecordBatch.from_arrays([step["doc_id"], step["text_key"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
+                                              pa.array(points, pa.binary())], ["doc_id", "text_key", "node", "n", "point"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, point binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
+        run, "doc_id long, text_key long, node long, n long, point binary")
 
 
 def sketched(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -122,21 +187,27 @@ def sketched(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     return out.reshape(-1)
 
 
-def blocks(docs: DataFrame, sketch: np.ndarray, buckets: int, percent: int = PERCENT) -> DataFrame:
-    """The rarest shingles of every node, as many as leave no link out, by bucket of the shingle; the place is the set's size."""
+def blocks(docs: DataFrame, sketch: np.ndarray, buckets: int, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
+    """The rarest shingles of every node, as many as leave no link out, by bucket of the shingle; places are those of ``place_of``.
+    Shingles that very many documents share go to buckets below zero, by the node, with their whole hash."""
     shift = np.uint64(64 - int(len(sketch)).bit_length() + 1)
     counters = docs.sparkSession.sparkContext.broadcast(sketch)
+    limit = max(hot, TIMES_MEAN * int(sketch.sum(dtype=np.int64)) // len(sketch))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, sizes, size, seen = [], [], [], 0, set()
+        keys, owners, places, size, seen = [], [], [], 0, set()
         rare = counters.value
 
         def flush() -> Iterator[pa.RecordBatch]:
-            k, o = np.concatenate(keys), np.concatenate(owners)
+            k, o, p = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
+            many = rare[k >> shift] > limit
             # The bucket comes from a mixed hash, as shingles are chosen by their leading bits. Within a bucket its low half
             # tells shingles apart; two that share it only add pairs to check.
-            k = mixed(k)
-            yield blobs.packed(k, k.astype(np.uint32), o, np.concatenate(sizes), buckets)
+            x = mixed(k[~many])
+            yield blobs.packed(x, x.astype(np.uint32), o[~many], p[~many], buckets)
+            if many.any():
+                rows = blobs.packed(mixed(o[many].view(np.uint64)), k[many], o[many], p[many], buckets)
+                yield rows.set_column(0, "bucket", pa.array(-1 - rows["bucket"].to_numpy(), pa.int32()))
 
         for step in steps(batches):
             for s in shingle_sets(step["text"]):
@@ -145,14 +216,13 @@ def blocks(docs: DataFrame, sketch: np.ndarray, buckets: int, percent: int = PER
                     continue
                 seen.add(node)
                 count = len(s) - -(-percent * len(s) // 100) + 1
-                rarest = s[np.lexsort((s, rare[s >> shift]))[:count]]
-                keys.append(rarest)
+                keys.append(s[np.lexsort((s, rare[s >> shift]))[:count]])
                 owners.append(np.full(count, node, np.int64))
-                sizes.append(np.full(count, min(len(s), 0xFFFFFFFF), np.uint32))
+                places.append(place_of(len(s), np.arange(count)))
                 size += count
             if size >= blobs.FLUSH:
                 yield from flush()
-                keys, owners, sizes, size, seen = [], [], [], 0, set()
+                keys, owners, places, size, seen = [], [], [], 0, set()
         if size:
             yield from flush()
 
@@ -169,48 +239,57 @@ def _all_pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def first_pairs(blocked: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``a``, ``b`` (a < b) that meet in small blocks or as neighbours in large ones, and, with ``block`` set, the large blocks:
-    rows ``block``, ``a`` for each node. A block is named by its members, so blocks with the same nodes count once."""
+    rows ``block``, ``a`` and ``place`` for each node. A block is named by its members, so blocks with the same nodes count once, with the
+    rarest shingle's place; a block that is dealt out is named by its shingle."""
     def meet(table: pa.Table) -> pa.Table:
-        keys, owners, sizes = blobs.unpacked(table, np.uint32)
-        order = np.lexsort((owners, keys))
-        k, o, n = keys[order], owners[order], sizes[order].astype(np.int64)
-        fresh = np.append(True, (k[1:] != k[:-1]) | (o[1:] != o[:-1]))
-        k, o, n = k[fresh], o[fresh], n[fresh]
-        cuts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        spread = table["bucket"][0].as_py() < 0
+        keys, owners, places = blobs.unpacked(table, np.uint64 if spread else np.uint32)
+        order = np.lexsort((places, owners, keys))
+        k, o, p = keys[order], owners[order], places[order]
+        fresh = np.append(True, (k[1:] != k[:-1]) | (o[1:] != o[:-1]))[:len(k)]
+        k, o, p = k[fresh], o[fresh], p[fresh]
+        n, rest = size_and_rest(p)
+        cuts = np.flatnonzero(np.append(True, k[1:] != k[:-1])[:len(k)])
         counts = np.diff(np.append(cuts, len(k)))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for size in range(2, SMALL + 1):
+        small = 0 if spread else SMALL
+        for size in range(2, small + 1):
             runs = cuts[counts == size]
             if len(runs):
                 members = (runs[:, None] + np.arange(size)).ravel()
                 i, j = (members[x] for x in _all_pairs(np.full(len(runs), size)))
-                near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                near = may_link(n[i], rest[i], n[j], rest[j], percent)
                 left.append(o[i[near]])
                 right.append(o[j[near]])
-        named: dict[int, np.ndarray] = {}
-        for a, size in zip(cuts[counts > SMALL].tolist(), counts[counts > SMALL].tolist(), strict=True):
-            members = o[a:a + size]
-            named[node_of(members.view(np.uint64))] = members
-        for name, members in named.items():
+        named: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for a, size in zip(cuts[counts > small].tolist(), counts[counts > small].tolist(), strict=True):
+            members, at = o[a:a + size], p[a:a + size]
+            name = int(k[a:a + 1].view(np.int64)[0]) if spread else node_of(members.view(np.uint64))
+            # A node's size is the same in all, so the least place is the one with the fewest rarer shingles.
+            named[name] = (members, np.minimum(at, named[name][1]) if name in named else at)
+        for members, _ in named.values():
             for turn in range(ORDERS):
                 shuffled = members[np.argsort(mixed(members.view(np.uint64) ^ mixed(np.array([turn + 1], np.uint64))))]
                 left += [shuffled[:-1]]
                 right += [shuffled[1:]]
         x, y = np.concatenate(left), np.concatenate(right)
         pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-        large = [np.full(len(m), name, np.int64) for name, m in named.items()]
-        members = np.concatenate([*named.values(), np.zeros(0, np.int64)])
+        large = [np.full(len(m), name, np.int64) for name, (m, _) in named.items()]
+        members = np.concatenate([*(m for m, _ in named.values()), np.zeros(0, np.int64)])
+        at = np.concatenate([*(x for _, x in named.values()), np.zeros(0, np.uint32)]).astype(np.int64)
         return pa.table({
             "block": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(np.concatenate([*large, np.zeros(0, np.int64)]))]),
             "a": np.concatenate((pairs[:, 0], members)),
-            "b": pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, 1])), pa.nulls(len(members), pa.int64())])})
+            "b": pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, 1])), pa.nulls(len(members), pa.int64())]),
+            "place": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(at)])})
 
-    return blocked.groupBy("bucket").applyInArrow(meet, "block long, a long, b long")
+    return blocked.groupBy("bucket").applyInArrow(meet, "block long, a long, b long, place long")
 
 
-def _points(column: pa.ChunkedArray) -> np.ndarray:
-    data = [pa.decompress(x, GROUPS * 4, codec="zstd", asbytes=True) for x in column.to_pylist()]
-    return np.frombuffer(b"".join(data), "<u4").reshape(-1, GROUPS).astype(np.int64)
+def with_block(large: DataFrame, of_block: DataFrame) -> DataFrame:
+    """``large`` with the columns of its block: both sides are dealt out by block and part of the nodes, so no block is one task's."""
+    parts = of_block.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+    return large.withColumn("_part", F.pmod(F.xxhash64("a"), F.lit(PARTS)).cast("int")).join(parts, ["block", "_part"]).drop("_part")
 
 
 def hub_pairs(large: DataFrame) -> DataFrame:
@@ -221,8 +300,9 @@ def hub_pairs(large: DataFrame) -> DataFrame:
     """
     degree = large.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
     known = large.join(degree, "a")
-    hubs = known.groupBy("block").agg(F.max_by("a", F.struct("degree", F.xxhash64("a"))).alias("hub"))
-    return large.join(hubs, "block").filter("a != hub").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"))
+    top = known.groupBy("block", F.pmod(F.xxhash64("a"), F.lit(PARTS)).alias("part")).agg(F.max(F.struct("degree", F.xxhash64("a").alias("x"), "a")).alias("top"))
+    hubs = top.groupBy("block").agg(F.max("top").alias("top")).select("block", F.col("top.a").alias("hub"))
+    return with_block(large, hubs).filter("a != hub").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"))
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -233,26 +313,38 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataF
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                part = batch.slice(at, 8192)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 na, nb = (part[x].to_numpy(zero_copy_only=False) for x in ("na", "nb"))
-                slack = (np.minimum(_points(part["pa"]), _points(part["pb"])).sum(axis=1) - needed(na, nb, percent)) / (na + nb)
+                ga, gb = ([groups_of(x, n) for x, n in zip(part[p].to_pylist(), sizes.tolist(), strict=True)] for p, sizes in (("pa", na), ("pb", nb)))
+                least = needed(na, nb, percent)
+                most = np.minimum(dense(ga, na), dense(gb, nb)).sum(axis=1)
+                for i in np.flatnonzero((most >= least) & (np.minimum(na, nb) > GROUPS // PER_SHINGLE)).tolist():
+                    most[i] = common_at_most(ga[i], gb[i])
+                slack = (most - least) / (na + nb)
                 yield part.select(["a", "b"]).append_column("slack", pa.array(slack)).filter(pa.array(slack >= 0))
 
     return both.mapInArrow(keep, "a long, b long, slack double")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, bound: int = BROADCAST_NODES) -> DataFrame:
-    """The stored pairs that link, by their sets. Only texts of nodes in a pair are read again, one for each node."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node")
+    """The stored pairs that link, by their sets. Only texts of nodes in a pair are read again, one for each node: a node is found by the id
+    and the text's hash of its first row, and of rows alike in both a task passes on one."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id", "text_key"), "node")
     wanted = materialise(wanted, "join-wanted")
-    if wanted.limit(bound + 1).count() <= bound:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("first_id"), "text").join(wanted, "first_id").select("node", "text")
+    few = wanted.limit(bound + 1).count() <= bound
+    keyed = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("first_id"), F.xxhash64("text").alias("text_key"), "text")
+    texts = keyed.join(F.broadcast(wanted) if few else wanted, ["first_id", "text_key"]).select("node", "text")
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for step in steps(batches):
-            keep = [len(x) > 0 and node_of(x) == node  # an id may have rows with other texts
+            fresh = []
+            for node in step["node"].to_pylist():
+                fresh.append(node not in seen)
+                seen.add(node)
+            step = step.filter(pa.array(fresh, pa.bool_()))
+            keep = [len(x) > 0 and node_of(x) == node  # two texts may share their hash
                     for node, x in zip(step["node"].to_pylist(), shingle_sets(step["text"]), strict=True)]
             kept = step.filter(pa.array(keep, pa.bool_()))
             raw = [x.as_buffer() for x in kept["text"].cast(pa.large_binary())]
@@ -261,6 +353,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int =
 
     # Squeezed texts are a third as large as their sets of hashes, so the sets are made again at each pair.
     found = materialise(texts.mapInArrow(chosen, "node long, size long, text binary"), "join-texts")
+    if found.count() > found.select("node").distinct().count():
+        twice, found = found, materialise(found.dropDuplicates(["node"]), "join-texts")
+        discard(twice)
 
     def sets_of(part: pa.RecordBatch, side: str) -> Iterator[np.ndarray]:
         raw = [pa.decompress(x.as_buffer(), size, codec="zstd", asbytes=True)
@@ -279,7 +374,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int =
 
     side = lambda x: found.select(F.col("node").alias(x), F.col("size").alias(f"size{x}"), F.col("text").alias(f"text{x}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sizea", "texta", "sizeb", "textb")
-    return both.mapInArrow(check, "a long, b long")
+    links = materialise(both.mapInArrow(check, "a long, b long"), "join-links")
+    discard(wanted, found)
+    return links
 
 
 def likeliest(pairs: DataFrame) -> DataFrame:
@@ -323,70 +420,100 @@ class RTree:
 
 
 def remaining_pairs(large: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of different components within large blocks whose bound allows a link."""
+    """Pairs of different components within large blocks whose bound allows a link. Of a block, the nodes outside its largest component
+    look up all nodes, so a pair of two such nodes is found from either side. Nodes lie in tiles; those that look up come from one tile
+    and meet one tile in each group."""
     members = large.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
-    opened = members.join(sizes.select("block", "m"), "block").join(nodes.select(F.col("node").alias("a"), "n", "point"), "a")
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    placed = opened.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int"))
-    spread = placed.select("block", "a", "root", "n", "point", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    keyed = spread.select("block", "a", "root", "n", "point", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "tile")
+    counts = members.groupBy("block", "root").agg(F.count(F.lit(1)).alias("c"))
+    opened = counts.groupBy("block").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top")).filter("top.c < m").select(
+        "block", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"), F.col("top.root").alias("main"))
+    placed = with_block(members, opened).withColumn("tile", F.pmod(F.xxhash64("a", "block"), F.col("tiles")).cast("int"))
+    outside = placed.filter("root != main")
+    asking = outside.groupBy("block").agg(F.array_sort(F.collect_set("tile")).alias("askers"))
+    columns = ["block", "a", "root", "place"]
+    asks = outside.select(*columns, F.col("tile").alias("asker"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(True).alias("asks"))
+    stored = with_block(placed, asking).select(*columns, F.explode("askers").alias("asker"), "tile", F.lit(False).alias("asks"))
+    keyed = asks.unionByName(stored).join(nodes.select(F.col("node").alias("a"), "n", "point"), "a")
 
     def join(table: pa.Table) -> pa.Table:
-        name, root, n, tile = (table[c].to_numpy() for c in ("a", "root", "n", "tile"))
-        points, low = _points(table["point"]), int(table["t"][0].as_py())
-        own, alone = np.flatnonzero(tile == low), table["t"][0].as_py() == table["u"][0].as_py()
-        rest = own if alone else np.flatnonzero(tile != low)
+        name, root, n, place, asks = (table[c].to_numpy() for c in ("a", "root", "n", "place", "asks"))
+        size, rest = size_and_rest(place)
+        own, there = np.flatnonzero(asks), np.flatnonzero(~asks)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(own) and len(rest):
-            tree = RTree(points[rest], n[rest])
+        if len(own) and len(there):
+            points = [groups_of(x, k) for x, k in zip(table["point"].to_pylist(), n.tolist(), strict=True)]
+            vectors = dense(points, n)
+            tree = RTree(vectors[there], n[there])
             for i in own.tolist():
-                j = rest[tree.probe(points[i], int(n[i]), percent)]
-                j = j[(root[j] != root[i]) & ((name[j] > name[i]) | (not alone))]
+                j = there[tree.probe(vectors[i], int(n[i]), percent)]
+                j = j[(root[j] != root[i]) & may_link(size[j], rest[j], size[i], rest[i], percent)]
+                least = needed(int(n[i]), n[j], percent)
+                j = j[[common_at_most(points[i], points[k]) >= x for k, x in zip(j.tolist(), least.tolist(), strict=True)]] if len(j) else j
                 left.append(np.minimum(name[j], name[i]))
                 right.append(np.maximum(name[j], name[i]))
         return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
 
-    return keyed.groupBy("block", "t", "u").applyInArrow(join, "a long, b long").distinct()
+    return keyed.groupBy("block", "asker", "tile").applyInArrow(join, "a long, b long").distinct()
 
 
-def clustered(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def clustered(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (smallest id that links reach) of every row."""
+    rows, named = _clustered(docs, percent, hot)
+    out = rows.join(named, "node", "left")
+    component = F.when(F.col("component") == (1 << 63) - 1, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _clustered(docs: DataFrame, percent: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Both written: ``doc_id``, ``n`` and ``node`` of every row, and ``node`` and ``component`` of every node that is linked or repeated."""
     spark = docs.sparkSession
-    rows = materialise(described(docs), "join-rows")
+    whole = materialise(described(docs), "join-described")
     # Null ids come after all others here.
     own_id = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    nodes = materialise(rows.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min(own_id).alias("first_id"), F.first("n").alias("n"), F.first("point").alias("point")), "join-nodes")
-    met = materialise(first_pairs(blocks(docs, sketched(docs), blobs.bucket_count(spark), percent), percent), "join-blocks")
-    large = materialise(met.filter("block IS NOT NULL").select("block", "a").distinct(), "join-large")
+    nodes = materialise(whole.filter("node IS NOT NULL").groupBy("node").agg(
+        F.min(F.struct(own_id.alias("first_id"), "text_key")).alias("top"), F.first("n").alias("n"), F.first("point").alias("point"),
+        F.count(F.lit(1)).alias("rows")).select("node", "top.first_id", "top.text_key", "n", "point", "rows"), "join-nodes")
+    rows = materialise(whole.select("doc_id", "n", "node"), "join-rows")
+    discard(whole)
+    met = materialise(first_pairs(blocks(docs, sketched(docs), blobs.bucket_count(spark), percent, hot), percent), "join-blocks")
+    # Blocks with the same nodes may come from several buckets; the rarest shingle's place stays.
+    large = materialise(met.filter("block IS NOT NULL").groupBy("block", "a").agg(F.min("place").alias("place")), "join-large")
     near = met.filter("block IS NULL").select("a", "b").unionByName(hub_pairs(large)).distinct()
     pairs = materialise(bounded(near, nodes, percent), "join-pairs")
+    discard(met)
     # The likeliest pair of each node joins most of a component; other pairs within it need no check then.
     first = materialise(likeliest(pairs), "join-likely")
-    links = materialise(verified(first, docs, nodes, percent), "join-links")
-    roots = materialise(components(links), "join-roots")
-    rest = between_roots(pairs.join(first, ["a", "b"], "left_anti"), roots)
+    all_links = [verified(first, docs, nodes, percent)]
+    roots = components(all_links[0])
+    rest = lambda r: between_roots(pairs.join(first, ["a", "b"], "left_anti"), r)
     far = lambda r: remaining_pairs(large, nodes, r, percent).join(pairs, ["a", "b"], "left_anti")
-    for name, left in (("join-rest", lambda r: rest), ("join-far", far)):
-        more = materialise(left(roots), name)
+    for left in (rest, far):
+        more = materialise(left(roots), "join-more")
         if more.limit(1).count():
-            links = links.unionByName(materialise(verified(more, docs, nodes, percent), "join-links"))
-            roots = materialise(components(links), "join-roots")
-    firsts = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
+            all_links.append(verified(more, docs, nodes, percent))
+            links = all_links[0]
+            for other in all_links[1:]:
+                links = links.unionByName(other)
+            old, roots = roots, components(links)
+            discard(old)
+        discard(more)
+    firsts = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id", "rows")
     least = firsts.groupBy("root").agg(F.min("first_id").alias("component"))
-    named = firsts.join(least, "root").select("node", "component")
-    out = rows.join(named, "node", "left")
-    component = F.when(F.col("component") == (1 << 63) - 1, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    # A node of one row that nothing links with is its own component.
+    named = materialise(firsts.join(least, "root").filter("rows > 1 OR first_id != component").select("node", "component"), "join-named")
+    discard(nodes, large, pairs, first, roots, *all_links)
+    return rows, named
 
 
 def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one of the smallest id, with all its columns; of rows that repeat its id and text,
     one stays. Rows without an id stay. Texts are dealt out only where more than ``BROADCAST_NODES`` documents leave."""
-    found = clustered(docs, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    rows, named = _clustered(docs, percent, HOT)
+    component = F.coalesce("component", "doc_id")
+    found = rows.join(named, "node", "left").filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.max(F.col("doc_id") == component).alias("first"), F.count(F.lit(1)).alias("rows"))
     odd = materialise(found.filter("NOT first OR rows > 1"), "join-odd")
+    discard(rows, named)
     if odd.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
         odd = F.broadcast(odd)
     packed = docs.select(F.col("doc_id").alias("_id"), F.struct("*").alias("_doc"))
