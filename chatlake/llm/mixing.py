@@ -10,12 +10,12 @@ in order. Repeated rows are documents of their own. Where all sizes are 0, all t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlake.llm.common import WORD, read, running_totals
 from chatlake.llm.registry import query
-from chatlake.session import materialise
+from chatlake.session import discard, materialise
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A source is read so often at most.
@@ -23,13 +23,18 @@ MAX_PASSES = 3
 BLOCK_WORDS = 32
 #: Slots of one slice of the schedule; a slice's slots are made and ranked in one task.
 SLICE = 4096
+#: Slices of one task.
+SLICES_PER_TASK = 64
 #: The golden ratio's fraction in units of 2^-31, an odd number; after 2^31 slots the points repeat.
 POINTS = 1 << 31
 GOLDEN = 1327217885
 #: Cells by which points and stretches of weight are matched.
 CELLS = 4096
+SEED = 17
 #: With up to so many sources, their stretches are broadcast: a row for each source and each cell.
 BROADCAST_SOURCES = 100_000
+#: Beyond it, rows meet their source's figures dealt out by source and so many parts.
+PARTS = 16
 
 
 def sized(docs: DataFrame, source: str = "source") -> DataFrame:
@@ -70,11 +75,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes: int
                             F.coalesce(F.lag("high").over(Window.orderBy("source_no")), F.lit(0)).alias("low"), "high")
 
 
-def schedule(plan: DataFrame, passes: int = MAX_PASSES) -> DataFrame:
+def schedule(plan: DataFrame, passes: int = MAX_PASSES, bound: int = BROADCAST_SOURCES) -> DataFrame:
     """The slots in use: ``slot``, ``source_no``, ``block`` and ``pass``; built from ``targets``, with no row of a document."""
     slots = plan.agg(F.max("n_slots").alias("n")).filter("n > 0")
     slices = slots.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLICE))).alias("slice"))
-    slices = slices.repartition("slice")
+    # The few rows of slices become many slots, so the number of tasks follows from the slots; it is not left to the rows' size.
+    planned = plan.agg(F.max("n_slots")).first()[0] or 0
+    slices = slices.repartition(max(1, -(-int(planned) // (SLICE * SLICES_PER_TASK))), "slice")
     each = slices.select("slice", F.explode(F.sequence(
         F.col("slice") * SLICE, F.least(F.col("n"), (F.col("slice") + 1) * SLICE) - 1)).alias("slot"))
     point = F.pmod(F.pmod("slot", F.lit(POINTS)) * F.lit(GOLDEN).cast("long"), F.lit(POINTS))
@@ -84,7 +91,7 @@ def schedule(plan: DataFrame, passes: int = MAX_PASSES) -> DataFrame:
         "source_no", "n_blocks", "low", "high",
         F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))).alias("cell"))
     # Spark takes rows made by explode for as few as their input; without a hint it would broadcast the slots.
-    few = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    few = plan.limit(bound + 1).count() <= bound
     placed = points.join(cells.hint("broadcast" if few else "merge"), "cell").filter("point >= low AND point < high")
     inside = placed.withColumn("rank", F.row_number().over(Window.partitionBy("slice", "source_no").orderBy("slot")) - 1)
     counts = placed.groupBy("source_no", "slice").count()
@@ -95,27 +102,43 @@ def schedule(plan: DataFrame, passes: int = MAX_PASSES) -> DataFrame:
                          F.floor(F.col("rank") / F.col("n_blocks")).alias("pass")).filter(F.col("pass") < passes)
 
 
-def mixed_counts(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes: int = MAX_PASSES, block: int = BLOCK_WORDS,
-                 seed: int = 17) -> DataFrame:
-    """Per row of ``sizes`` (stored): ``doc_id``, ``source``, ``size``, ``row``, ``source_size``, ``target`` and ``taken``."""
-    plan = materialise(targets(sizes, weights, passes, block), "mix-plan")
+def _known(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """``sizes`` with the figures of each row's source."""
     named = sizes.withColumns({"_key": F.coalesce("source", F.lit("")), "_null": F.col("source").isNull()})
     sources = plan.select(F.coalesce("source", F.lit("")).alias("_key"), F.col("source").isNull().alias("_null"), "source_no",
                           "source_size", "target", "n_blocks")
-    known = named.join(sources, ["_key", "_null"]).drop("_key", "_null")
-    # Rows without an id are told apart by their text.
-    shuffled = known.filter("size > 0").withColumn("_hash", F.when(F.col("doc_id").isNull(), F.xxhash64("row", F.lit(seed))).otherwise(
-        F.xxhash64("doc_id", F.lit(seed))))
-    placed = running_totals(shuffled, "source_no", [F.col("_hash"), F.col("doc_id"), F.col("size"), F.col("row")], "size", "start")
-    # Of a source's n blocks for S words, the first S mod n have one word more than the others.
+    return named.join(sources, ["_key", "_null"]).drop("_key", "_null")
+
+
+def _hash(doc_id: str, row: Column, seed: int) -> Column:
+    """Place in the order of a source's documents; rows without an id are told apart by their text."""
+    return F.when(F.col(doc_id).isNull(), F.xxhash64(row, F.lit(seed))).otherwise(F.xxhash64(doc_id, F.lit(seed)))
+
+
+def _placed(known: DataFrame, seed: int) -> DataFrame:
+    """Rows with words, with ``_hash`` and the ``start`` of their words in their source's stream."""
+    shuffled = known.filter("size > 0").withColumn("_hash", _hash("doc_id", F.col("row"), seed))
+    return running_totals(shuffled, "source_no", [F.col("_hash"), F.col("doc_id"), F.col("row"), F.col("size")], "size", "start")
+
+
+def _edge(block: Column) -> Column:
+    """Where a block begins: of a source's n blocks for S words, the first S mod n have one word more than the others."""
+    return block * F.floor(F.col("source_size") / F.col("n_blocks")) + F.least(block, F.col("source_size") % F.col("n_blocks"))
+
+
+def mixed_counts(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes: int = MAX_PASSES, block: int = BLOCK_WORDS,
+                 seed: int = SEED) -> DataFrame:
+    """Per row of ``sizes`` (stored): ``doc_id``, ``source``, ``size``, ``row``, ``source_size``, ``target`` and ``taken``."""
+    plan = materialise(targets(sizes, weights, passes, block), "mix-plan")
+    known = _known(sizes, plan)
+    placed = _placed(known, seed)
     small, extra = F.floor(F.col("source_size") / F.col("n_blocks")), F.col("source_size") % F.col("n_blocks")
     wide = extra * (small + 1)
     block_of = lambda x: F.when(x < wide, F.floor(x / (small + 1))).otherwise(extra + F.floor((x - wide) / F.greatest(small, F.lit(1))))
     first, last = block_of(F.col("start")), block_of(F.col("start") + F.col("size") - 1)
-    edge = lambda j: j * small + F.least(j, extra)
     pieces = placed.select("*", F.explode(F.sequence(first, last)).alias("block"))
-    pieces = pieces.withColumn("words", F.least(F.col("start") + F.col("size"), edge(F.col("block") + 1))
-                               - F.greatest(F.col("start"), edge(F.col("block"))))
+    pieces = pieces.withColumn("words", F.least(F.col("start") + F.col("size"), _edge(F.col("block") + 1))
+                               - F.greatest(F.col("start"), _edge(F.col("block"))))
     times = schedule(plan, passes).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = (pieces.select("source_no", "block", "start", "words").join(times.hint("merge"), ["source_no", "block"])
              .groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken")))
@@ -124,20 +147,59 @@ def mixed_counts(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes:
     return used.unionByName(known.filter("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
 
 
+def cuts(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes: int = MAX_PASSES, block: int = BLOCK_WORDS,
+         seed: int = SEED) -> DataFrame:
+    """Per source, in the order of its documents: up to which document it is taken once more than ``full`` times.
+
+    The schedule takes a source's blocks in order, so after T slots of n blocks each was taken T div n times and the first T mod n once
+    more. ``cut_hash``, ``cut_id`` and ``cut_row`` name the document that holds the place where this ends (null if all are taken equally often) and
+    ``cut_share`` is how much of it lies before. Rows alike in id and text are one document here.
+    """
+    plan = materialise(targets(sizes, weights, passes, block), "mix-plan")
+    slots = schedule(plan, passes).groupBy("source_no").agg(F.count(F.lit(1)).alias("slots"))
+    ends = materialise(plan.join(slots, "source_no").select(
+        "source", "source_no", F.floor(F.col("slots") / F.col("n_blocks")).alias("full"), _edge(F.col("slots") % F.col("n_blocks")).alias("at")), "mix-ends")
+    placed = _placed(_known(sizes, plan), seed).select("source_no", "_hash", "doc_id", "row", "start", "size")
+    # Rows alike lie side by side, so the least start and the sum of sizes are those of their document.
+    holds = (F.col("first") <= F.col("at")) & (F.col("at") < F.col("first") + F.col("words")) & (F.col("at") > 0)
+    whole = placed.groupBy("source_no", "_hash", "doc_id", "row").agg(F.min("start").alias("first"), F.sum("size").alias("words"))
+    held = whole.join(ends.select("source_no", "at"), "source_no").filter(holds).select(
+        "source_no", F.col("_hash").alias("cut_hash"), F.col("doc_id").alias("cut_id"), F.col("row").alias("cut_row"),
+        ((F.col("at") - F.col("first")) / F.col("words")).alias("cut_share"))
+    found = materialise(ends.join(held, "source_no", "left").select("source", "full", "cut_hash", "cut_id", "cut_row", "cut_share"), "mix-cuts")
+    discard(plan, ends)
+    return found
+
+
 def mixed(docs: DataFrame, source: str = "source", weights: tuple[float, ...] = WEIGHTS, passes: int = MAX_PASSES,
-          block: int = BLOCK_WORDS) -> DataFrame:
+          block: int = BLOCK_WORDS, seed: int = SEED, bound: int = BROADCAST_SOURCES) -> DataFrame:
     """The documents of the mix, each as often as its words are taken, rounded to whole documents.
 
-    Blocks are used in order, so all but one document of a source are taken a whole number of times. Rows are found again by
-    ``doc_id``, null or not, and text; of rows alike in both, each gets the rounded mean. A row without words is not in the mix.
+    Blocks are used in order, so all but one document of a source are taken a whole number of times, which follows from the document's
+    place before or after the cut: texts stay where they are. Rows alike in id and text get their rounded mean. A row without
+    words is not in the mix.
     """
-    counts = mixed_counts(materialise(sized(docs, source), "mix-sizes"), weights, passes, block)
-    copies = counts.filter("taken > 0").groupBy("doc_id", "row").agg(
-        F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies")).filter("copies > 0")
-    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_row"), F.struct("*").alias("_doc"))
-    rows = rows.filter(F.coalesce("_doc.text", F.lit("")).rlike(WORD))
-    return (rows.join(copies, (rows["_row"] == copies["row"]) & rows["_id"].eqNullSafe(copies["doc_id"])).select("_doc", F.explode(F.sequence(F.lit(1), "copies")))
-            .select("_doc.*"))
+    sizes = materialise(sized(docs, source), "mix-sizes")
+    figures = cuts(sizes, weights, passes, block, seed)
+    discard(sizes)
+    side = figures.withColumns({"_key": F.coalesce("source", F.lit("")), "_null": F.col("source").isNull()}).drop("source")
+    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_row"), F.coalesce(source, F.lit("")).alias("_key"),
+                       F.col(source).isNull().alias("_null"), F.struct("*").alias("_doc"))
+    rows = rows.filter(F.coalesce("_doc.text", F.lit("")).rlike(WORD)).withColumn("_hash", _hash("_id", F.col("_row"), seed))
+    if figures.limit(bound + 1).count() <= bound:
+        met = rows.join(F.broadcast(side), ["_key", "_null"])
+    else:
+        parts = side.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        met = rows.withColumn("_part", F.pmod("_row", F.lit(PARTS)).cast("int")).join(parts, ["_key", "_null", "_part"])
+    # Null ids come first among equal hashes, as they do in the order of the stream.
+    same_id = F.col("_id").eqNullSafe(F.col("cut_id"))
+    less_id = (F.col("_id").isNull() & F.col("cut_id").isNotNull()) | F.coalesce(F.col("_id") < F.col("cut_id"), F.lit(False))
+    before = (F.col("_hash") < F.col("cut_hash")) | ((F.col("_hash") == F.col("cut_hash")) & (
+        less_id | (same_id & (F.col("_row") < F.col("cut_row")))))
+    at = (F.col("_hash") == F.col("cut_hash")) & same_id & (F.col("_row") == F.col("cut_row"))
+    more = F.when(F.col("cut_hash").isNull(), 0).when(before, 1).when(at, F.round("cut_share").cast("int")).otherwise(0)
+    copies = (F.col("full") + more).cast("int")
+    return met.filter(copies > 0).select("_doc", F.explode(F.sequence(F.lit(1), copies))).select("_doc.*")
 
 
 @query()
