@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.functions.binding import let
+from chatlake.functions.binding import fold, let
 from chatlake.llm.common import computed, read
 from chatlake.llm.registry import query
 from chatlake.session import materialise
@@ -55,15 +55,12 @@ def spans(text: Column, found: Column, pattern: str, values: Column | None = Non
     """
     parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"), found.alias("hit"),
                          (found if values is None else values).alias("value"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,value:int>>").alias("out"))
-
     def step(acc: Column, x: Column) -> Column:
         begin = acc["pos"] + F.length(x["gap"])
         end = begin + F.length(x["hit"])
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(
-            begin.alias("start"), end.alias("end"), F.length(x["value"]).alias("value")))).alias("out"))
+        return F.struct(F.array(F.struct(begin.alias("start"), end.alias("end"), F.length(x["value"]).alias("value"))).alias("done"), end.alias("pos"))
 
-    every = F.aggregate(parts, start, step, lambda acc: acc["out"])
+    every = fold(parts, {"pos": F.lit(0)}, "STRUCT<start: INT, end: INT, value: INT>", step, lambda done, acc: done)
     kept = every if values is None else F.filter(every, lambda x: x["value"] >= MIN_VALUE)
     return F.when(F.size(found) == 0, F.array().cast("array<struct<start:int,end:int>>")).otherwise(
         F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
@@ -195,22 +192,50 @@ def listed(column: str) -> Column:
                                                                   x["end"].cast("string"))), ",")
 
 
+#: Characters of the blocks in which pieces of a text are found.
+PIECE_BLOCK = 4096
+
+
+def without(text: Column, found: Column, mark: str) -> Column:
+    """``text`` with ``mark`` in the place of each span (by start); overlapping spans are replaced together.
+
+    The text is cut into blocks once, so a piece between two spans is found without walking there from the text's start.
+    """
+    def gap(acc: Column, x: Column) -> Column:
+        piece = F.struct(acc["pos"].alias("from"), x["start"].alias("to"))
+        none = F.array().cast("array<struct<from:int,to:int>>")
+        return F.struct(F.when(x["start"] >= acc["pos"], F.array(piece)).otherwise(none).alias("done"), F.greatest(acc["pos"], x["end"]).alias("pos"))
+
+    gaps = fold(found, {"pos": F.lit(0)}, "STRUCT<from: INT, to: INT>", gap,
+                lambda done, acc: F.concat(done, F.array(F.struct(acc["pos"].alias("from"), F.length(text).alias("to")))))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE_BLOCK}}}"), F.lit(0))
+
+    def pieces(b: Column) -> Column:
+        def piece(g: Column) -> Column:
+            first, last = F.floor(g["from"] / PIECE_BLOCK).cast("int"), F.floor(g["to"] / PIECE_BLOCK).cast("int")
+            begin, end = g["from"] - first * PIECE_BLOCK, g["to"] - last * PIECE_BLOCK
+            block = lambda i: F.coalesce(F.get(b, i), F.lit(""))
+            across = F.concat(F.substring(block(first), begin + 1, F.lit(PIECE_BLOCK)), F.array_join(F.slice(b, first + 2, F.greatest(F.lit(0), last - first - 1)), ""),
+                              F.substring(block(last), F.lit(1), end))
+            return F.when(first == last, F.substring(block(first), begin + 1, end - begin)).otherwise(across)
+
+        return let(gaps, lambda all_gaps: F.array_join(F.transform(all_gaps, piece), mark))
+
+    return let(blocks, pieces)
+
+
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with each secret replaced by ``mark``; overlapping spans are replaced together. Each text is scanned once: the
     documents are written with their spans before thresholds are set, which moves no text between tasks. ``n_chars`` is counted
     anew if present."""
     rows = materialise(scanned(docs.select(F.struct("*").alias("_doc"), "text")).drop("text"), "secret-rows")
     rows = decided(rows, thresholds(rows)).withColumn("text", F.col("_doc.text"))
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    step = lambda acc, x: F.struct(
-        F.greatest(acc["pos"], x["end"]).alias("pos"), F.when(x["start"] < acc["pos"], acc["out"]).otherwise(
-            F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, x["start"] - acc["pos"]), F.lit(mark))).alias("out"))
-    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, lambda acc: F.concat(
-        acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))))).otherwise(F.col("text"))
+    clean = F.when(F.size("_spans") > 0, without(F.col("text"), F.col("_spans"), mark)).otherwise(F.col("text"))
     doc = F.col("_doc").withField("text", F.col("_clean"))
     if "n_chars" in docs.columns:
         doc = doc.withField("n_chars", F.length("_clean").cast(docs.schema["n_chars"].dataType))
-    return rows.select("_doc", clean.alias("_clean")).select(doc.alias("_doc")).select("_doc.*")
+    # Evaluated once per row, not once for the text and once for its length.
+    return computed(rows, _clean=clean).select(doc.alias("_doc")).select("_doc.*")
 
 
 @query()
