@@ -24,6 +24,8 @@ WINDOW = 8
 #: Shrunk failure rate beyond which a host is blocked.
 MAX_HOST_RATE = 0.5
 BROADCAST_HOSTS = 200_000
+#: Parts into which the rows of a host are dealt beyond that.
+PARTS = 16
 
 
 def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
@@ -77,14 +79,18 @@ def host_verdicts(rows: DataFrame, host: str = "source", failed: str = "base_fai
     return joined.select("host", "n_docs", "n_failed", shrunk.alias("host_rate")).withColumn("blocked", F.col("host_rate") > limit)
 
 
-def joined_verdicts(rows: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
-    """``rows`` with ``kept``. Up to ``BROADCAST_HOSTS`` hosts, their table is broadcast; beyond, the rows are dealt out by host."""
-    hosts = materialise(hosts, "hosts")
+def joined_verdicts(rows: DataFrame, hosts: DataFrame, host: str, bound: int = BROADCAST_HOSTS) -> DataFrame:
+    """``rows`` with ``kept``. Only blocked hosts are sent to the rows: up to ``bound`` by broadcast; beyond, both sides are dealt out
+    by host and part of the rows, so that a large host is not one task's."""
+    hosts = materialise(hosts.filter("blocked"), "hosts")
     side = hosts.select(F.coalesce("host", F.lit("")).alias("_host"), F.col("host").isNull().alias("_no_host"), "blocked")
     keyed = rows.withColumns({"_host": F.coalesce(F.col(host), F.lit("")), "_no_host": F.col(host).isNull()})
-    if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        side = F.broadcast(side)
-    out = keyed.join(side, ["_host", "_no_host"], "left")
+    if hosts.limit(bound + 1).count() <= bound:
+        out = keyed.join(F.broadcast(side), ["_host", "_no_host"], "left")
+    else:
+        parts = side.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        dealt = keyed.withColumn("_part", (F.rand(7) * PARTS).cast("int"))
+        out = dealt.join(parts, ["_host", "_no_host", "_part"], "left").drop("_part")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("blocked", F.lit(False))).drop("_host", "_no_host", "blocked")
 
 
