@@ -79,7 +79,9 @@ def profiles(docs: DataFrame, size: int = SIZE) -> DataFrame:
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     counts = known.mapInArrow(gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < size).select("lang", "gram", "rank")
+    # A filter on the row number itself lets each task drop n-grams beyond the first ``size`` before languages meet.
+    ranked = counts.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= size)
+    return ranked.select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 class Model:

@@ -84,14 +84,32 @@ class Ftrl:
         self.n[at] += g * g
 
 
+def example_lists(labelled: DataFrame, bits: int = BITS) -> DataFrame:
+    """``doc_id``, ``label``, ``_order`` and the distinct feature places (``at``, 32-bit integers) of each labelled row, made where its text is read."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps(batches):
+            doc, place = features(*utf8(step["text"]), bits)
+            pairs = np.unique(doc << (bits + 1) | place)
+            cuts = np.searchsorted(pairs >> (bits + 1), np.arange(step.num_rows + 1))
+            places = (pairs & ((1 << (bits + 1)) - 1)).astype("<u4")
+            lists = [places[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([step["doc_id"], step["label"], step["_order"], pa.array(lists, pa.binary())], ["doc_id", "label", "_order", "at"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in labelled.schema.fields}
+    return labelled.select("doc_id", "label", "_order", "text").mapInArrow(
+        run, f"doc_id {kinds['doc_id']}, label {kinds['label']}, _order long, at binary")
+
+
 def fitted(labelled: DataFrame, rows: int = MAX_ROWS, bits: int = BITS, epochs: int = EPOCHS) -> DataFrame:
-    """``place`` and ``weight`` of all weights that are not zero, from ``doc_id``, ``text`` and ``label`` (0 or 1)."""
+    """``place`` and ``weight`` of all weights that are not zero, from ``doc_id``, ``text`` and ``label`` (0 or 1).
+
+    The ``rows`` labelled rows of the smallest hashes are learnt from, in that order. Their lists of feature places, at most 2^bits numbers
+    each whatever the text's length, meet in one task; texts do not.
+    """
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["_order", "doc_id", "text", "label"], na_position="first")
-        model, examples = Ftrl(bits), []
-        for text, label in zip(frame["text"], frame["label"], strict=True):
-            raw, offsets = utf8(pa.array([text], pa.string()))
-            examples.append((np.append(np.unique(features(raw, offsets, bits)[1]), 1 << bits).astype(np.int32), float(label)))
+        frame = frame.sort_values(["_order", "doc_id", "at", "label"], na_position="first")
+        model = Ftrl(bits)
+        examples = [(np.append(np.frombuffer(x, "<u4"), 1 << bits).astype(np.int32), float(label)) for x, label in zip(frame["at"], frame["label"], strict=True)]
         for _ in range(epochs):
             for at, label in examples:
                 model.learn(at, label)
@@ -101,7 +119,7 @@ def fitted(labelled: DataFrame, rows: int = MAX_ROWS, bits: int = BITS, epochs:
 
     known = labelled.filter("doc_id IS NOT NULL AND label IS NOT NULL").select(
         "doc_id", "text", "label", F.xxhash64(F.col("doc_id").cast("string")).alias("_order"))
-    chosen = known.orderBy("_order", "doc_id", "text", "label").limit(rows)
+    chosen = example_lists(known, bits).orderBy("_order", "doc_id", "at", "label").limit(rows)
     return chosen.groupBy(F.lit(0).alias("_one")).applyInPandas(learn, "place long, weight double")
 
 
