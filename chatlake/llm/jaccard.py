@@ -33,7 +33,7 @@ from chatlake.llm import blobs
 from chatlake.llm.common import STEP_BYTES, gram_hashes, mixed, read, steps, utf8, word_hashes, word_spans
 from chatlake.llm.components import components
 from chatlake.llm.registry import query
-from chatlake.session import discard, materialise
+from chatlake.session import discard, materialise, scratch
 
 SHINGLE = 5
 #: Two sets link when 100 times their intersection is at least this many times their union.
@@ -57,6 +57,7 @@ HOT, TIMES_MEAN = 200_000, 8
 #: Parts by node into which the rows of a block are dealt to meet what is known of the block.
 PARTS = 16
 BROADCAST_NODES = 2_000_000
+BROADCAST_BLOCKS = 500_000
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -286,9 +287,13 @@ def first_pairs(blocked: DataFrame, percent: int = PERCENT) -> DataFrame:
     return blocked.groupBy("bucket").applyInArrow(meet, "block long, a long, b long, place long")
 
 
-def with_block(large: DataFrame, of_block: DataFrame) -> DataFrame:
-    """``large`` with the columns of its block: both sides are dealt out by block and part of the nodes, so no block is one task's."""
-    parts = of_block.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+def with_block(large: DataFrame, of_block: DataFrame, bound: int | None = None) -> DataFrame:
+    """``large`` with the columns of its block. Up to ``bound`` blocks (a few numbers each) are broadcast; beyond, both sides are dealt out by
+    block and part of the nodes, so no block is one task's."""
+    known = materialise(of_block, "join-of-block")
+    if known.limit((BROADCAST_BLOCKS if bound is None else bound) + 1).count() <= (BROADCAST_BLOCKS if bound is None else bound):
+        return large.join(F.broadcast(known), "block")
+    parts = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
     return large.withColumn("_part", F.pmod(F.xxhash64("a"), F.lit(PARTS)).cast("int")).join(parts, ["block", "_part"]).drop("_part")
 
 
@@ -300,8 +305,8 @@ def hub_pairs(large: DataFrame) -> DataFrame:
     """
     degree = large.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
     known = large.join(degree, "a")
-    top = known.groupBy("block", F.pmod(F.xxhash64("a"), F.lit(PARTS)).alias("part")).agg(F.max(F.struct("degree", F.xxhash64("a").alias("x"), "a")).alias("top"))
-    hubs = top.groupBy("block").agg(F.max("top").alias("top")).select("block", F.col("top.a").alias("hub"))
+    # The greatest is found map-side, so a block sends one row from each task.
+    hubs = known.groupBy("block").agg(F.max(F.struct("degree", F.xxhash64("a").alias("x"), "a")).alias("top")).select("block", F.col("top.a").alias("hub"))
     return with_block(large, hubs).filter("a != hub").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"))
 
 
@@ -332,7 +337,8 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int =
     and the text's hash of its first row, and of rows alike in both a task passes on one."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id", "text_key"), "node")
     wanted = materialise(wanted, "join-wanted")
-    few = wanted.limit(bound + 1).count() <= bound
+    asked = wanted.count()
+    few = asked <= bound
     keyed = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("first_id"), F.xxhash64("text").alias("text_key"), "text")
     texts = keyed.join(F.broadcast(wanted) if few else wanted, ["first_id", "text_key"]).select("node", "text")
 
@@ -353,7 +359,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int =
 
     # Squeezed texts are a third as large as their sets of hashes, so the sets are made again at each pair.
     found = materialise(texts.mapInArrow(chosen, "node long, size long, text binary"), "join-texts")
-    if found.count() > found.select("node").distinct().count():
+    if found.count() > asked:  # each node is found once at least
         twice, found = found, materialise(found.dropDuplicates(["node"]), "join-texts")
         discard(twice)
 
@@ -466,6 +472,12 @@ def clustered(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> DataFr
 
 def _clustered(docs: DataFrame, percent: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """Both written: ``doc_id``, ``n`` and ``node`` of every row, and ``node`` and ``component`` of every node that is linked or repeated."""
+    with scratch(docs.sparkSession) as keep:
+        rows, named = _linked(docs, percent, hot)
+        return keep(rows), keep(named)
+
+
+def _linked(docs: DataFrame, percent: int, hot: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     whole = materialise(described(docs), "join-described")
     # Null ids come after all others here.
@@ -501,7 +513,6 @@ def _clustered(docs: DataFrame, percent: int, hot: int) -> tuple[DataFrame, Data
     least = firsts.groupBy("root").agg(F.min("first_id").alias("component"))
     # A node of one row that nothing links with is its own component.
     named = materialise(firsts.join(least, "root").filter("rows > 1 OR first_id != component").select("node", "component"), "join-named")
-    discard(nodes, large, pairs, first, roots, *all_links)
     return rows, named
 
 

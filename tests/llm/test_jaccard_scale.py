@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chatlake.llm import jaccard
+from chatlake.llm import components, jaccard
 
 
 def shingles(text):
@@ -14,7 +14,7 @@ def shingles(text):
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
 
 
-def components(rows):
+def linked(rows):
     """Smallest id that links reach, by comparing all pairs of texts."""
     sets = {}
     for i, t in rows:
@@ -39,7 +39,7 @@ def components(rows):
 
 def check(spark, rows, **options):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    want = components(rows)
+    want = linked(rows)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.clustered(frame, **options).collect()]
     plain = [(i, len(shingles(t)), i if not shingles(t) else i if want[frozenset(shingles(t))] is None else want[frozenset(shingles(t))]) for i, t in rows]
     assert sorted(got, key=str) == sorted(plain, key=str)
@@ -114,7 +114,9 @@ def test_bounds(spark, monkeypatch):
     from chatlake import session
 
     monkeypatch.setattr(jaccard, "BROADCAST_NODES", 1)
+    monkeypatch.setattr(jaccard, "BROADCAST_BLOCKS", 0)
     monkeypatch.setattr(jaccard.verified, "__defaults__", (jaccard.PERCENT, 1))
+    monkeypatch.setattr(components.components, "__defaults__", ("a", "b", 7))
     rng = random.Random(8)
     base = [f"b{rng.randrange(10 ** 6)}" for _ in range(40)]
     rows = [(k, edited(rng, base, k % 3, f"n{k}")) for k in range(40)] + [(None, " ".join(base)), (3, " ".join(base))]
@@ -123,6 +125,18 @@ def test_bounds(spark, monkeypatch):
     before = len(session._WRITTEN)
     kept = jaccard.representatives(frame)
     assert len(session._WRITTEN) == before + 1
-    want = components(rows)
+    want = linked(rows)
     ids = {i for i, t in rows if i is not None and want[frozenset(shingles(t))] == i}
     assert {r.doc_id for r in kept.filter(F.col("doc_id").isNotNull()).collect()} == ids
+
+
+@pytest.mark.parametrize("task_edges", [3, 40, 1 << 20])
+def test_components_of_chains_and_stars(spark, task_edges):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(30)] + [(300, 300), (-5, 400), (400, 7)] + [(200 + 2 * i, 201 + 2 * i) for i in range(20)]
+    rng.shuffle(edges)
+    from chatlake.session import materialise
+    frame = materialise(spark.createDataFrame([e if rng.random() < .5 else e[::-1] for e in edges], "a long, b long").repartition(4), "edges")
+    got = {r.node: r.root for r in components.components(frame, task_edges=task_edges).collect()}
+    want = {i: -5 for i in [*range(61), -5, 400]} | {100 + i: 100 for i in range(30)} | {200 + i: 200 + i - i % 2 for i in range(40)}
+    assert got == want
