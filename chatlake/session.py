@@ -67,10 +67,25 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop's own objects."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, folder = _file_system(spark, path)
+    return system.exists(folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all below it, if it is there."""
+    system, folder = _file_system(spark, path)
+    system.delete(folder, True)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(conf).delete(folder, True)
+    remove(spark, path)
     _WRITTEN.remove(path)
 
 
