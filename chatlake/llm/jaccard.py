@@ -52,6 +52,8 @@ ORDERS = 2
 #: Nodes in one tile of a block's join, and points in one box of an R-tree.
 TILE = 1024
 LEAF = 16
+#: Bytes of stored points that are unpacked at once; one takes about ten times as much unpacked.
+POINT_BYTES = 1 << 18
 #: A shingle's nodes are dealt out by node if the sketch counts so many documents and several times its mean.
 HOT, TIMES_MEAN = 200_000, 8
 #: Parts by node into which the rows of a block are dealt to meet what is known of the block.
@@ -101,23 +103,23 @@ def point_of(shingles: np.ndarray) -> bytes:
 
 def groups_of(point: bytes, n: int) -> np.ndarray:
     """The group of each shingle, ascending."""
-    return np.cumsum(np.frombuffer(pa.decompress(point, 4 * n, codec="zstd", asbytes=True), "<u4"), dtype=np.int64)
+    return np.cumsum(np.frombuffer(pa.decompress(point, 4 * n, codec="zstd", asbytes=True), "<u4"), dtype=np.uint32)
 
 
 def dense(points: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     """Counts of 256 groups, a row for each list of groups."""
     out = np.zeros((len(points), GROUPS), np.int64)
     for row, groups, bits in zip(out, points, group_bits(sizes).tolist(), strict=True):
-        row += np.bincount(groups >> (bits - GROUP_BITS), minlength=GROUPS)
+        row += np.bincount(groups >> np.uint32(bits - GROUP_BITS), minlength=GROUPS)
     return out
 
 
 def common_at_most(a: np.ndarray, b: np.ndarray) -> int:
     """The summed coordinate minima of two points, the finer one folded to the groups of the other."""
     bits = int(group_bits(min(len(a), len(b))))
-    a, b = (g >> (int(group_bits(len(g))) - bits) for g in (a, b))
+    a, b = (g >> np.uint32(int(group_bits(len(g))) - bits) for g in (a, b))
     # Equal groups are told apart by their number within the group, so the minimum is what both have.
-    a, b = ((g << 32) + np.arange(len(g)) - np.searchsorted(g, g) for g in (a, b))
+    a, b = ((g.astype(np.int64) << 32) + np.arange(len(g)) - np.searchsorted(g, g) for g in (a, b))
     both = np.sort(np.concatenate((a, b)), kind="stable")
     return int((both[1:] == both[:-1]).sum())
 
@@ -204,8 +206,9 @@ def blocks(docs: DataFrame, sketch: np.ndarray, buckets: int, percent: int = PER
             many = rare[k >> shift] > limit
             # The bucket comes from a mixed hash, as shingles are chosen by their leading bits. Within a bucket its low half
             # tells shingles apart; two that share it only add pairs to check.
-            x = mixed(k[~many])
-            yield blobs.packed(x, x.astype(np.uint32), o[~many], p[~many], buckets)
+            few = ~many if many.any() else slice(None)
+            x = mixed(k[few])
+            yield blobs.packed(x, x.astype(np.uint32), o[few], p[few], buckets)
             if many.any():
                 rows = blobs.packed(mixed(o[many].view(np.uint64)), k[many], o[many], p[many], buckets)
                 yield rows.set_column(0, "bucket", pa.array(-1 - rows["bucket"].to_numpy(), pa.int32()))
@@ -318,8 +321,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataF
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for part in steps([batch], "pa", POINT_BYTES):
                 na, nb = (part[x].to_numpy(zero_copy_only=False) for x in ("na", "nb"))
                 ga, gb = ([groups_of(x, n) for x, n in zip(part[p].to_pylist(), sizes.tolist(), strict=True)] for p, sizes in (("pa", na), ("pb", nb)))
                 least = needed(na, nb, percent)
