@@ -13,7 +13,7 @@ from chatlake.functions import risk as R
 from chatlake.functions.lexicon import DEFAULT, Lexicon
 from chatlake.functions.text import WS_CHARS, estimate_tokens, squeeze, strip
 from chatlake.operators.risk import score
-from chatlake.operators.segments import following, numbered, previous, top_n, trailing, turn_segment
+from chatlake.operators.segments import numbered, previous, surroundings, top_n, trailing, turn_segment
 
 # Restore and budget sizes.
 RESTORE_EXCHANGES = 40
@@ -44,8 +44,7 @@ def exchanges(messages: DataFrame) -> DataFrame:
 
 def unpaired(messages: DataFrame) -> DataFrame:
     """Dialogue rows that pass through - users without a reply, assistants without a question."""
-    rows = previous(dialogue(messages), ["conv_id"], turn_segment(), ["turn"], {"role": "__before"})
-    rows = following(rows, ["conv_id"], turn_segment(), ["turn"], {"role": "__after"})
+    rows = surroundings(dialogue(messages), ["conv_id"], turn_segment(), ["turn"], before={"role": "__before"}, after={"role": "__after"})
     before, after = F.coalesce("__before", F.lit("")), F.coalesce("__after", F.lit(""))
     lone = ((F.col("role") == "user") & (after != "assistant")) | ((F.col("role") == "assistant") & (before != "user"))
     return rows.where(lone).drop("__before", "__after")
@@ -131,19 +130,30 @@ def recent_text(messages: DataFrame, size: int = 4) -> DataFrame:
     return out.withColumn("recent", joined).drop("__i", "__t", "__recent")
 
 
-def _pairing(older: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Classify older dialogue rows: kept as passthrough, or part of a plain pair."""
-    rows = previous(older, ["conv_id"], turn_segment(), ["turn"], {"role": "__br", "text": "__bt"})
-    rows = following(rows, ["conv_id"], turn_segment(), ["turn"], {"role": "__ar", "text": "__at", "turn": "__an"})
+def _situated(messages: DataFrame, max_tokens: int, keep: int, lexicon: Lexicon) -> DataFrame:
+    """Every row with what C3 decides by, from one summary per slice: whether its conversation overflows (``__full``), its class, whether it
+    is an older dialogue row (``__older``), and whether that row is half of a pair without importance (``plain``, with its reply)."""
+    each = estimate_tokens(F.coalesce("text", F.lit(""))) + 4 + F.when(F.col("role") == "system", 2).otherwise(0)
+    talk = F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
+    rows = messages.select("conv_id", "turn", "role", "text", talk.alias("__talk"))
+    # Dialogue rows and the others are numbered apart; token totals are those of the whole conversation.
+    rows = surroundings(
+        rows, ["conv_id", "__talk"], turn_segment(), ["turn"], number="__rn",
+        before={"role": "__br", "text": "__bt"}, after={"role": "__ar", "text": "__at", "turn": "__an"}, wider={"__each": (each, ["conv_id"]), "__talks": (F.col("__talk").cast("bigint"), ["conv_id"])})
+    size = ((F.col("__each") + 4) * F.lit(1.05)).cast("bigint")
+    rows = rows.withColumn("__big", size >= max_tokens)
+    last_older = F.col("__talks") - 2 * keep
+    older = F.col("__talk") & (F.col("__rn") <= last_older)
     user = F.col("role") == "user"
-    paired = F.coalesce(F.when(user, F.col("__ar") == "assistant").otherwise(F.col("__br") == "user"), F.lit(False))
-    rows = rows.withColumn("__pair", paired).withColumn("__u", F.when(user, F.col("text")).otherwise(F.col("__bt")))
-    rows = rows.withColumn("__b", F.when(user, F.col("__at")).otherwise(F.col("text")))
+    # An older row's next row may be a recent one, which it is not paired with.
+    next_older = F.col("__rn") + 1 <= last_older
+    paired = older & F.coalesce(F.when(user, next_older & (F.col("__ar") == "assistant")).otherwise(F.col("__br") == "user"), F.lit(False))
+    rows = rows.withColumn("__older", older).withColumn("__pair", paired & F.col("__big"))
+    rows = rows.withColumn("__u", F.when(F.col("__pair"), F.when(user, F.col("text")).otherwise(F.col("__bt"))))
+    rows = rows.withColumn("reply", F.when(F.col("__pair"), F.when(user, F.col("__at")).otherwise(F.col("text"))))
     rows = score(rows, lexicon, "__u")
-    important = R.is_important(F.col("__u"), F.col("__b"), F.col("risk_level"))
-    rows = rows.withColumn("plain", F.col("__pair") & ~important)
-    return rows.withColumn("reply", F.col("__b")).withColumn("reply_turn", F.col("__an")).drop(
-        "__br", "__bt", "__ar", "__at", "__an", "__pair", "__u", "__b", "risk_level", "keywords", "category")
+    important = R.is_important(F.col("__u"), F.col("reply"), F.col("risk_level"))
+    return rows.withColumn("plain", F.col("__pair") & ~important).withColumn("__class", role_class(F.col("role"), F.col("text")))
 
 
 def compact(messages: DataFrame, *, max_tokens: int, keep: int = 30, lexicon: Lexicon = DEFAULT,
@@ -154,48 +164,37 @@ def compact(messages: DataFrame, *, max_tokens: int, keep: int = 30, lexicon: Le
     plain older pairs leave (see `compaction_buckets`); ``summaries`` (conv_id, summary) replaces the older
     summaries of a conversation whose pairs were summarised.
     """
-    marked = _marked(messages, max_tokens, keep)
-    whole = marked.where(~F.col("__full")).select(
-        "conv_id", "turn", "role", "text", F.lit("whole").alias("part"), F.lit(0).alias("part_rank"))
-    full = marked.where(F.col("__full"))
-    label = lambda part, rank: [F.lit(part).alias("part"), F.lit(rank).alias("part_rank")]
-    base = ["conv_id", "turn", "role", "text"]
-    preserved = full.where(F.col("__class") == "preserved").select(*base, *label("preserved", 0))
-    old_summaries = full.where(F.col("__class") == "summary").select(
-        "conv_id", "turn", "role", strip(F.col("text")).alias("text"), *label("summary", 1))
-    split = keep_recent(full.drop("__full", "__class"), keep)
-    recent = split.where(F.col("part") == "recent").select(*base, *label("recent", 3))
-    classed = _pairing(split.where(F.col("part") == "older").select(*base), lexicon)
-    passing = classed.where(~F.col("plain")).select(*base, *label("passthrough", 2))
-    out = whole.unionByName(preserved).unionByName(passing).unionByName(recent)
+    rows = _overflowing(_situated(messages, max_tokens, keep, lexicon), keep)
+    kind = F.col("__class")
+    part = (
+        F.when(~F.col("__full"), "whole").when(kind == "preserved", "preserved").when(kind == "summary", "summary")
+        .when((kind == "dialogue") & F.col("__older") & ~F.col("plain"), "passthrough")
+        .when((kind == "dialogue") & ~F.col("__older"), "recent")
+    )
+    rank = F.when(F.col("part") == "summary", 1).when(F.col("part") == "passthrough", 2).when(F.col("part") == "recent", 3).otherwise(0)
+    text = F.when(F.col("part") == "summary", strip(F.col("text"))).otherwise(F.col("text"))
+    placed = rows.withColumn("part", part)
+    out = placed.where(F.col("part").isNotNull()).select("conv_id", "turn", "role", text.alias("text"), "part", rank.alias("part_rank"))
     if summaries is None:
-        return out.unionByName(old_summaries)
-    pairs = classed.where(F.col("plain")).select("conv_id").distinct()
+        return out
+    pairs = placed.where(F.col("__full") & F.col("plain")).select("conv_id").distinct()
     usable = summaries.where(F.coalesce("summary", F.lit("")) != "").join(pairs, "conv_id", "left_semi")
     new = usable.select("conv_id", F.lit(-1).cast("bigint").alias("turn"), F.lit("system_summary").alias("role"),
                         F.concat(F.lit("Summary of the conversation so far: "), F.col("summary")).alias("text"),
-                        *label("summary", 1))
-    kept = old_summaries.join(usable.select("conv_id"), "conv_id", "left_anti")
-    return out.unionByName(kept).unionByName(new)
+                        F.lit("summary").alias("part"), F.lit(1).alias("part_rank"))
+    kept = out.join(usable.select("conv_id", F.lit("summary").alias("part")), ["conv_id", "part"], "left_anti").select(*out.columns)
+    return kept.unionByName(new)
 
 
-def _marked(messages: DataFrame, max_tokens: int, keep: int) -> DataFrame:
-    each = estimate_tokens(F.coalesce("text", F.lit(""))) + 4 + F.when(F.col("role") == "system", 2).otherwise(0)
-    sizes = messages.groupBy("conv_id").agg(
-        ((F.sum(each) + 4) * F.lit(1.05)).cast("bigint").alias("t"),
-        F.count_if(F.col("role").isin("user", "assistant")).alias("d"),
-    ).select("conv_id", ((F.col("t") >= max_tokens) & (F.col("d") > 2 * keep)).alias("__full"))
-    # Only the conversations that overflow need to be known on the message side.
-    overflowing = sizes.where("__full")
-    return messages.join(overflowing, "conv_id", "left").withColumn(
-        "__full", F.coalesce("__full", F.lit(False))).withColumn("__class", role_class(F.col("role"), F.col("text")))
+def _overflowing(rows: DataFrame, keep: int) -> DataFrame:
+    """``__full``: the conversation is too large and has more than 2 * keep dialogue rows. ``__talks`` counts those for all its rows."""
+    return rows.withColumn("__full", F.col("__big") & (F.col("__talks") > 2 * keep))
 
 
 def compaction_buckets(messages: DataFrame, *, max_tokens: int, keep: int = 30, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """The plain older pairs that `compact` drops, sliced for summarising."""
-    full = _marked(messages, max_tokens, keep).where("__full").drop("__full", "__class")
-    older = keep_recent(full, keep).where(F.col("part") == "older").select("conv_id", "turn", "role", "text")
-    pairs = _pairing(older, lexicon).where(F.col("plain") & (F.col("role") == "user"))
+    rows = _overflowing(_situated(messages, max_tokens, keep, lexicon), keep)
+    pairs = rows.where(F.col("__full") & F.col("plain") & (F.col("role") == "user"))
     return history_chunks(pairs.select("conv_id", "turn", F.col("text").alias("user_message"),
                                        F.col("reply").alias("bot_response")))
 

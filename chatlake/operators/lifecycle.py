@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions.risk import score_band
 from chatlake.functions.text import strip
 from chatlake.operators.monitoring import throttle
-from chatlake.operators.segments import previous, running, time_segment
+from chatlake.operators.segments import previous, time_segment
 
 # Follow-up days after the first interaction.
 FOLLOW_UP_DAYS = (1, 3, 7, 14, 30)
@@ -226,12 +226,28 @@ def user_contexts(latest_forms: DataFrame, as_of: dt.datetime, days: int = CONTE
 
 
 def with_sessions(activity: DataFrame, *, order: str = "id", days: int = SESSION_DAYS, unit: str = "day") -> DataFrame:
-    """Number each user's sessions; a new one starts when the gap is longer than the limit."""
+    """Number each user's sessions; a new one starts when the gap is longer than the limit.
+
+    Starts within a slice follow from its own rows; whether a slice's first row starts a session follows from the last
+    time of the slice before. So one summary per slice (first and last time, starts inside) numbers all sessions.
+    """
     limit = F.expr(f"INTERVAL {days} DAYS")
-    rows = previous(activity, ["user_id"], time_segment("ts", unit), ["ts", order], {"ts": "previous_ts"})
-    starts = (F.col("previous_ts").isNull() | (F.col("ts") - F.col("previous_ts") > limit)).cast("bigint")
-    return running(rows.withColumn("starts", starts), ["user_id"], time_segment("ts", unit),
-                   [F.col("ts"), F.col(order)], {"session_no": F.col("starts")})
+    row = Window.partitionBy("user_id", "__slice").orderBy("ts", order)
+    rows = activity.withColumn("__slice", time_segment("ts", unit)).withColumn("__near", F.lag("ts").over(row))
+    rows = rows.withColumn("__start", (F.col("ts") - F.col("__near") > limit).cast("bigint"))
+    slices = rows.groupBy("user_id", "__slice").agg(F.min("ts").alias("__low"), F.max("ts").alias("__high"), F.coalesce(F.sum("__start"), F.lit(0)).alias("__inside"))
+    by_user = Window.partitionBy("user_id").orderBy("__slice")
+    before = F.lag("__high").over(by_user)
+    opened = slices.withColumn("__before", before).withColumn(
+        "__opens", (F.col("__before").isNull() | (F.col("__low") - F.col("__before") > limit)).cast("bigint"))
+    total = F.sum(F.col("__inside") + F.col("__opens")).over(by_user.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__inside")
+    known = opened.select(F.col("user_id").alias("__user"), F.col("__slice").alias("__of"), "__before", total.alias("__offset"))
+    met = rows.join(known, F.col("user_id").eqNullSafe(F.col("__user")) & (F.col("__slice") == F.col("__of")))
+    inside = F.coalesce(F.sum("__start").over(row.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    previous_ts = F.coalesce("__near", "__before")
+    starts = (previous_ts.isNull() | (F.col("ts") - previous_ts > limit)).cast("bigint")
+    numbered = met.withColumns({"previous_ts": previous_ts, "starts": starts, "session_no": F.col("__offset") + inside})
+    return numbered.drop("__slice", "__near", "__start", "__user", "__of", "__before", "__offset")
 
 
 def sessions(activity: DataFrame, **options) -> DataFrame:

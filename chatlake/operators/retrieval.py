@@ -5,8 +5,8 @@
 * Lexical: chunks are exchanged once by their key. Term frequencies, the scoring join with the (broadcast)
   query terms and the sum per (query, chunk) all stay inside that partitioning; only the best rows per
   query and partition move on.
-* Dense: a batch of vectors meets a bounded block of queries as one matrix product and keeps its best
-  rows per query, so no vector x query pairs are ever written.
+* Dense: tiles of vectors meet tiles of a bounded block of queries as matrix products. A task keeps one list of the best
+  rows per query for all its batches, so it sends on k rows of a query at most.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ WEAK_SECTIONS = ("related resources", "resources", "references")
 
 #: Most queries turned into one matrix; beyond it vectors and queries meet in blocks.
 QUERY_BLOCK = 4096
+#: Vectors and queries of one matrix product: the product holds so many scores at once.
+TILE_ROWS, TILE_QUERIES = 2048, 512
 
 #: Q7: keyword lists and the text they add to a short question; a parameter of every query function.
 EXPANSIONS: tuple[tuple[tuple[str, ...], str], ...] = (
@@ -196,19 +198,48 @@ class _Matrix:
             return None
         return _Matrix(pdf["query_id"].to_numpy()[ok], rows[ok] / length[ok, None], int(pdf["k"].max()))
 
-    def best(self, batch: pd.DataFrame) -> pd.DataFrame:
-        """Best rows of a batch per query, ties at the cut kept for the final ranking."""
-        rows = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-        length = np.sqrt((rows * rows).sum(axis=1))
-        scores = (rows @ self.rows.T) / np.where(length == 0, 1e-12, length)[:, None]
+
+class _Best:
+    """The best rows of each query among all batches of a task, in the order of the final ranking; never more than k for a query."""
+
+    def __init__(self, queries: _Matrix) -> None:
+        self.queries = queries
+        self.rows = pd.DataFrame({"q": np.zeros(0, np.int64), "cosine": np.zeros(0), "doc_id": [], "chunk_index": []})
+        # The score that a row must reach to be among the best of a query, once it has k.
+        self.least = np.full(len(queries.ids), -np.inf)
+
+    def add(self, batch: pd.DataFrame) -> None:
+        for at in range(0, len(batch), TILE_ROWS):
+            part = batch.iloc[at:at + TILE_ROWS]
+            rows = np.stack(part["vector"].to_numpy()).astype(np.float64)
+            length = np.sqrt((rows * rows).sum(axis=1))
+            rows = rows / np.where(length == 0, 1e-12, length)[:, None]
+            for q in range(0, len(self.queries.ids), TILE_QUERIES):
+                self._tile(part, rows, q)
+
+    def _tile(self, part: pd.DataFrame, rows: np.ndarray, first: int) -> None:
+        keep = self.queries.keep
+        # Scores are compared at nine places, as in the final ranking.
+        scores = np.round(rows @ self.queries.rows[first:first + TILE_QUERIES].T, 9)
         scores = np.where(np.isfinite(scores), scores, -np.inf)
-        k = min(self.keep, len(batch))
-        cut = np.partition(scores, len(batch) - k, axis=0)[len(batch) - k]
-        at, of = np.nonzero((scores >= cut - 1e-9) & np.isfinite(scores))
-        return pd.DataFrame({
-            "query_id": self.ids[of], "doc_id": batch["doc_id"].to_numpy()[at],
-            "chunk_index": batch["chunk_index"].to_numpy()[at], "cosine": scores[at, of],
-        })
+        cut = self.least[first:first + TILE_QUERIES]
+        if len(rows) > keep:
+            cut = np.maximum(cut, np.partition(scores, len(rows) - keep, axis=0)[len(rows) - keep])
+        at, of = np.nonzero((scores >= cut) & np.isfinite(scores))
+        if not len(at):
+            return
+        new = pd.DataFrame({"q": of + first, "cosine": scores[at, of], "doc_id": part["doc_id"].to_numpy()[at],
+                            "chunk_index": part["chunk_index"].to_numpy()[at]})
+        both = pd.concat((self.rows, new)) if len(self.rows) else new
+        both = both.sort_values(["q", "cosine", "doc_id", "chunk_index"], ascending=[True, False, True, True])
+        place = both.groupby("q").cumcount()
+        self.rows = both[place < keep]
+        full = both[place == keep - 1]
+        self.least[full["q"].to_numpy(np.int64)] = full["cosine"].to_numpy()
+
+    def result(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": self.queries.ids[self.rows["q"].to_numpy(np.int64)], "doc_id": self.rows["doc_id"].to_numpy(),
+                             "chunk_index": self.rows["chunk_index"].to_numpy(), "cosine": self.rows["cosine"].to_numpy()})
 
 
 def _dense_by_matrix(q: DataFrame, v: DataFrame, schema: str) -> DataFrame:
@@ -218,10 +249,12 @@ def _dense_by_matrix(q: DataFrame, v: DataFrame, schema: str) -> DataFrame:
     sent = v.sparkSession.sparkContext.broadcast(parts)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queries = _Matrix(*sent.value) if sent.value is not None else None
+        if sent.value is None:
+            return
+        best = _Best(_Matrix(*sent.value))
         for batch in batches:
-            if queries is not None and len(batch):
-                yield queries.best(batch)
+            best.add(batch)
+        yield best.result()
 
     return v.mapInPandas(score, schema)
 
@@ -237,7 +270,11 @@ def _dense_by_blocks(q: DataFrame, v: DataFrame, schema: str, block: int) -> Dat
 
     def meet(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
         matrix = _Matrix.of(qs)
-        return matrix.best(vs) if matrix is not None and len(vs) else pd.DataFrame(columns=columns)
+        if matrix is None or not len(vs):
+            return pd.DataFrame(columns=columns)
+        best = _Best(matrix)
+        best.add(vs)
+        return best.result()
 
     return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(meet, schema)
 

@@ -56,6 +56,43 @@ def running(df: DataFrame, keys: Sequence[str], segment: Column, order: Sequence
     return out.drop(_SEG, *[f"__o_{n}" for n in sums])
 
 
+def surroundings(df: DataFrame, keys: Sequence[str], segment: Column, order: Sequence[str], *, number: str | None = None,
+                 total: str | None = None, before: dict[str, str] | None = None, after: dict[str, str] | None = None,
+                 wider: dict[str, tuple[Column, Sequence[str]]] | None = None) -> DataFrame:
+    """Number, total, preceding and next values of each row of a key, all from one summary per slice.
+
+    ``before`` and ``after`` map a column to the name under which the neighbour's value is added; ``wider`` adds sums over all rows of some
+    of the keys only. The rows are read twice, once for the summaries and once for themselves, however much is asked for.
+    """
+    keys, order_row = list(keys), F.struct(*order)
+    base = df.withColumn(_SEG, segment)
+    sides = {"__last": (F.max_by, before), "__first": (F.min_by, after)}
+    parts = [F.count(F.lit(1)).cast("bigint").alias("__rows")]
+    parts += [edge(F.struct(*columns), order_row).alias(name) for name, (edge, columns) in sides.items() if columns]
+    parts += [F.sum(value).alias(f"__w_{name}") for name, (value, _) in (wider or {}).items()]
+    slices = base.groupBy(*keys, _SEG).agg(*parts)
+    by_key = Window.partitionBy(*keys)
+    in_order = by_key.orderBy(_SEG)
+    known = [F.coalesce(F.sum("__rows").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"),
+             F.sum("__rows").over(by_key).alias("__total")]
+    known += [F.lag("__last").over(in_order).alias("__outer_last")] if before else []
+    known += [F.lead("__first").over(in_order).alias("__outer_first")] if after else []
+    known += [F.sum(f"__w_{name}").over(Window.partitionBy(*some)).alias(name) for name, (_, some) in (wider or {}).items()]
+    out = _join_back(base, slices.select(*keys, _SEG, *known), keys)
+    inside = Window.partitionBy(*keys, _SEG).orderBy(*order)
+    if number:
+        out = out.withColumn(number, F.col("__offset") + F.row_number().over(inside))
+    if total:
+        out = out.withColumn(total, F.col("__total"))
+    for shift, outer, columns in ((F.lag, "__outer_last", before), (F.lead, "__outer_first", after)):
+        if columns:
+            out = out.withColumn("__near", F.coalesce(shift(F.struct(*columns)).over(inside), F.col(outer)))
+            for source, name in columns.items():
+                out = out.withColumn(name, F.col("__near").getField(source))
+            out = out.drop("__near", outer)
+    return out.drop(_SEG, "__offset", "__total")
+
+
 def numbered(df: DataFrame, keys: Sequence[str], segment: Column, order: Sequence[Column], name: str = "rn",
              total: str | None = None) -> DataFrame:
     """Row number per key (and, on request, the key's row count)."""

@@ -129,11 +129,10 @@ def active_follow_ups(spark, sf):
 
 
 @query(f"""WITH {ACT} SELECT a.user_id, count(*) AS rows_kept FROM act a WHERE EXISTS (SELECT 1 FROM events e
- WHERE e.user_id = a.user_id AND e.event_type = 'signup' AND e.ts < TIMESTAMP '2024-01-05') GROUP BY a.user_id""")
+ WHERE e.user_id = a.user_id AND e.event_type = 'signup') GROUP BY a.user_id""")
 def registered_activity(spark, sf):
-    """Activity of users that signed up before 5 January, as in its SQL; later ones are left out."""
-    early = S.registrations(spark, sf).where(F.col("verified_at") < F.lit(dt.datetime(2024, 1, 5)).cast("timestamp_ntz"))
-    kept = N.registered_only(S.activity(spark, sf), early)
+    """Activity of all users that ever signed up."""
+    kept = N.registered_only(S.activity(spark, sf), S.registrations(spark, sf))
     return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("rows_kept"))
 
 

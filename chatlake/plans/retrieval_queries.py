@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatlake.operators import chunking as H
+from chatlake.operators import lexical_index as X
 from chatlake.operators import retrieval as Q
 from chatlake.plans import hybrid
 from chatlake.plans.registry import query
@@ -71,9 +72,10 @@ _BM25 = f"""qt AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id,
 
 @query(f"WITH {_INDEX}, {_PREP}, {_BM25} SELECT query_id, doc_id, CAST(lexical_rank AS INTEGER) AS lexical_rank, round(lexical, 6) AS lexical FROM lex")
 def bm25_topk(spark, sf):
-    chunks = S.document_chunks(spark, sf)
+    """From the stored index, which the first query over a table's present files builds."""
+    index = X.stored(spark, f"{sf}/documents.parquet", S.document_chunks(spark, sf))
     prepared = Q.prepare_queries(S.search_queries(spark, sf), 3, PROBE_EXPANSIONS)
-    rows = Q.lexical_search(prepared, chunks)
+    rows = X.bm25(prepared, index)
     return rows.select("query_id", "doc_id", "lexical_rank", F.round("lexical", 6).alias("lexical"))
 
 

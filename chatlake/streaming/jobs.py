@@ -1,7 +1,8 @@
 """ST1-ST9: the live forms of scoring, counting, sessions, throttling and ingestion.
 
 State is keyed finely and bounded by watermarks; sinks are append-only files or ``foreachBatch`` functions that are
-safe to repeat. Checkpoints live below the folder the session names in ``spark.checkpoint.dir``.
+safe to repeat: a batch writes folders named by its number, and what it continues is read from the folder of the batch before. Checkpoints live
+below the folder the session names in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -10,15 +11,16 @@ import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from chatlake.functions.lexicon import Lexicon
+from chatlake.operators.monitoring import throttle
 from chatlake.operators.risk import high_risk_alerts, score_exchanges
 from chatlake.operators.usage import with_cost
-from chatlake.session import scratch_path
+from chatlake.session import exists, remove, scratch_path
 
 
 def read_files(spark: SparkSession, folder: str, glob: str, schema: StructType | str, per_trigger: int | None = None) -> DataFrame:
@@ -41,19 +43,64 @@ def run_available(frame: DataFrame, purpose: str, mode: str = "append") -> DataF
     return spark.read.schema(frame.schema).parquet(f"{base}/rows")
 
 
-def run_complete(frame: DataFrame, purpose: str) -> DataFrame:
-    """Process what has arrived and return the full aggregate, open windows included."""
-    spark = frame.sparkSession
-    base = scratch_path(spark, purpose)
+#: Batches after which an upsert table is written anew as one.
+COMPACT_EVERY = 16
+
+
+def upsert(path: str, keys: list[str], compact_every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
+    """Sink of update mode: a batch's rows replace those of earlier batches with the same keys.
+
+    Each batch is a folder of its own, so a repeated batch replaces itself. Every ``compact_every`` batches the newest rows of
+    all keys are written as one folder, and the folders before the compaction before that are deleted.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            whole = _newest(spark, path, batch.schema, keys, batch_id, compact_every)
+            whole.write.mode("overwrite").parquet(f"{path}/whole/batch={batch_id}")
+            for old in range(max(0, batch_id - 2 * compact_every + 1), batch_id - compact_every + 1):
+                remove(spark, f"{path}/rows/batch={old}")
+            remove(spark, f"{path}/whole/batch={batch_id - 2 * compact_every}")
 
-    run_batches(frame, purpose, handle, "complete")
-    # The greatest batch holds the newest aggregate.
-    rows = spark.read.parquet(base)
-    newest = rows.agg(F.max("batch").alias("b")).select("b").scalar()
-    return rows.where(F.col("batch") == newest).drop("batch")
+    return handle
+
+
+def _newest(spark: SparkSession, path: str, schema: StructType, keys: list[str], upto: int, compact_every: int) -> DataFrame:
+    last = (upto // compact_every) * compact_every - 1  # the newest compaction that lies before this batch
+    if last >= 0 and not exists(spark, f"{path}/whole/batch={last}"):
+        last = -1
+    parts = ([f"{path}/whole/batch={last}"] if last >= 0 else []) + [
+        f"{path}/rows/batch={i}" for i in range(last + 1, upto + 1) if exists(spark, f"{path}/rows/batch={i}")]
+    number = F.regexp_extract(F.input_file_name(), r"/batch=(\d+)/", 1).cast("bigint")
+    rows = spark.read.schema(schema).parquet(*parts).withColumn("__batch", number) if parts else None
+    if rows is None:
+        return spark.createDataFrame([], schema)
+    values = [c for c in schema.names if c not in keys]
+    # One row of state per key moves, whatever the number of batches: the newest is found map-side.
+    found = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "__batch").alias("__v")) if values else rows.select(*keys).distinct()
+    return found.select(*keys, "__v.*").select(*schema.names) if values else found
+
+
+def upserted(spark: SparkSession, path: str, schema: StructType, keys: list[str], upto: int, compact_every: int = COMPACT_EVERY) -> DataFrame:
+    """The table that `upsert` keeps, as of batch ``upto``."""
+    return _newest(spark, path, schema, keys, upto, compact_every)
+
+
+def run_upsert(frame: DataFrame, purpose: str, keys: list[str]) -> DataFrame:
+    """Process what has arrived in update mode and return the newest row of each key. Groups that the watermark has passed leave the
+    state; their rows stay in the table."""
+    path = scratch_path(frame.sparkSession, f"{purpose}-table")
+    last = [-1]
+    sink = upsert(path, keys)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        sink(batch, batch_id)
+        last[0] = batch_id
+
+    run_batches(frame, purpose, handle, "update")
+    return upserted(frame.sparkSession, path, frame.schema, keys, last[0])
 
 
 def run_batches(frame: DataFrame, purpose: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
@@ -71,11 +118,16 @@ def scored_messages(exchanges: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def write_scored(log_path: str, alert_path: str) -> Callable[[DataFrame, int], None]:
-    """ST1 sink: the log and the alerts of a batch under its own folder, so a repeated batch replaces itself."""
+    """ST1 sink: the log and the alerts of a batch under its own folder, so a repeated batch replaces itself.
+
+    The batch is scored once, for the log; the alerts are read from what was logged.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        high_risk_alerts(batch).write.mode("overwrite").parquet(f"{alert_path}/batch={batch_id}")
+        log = f"{log_path}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(log)
+        logged = batch.sparkSession.read.schema(batch.schema).parquet(log)
+        high_risk_alerts(logged).write.mode("overwrite").parquet(f"{alert_path}/batch={batch_id}")
 
     return handle
 
@@ -92,45 +144,78 @@ def daily_counts(usage: DataFrame, *, delay: str = "1 hour", per_user: bool = Fa
     )
 
 
-def inactivity_sessions(activity: DataFrame, *, gap: str = "7 days", delay: str = "1 hour") -> DataFrame:
-    """ST3: sessions closed by inactivity; differs from W9 only for a gap of exactly the limit."""
-    return (
-        activity.withWatermark("ts", delay).groupBy("user_id", F.session_window("ts", gap).alias("w"))
-        .agg(F.count(F.lit(1)).alias("messages"))
-        .select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "messages")
-    )
+def session_batches(path: str, gap: dt.timedelta, delay: dt.timedelta = dt.timedelta(hours=1)) -> Callable[[DataFrame, int], None]:
+    """ST3 sink: sessions closed by inactivity; differs from W9 only for a gap of exactly the limit.
+
+    A batch's rows become sessions of their own and are joined with the sessions left open by the batch before. Sessions that ended longer
+    than the gap before the watermark (the newest time minus ``delay``) are closed and never read again; rows older than the
+    watermark are dropped. Only sessions meet by user, not activity.
+    """
+    span, late = (f"INTERVAL {int(x.total_seconds() * 1e6)} MICROSECOND" for x in (gap, delay))
+    seconds = f"{gap.total_seconds()} seconds"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = f"{path}/sessions/batch={batch_id - 1}"
+        clock = spark.read.parquet(f"{path}/clock/batch={batch_id - 1}").first()["high"] if batch_id and exists(spark, f"{path}/clock/batch={batch_id - 1}") else None
+        rows = batch.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+        high = rows.agg(F.max("ts")).first()[0]
+        if clock is not None:
+            rows = rows.where(F.col("ts") >= F.lit(clock) - F.expr(late))
+            high = max(high, clock) if high is not None else clock
+        fresh = rows.groupBy("user_id", F.session_window("ts", seconds).alias("w")).agg(
+            F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("messages")).drop("w")
+        if clock is not None and exists(spark, f"{before}/closed=false"):
+            fresh = fresh.unionByName(spark.read.schema(fresh.schema).parquet(f"{before}/closed=false"))
+        order = Window.partitionBy("user_id").orderBy("first", "last")
+        reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        starts = fresh.withColumn("__new", F.coalesce(F.col("first") >= reached + F.expr(span), F.lit(True)).cast("int"))
+        merged = starts.withColumn("__no", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("user_id", "__no").agg(
+            F.min("first").alias("first"), F.max("last").alias("last"), F.sum("messages").alias("messages")).drop("__no")
+        closed = F.col("last") + F.expr(span) <= F.lit(high) - F.expr(late) if high is not None else F.lit(False)
+        merged.withColumn("closed", closed).write.mode("overwrite").partitionBy("closed").parquet(f"{path}/sessions/batch={batch_id}")
+        spark.createDataFrame([(high,)], "high timestamp").write.mode("overwrite").parquet(f"{path}/clock/batch={batch_id}")
+        # A repeated batch still needs the open sessions of the one before it.
+        remove(spark, f"{path}/sessions/batch={batch_id - 2}/closed=false")
+
+    return handle
+
+
+def sessions_of(spark: SparkSession, path: str, gap: dt.timedelta) -> DataFrame:
+    """Closed sessions of all batches and the open ones of the newest: user_id, session_start, session_end, messages, closed."""
+    rows = spark.read.parquet(f"{path}/sessions").withColumn("closed", F.col("closed").cast("boolean"))
+    newest = rows.agg(F.max("batch").alias("b")).select("b").scalar()
+    kept = rows.where(F.col("closed") | (F.col("batch") == newest))
+    end = F.col("last") + F.expr(f"INTERVAL {int(gap.total_seconds() * 1e6)} MICROSECOND")
+    return kept.select("user_id", F.col("first").alias("session_start"), end.alias("session_end"), "messages", "closed")
 
 
-def throttled(alerts: DataFrame, cooldown: dt.timedelta, *, delay: str = "10 minutes") -> DataFrame:
-    """ST4: W8 with state; (category, ts, alert_id) rows in, kept ones out.
+def throttle_batches(path: str, cooldown: dt.timedelta, delay: dt.timedelta = dt.timedelta(minutes=10)) -> Callable[[DataFrame, int], None]:
+    """ST4 sink: W8 continued from batch to batch; (category, ts, alert_id) rows in, kept ones out.
 
-    The state is one instant per category and expires a cooldown after the watermark has passed it. Rows are
-    ordered within a micro-batch; a row older than the last kept one of its category is held back by the cooldown.
+    The state is one instant per category, that of its last kept alert. Alerts within a cooldown of it, or older, are held back; the others of a
+    batch go through `monitoring.throttle`, so no category is one task's. An instant leaves the state once the newest alert of any
+    category is more than a cooldown and ``delay`` past it.
     """
-    gap = int(cooldown.total_seconds() * 1_000_000)
+    gap, late = (int(x.total_seconds() * 1_000_000) for x in (cooldown, delay))
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        parts = list(frames)
-        rows = pd.concat(parts).sort_values(["us", "alert_id"]) if parts else pd.DataFrame(columns=["us", "alert_id"])
-        kept = []
-        for us, alert in zip(rows["us"], rows["alert_id"]):
-            if last is None or us - last >= gap:
-                last = int(us)
-                kept.append((key[0], last, int(alert)))
-        if last is not None:
-            state.update((last,))
-            expires = max((last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1)
-            state.setTimeoutTimestamp(expires)
-        yield pd.DataFrame(kept, columns=["category", "us", "alert_id"])
-
-    rows = alerts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    rows = rows.select("category", "ts", F.unix_micros("ts").alias("us"), F.col("alert_id").cast("bigint").alias("alert_id"))
-    return rows.groupBy("category").applyInPandasWithState(
-        step, "category string, us bigint, alert_id bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+        before = f"{path}/state/batch={batch_id - 1}"
+        known = exists(spark, before)
+        if known:
+            last = spark.read.parquet(before).withColumnsRenamed({"category": "__c", "last": "__last"})
+            rows = rows.join(last, F.col("category").eqNullSafe(F.col("__c")), "left").where(
+                F.col("__last").isNull() | (F.col("us") >= F.col("__last") + gap)).drop("__c", "__last")
+        throttle(rows, "category", cooldown, order="alert_id").write.mode("overwrite").parquet(f"{path}/kept/batch={batch_id}")
+        kept = spark.read.parquet(f"{path}/kept/batch={batch_id}").select("category", F.col("us").alias("last"))
+        state = kept.unionByName(spark.read.parquet(before)) if known else kept
+        newest = state.groupBy("category").agg(F.max("last").alias("last"))
+        limit = state.agg(F.max("last")).first()[0]
+        newest.where(F.col("last") + gap + late >= F.lit(limit)).write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+
+    return handle
 
 
 def rate_breaches(requests: DataFrame, key: str, limit: int, *, window: str = "1 hour", slide: str | None = None,

@@ -83,3 +83,28 @@ def test_embedding_cache(spark):
     assert [r.input for r in Q.missing_embeddings(inputs, cache).collect()] == ["y"]
     got = {r.i: r.vector for r in Q.with_embeddings(inputs, cache, size=3).collect()}
     assert got == {1: [1.0, 2.0, 0.0], 2: [1.0, 2.0, 0.0], 3: [0.0, 0.0, 0.0], 4: None}
+
+
+def test_a_task_sends_on_no_more_than_k_rows_of_a_query(spark, monkeypatch):
+    """However many batches a task reads, its list of the best is one; small tiles change nothing."""
+    rng = np.random.default_rng(5)
+    vs = np.round(rng.normal(size=(3000, 3)), 1).astype("float32")  # many equal scores
+    v = spark.createDataFrame([(i, 0, x.tolist()) for i, x in enumerate(vs)], "doc_id INT, chunk_index INT, vector ARRAY<FLOAT>").repartition(4)
+    q = spark.createDataFrame([(i, x.tolist(), 5) for i, x in enumerate(rng.normal(size=(7, 3)))], "query_id INT, vector ARRAY<FLOAT>, k INT")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        sent = Q._dense_by_matrix(q, v, "query_id int, doc_id int, chunk_index int, cosine double").groupBy("query_id", F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(sent) == 28 and all(r["count"] == 5 for r in sent)
+    import pandas as pd
+    matrix = Q._Matrix.of(q.toPandas())
+    frame = pd.DataFrame({"doc_id": range(3000), "chunk_index": 0, "vector": list(vs)})
+    results = []
+    for rows, queries in ((2048, 512), (64, 2)):
+        monkeypatch.setattr(Q, "TILE_ROWS", rows)
+        monkeypatch.setattr(Q, "TILE_QUERIES", queries)
+        best = Q._Best(matrix)
+        best.add(frame)
+        results.append(best.result().reset_index(drop=True))
+    assert results[0].equals(results[1])
