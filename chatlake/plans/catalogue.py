@@ -5,6 +5,7 @@ from chatlake.plans import (  # noqa: F401
     consensus_queries,
     context_queries,
     lifecycle_queries,
+    record_queries,
     retrieval_queries,
     risk_queries,
     text_queries,
