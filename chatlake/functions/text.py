@@ -21,7 +21,7 @@ WORD_CHAR = r"\p{L}\p{N}_"
 
 # Line patterns (matched on a stripped line, ignoring case) that mark boiler-plate.
 NOISE_LINES = (
-    r"^source\s*:",
+    rf"^source[{WS}]*:",
     r"^table of contents$",
     r"^contents$",
     r"^copyright(?:$|[^\p{L}\p{N}_])",
@@ -30,12 +30,12 @@ NOISE_LINES = (
     r"^a cip record(?:$|[^\p{L}\p{N}_])",
     r"^isbn(?:$|[^\p{L}\p{N}_])",
     r"^printed in(?:$|[^\p{L}\p{N}_])",
-    r"^cover design\s*:",
+    rf"^cover design[{WS}]*:",
     r"^(?:https?://|www\.)",
     r"^[ivxlcdm]+$",
     r"^\p{Nd}+$",
     r"^[^A-Za-z\x{0E00}-\x{0E7F}]{3,}$",
-    r"\.{3,}\s*[A-Za-z0-9]+$",
+    rf"\.{{3,}}[{WS}]*[A-Za-z0-9]+$",
 )
 # Section titles that carry no content.
 NOISE_TITLES = (
