@@ -8,6 +8,7 @@ from chatlake.plans import (  # noqa: F401
     record_queries,
     retrieval_queries,
     risk_queries,
+    sink_queries,
     text_queries,
     usage_queries,
     stream_queries,

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BOM = "\ufeff"
+#: Times are written to the microsecond; Spark's own formats for text files stop at milliseconds.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def manifest(df: DataFrame, ts: str = "ts", **labels: str) -> DataFrame:
@@ -17,8 +19,8 @@ def manifest(df: DataFrame, ts: str = "ts", **labels: str) -> DataFrame:
 
 def export_json(df: DataFrame, path: str, ts: str = "ts", **labels: str) -> None:
     """IO5: one JSON object per line under ``data``, the header under ``manifest``; non-ASCII stays as is."""
-    df.write.mode("overwrite").json(f"{path}/data")
-    manifest(df, ts, **labels).write.mode("overwrite").json(f"{path}/manifest")
+    df.write.mode("overwrite").options(**TIMES).json(f"{path}/data")
+    manifest(df, ts, **labels).write.mode("overwrite").options(**TIMES).json(f"{path}/manifest")
 
 
 def export_csv(df: DataFrame, path: str, *, bom: bool = False) -> None:
@@ -26,7 +28,7 @@ def export_csv(df: DataFrame, path: str, *, bom: bool = False) -> None:
     names = list(df.columns)
     if bom:
         df = df.withColumnsRenamed({names[0]: _BOM + names[0]})
-    df.write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(path)
+    df.write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").options(**TIMES).csv(path)
 
 
 def export_name(start: Column, end: Column, stem: str = "conversations", suffix: str = "csv") -> Column:
