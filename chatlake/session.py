@@ -98,6 +98,17 @@ def discard(*frames: DataFrame) -> None:
             _delete(frame.sparkSession, path)
 
 
+def written() -> list[str]:
+    """Folders that `materialise` wrote and nobody has deleted."""
+    return list(_WRITTEN)
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    """As `discard`, by the folder; nothing happens if it is gone."""
+    if path in _WRITTEN:
+        _delete(spark, path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Deletes what `materialise` writes inside the block, but for the frames that are passed to the function it gives."""
