@@ -78,6 +78,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(folder)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    system, folder = _file_system(spark, path)
+    return system.exists(folder) and system.getFileStatus(folder).isDirectory()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder and all below it, if it is there."""
     system, folder = _file_system(spark, path)

@@ -20,15 +20,16 @@ from chatlake.functions.lexicon import Lexicon
 from chatlake.operators.monitoring import throttle
 from chatlake.operators.risk import high_risk_alerts, score_exchanges
 from chatlake.operators.usage import with_cost
-from chatlake.session import exists, remove, scratch_path
+from chatlake.session import exists, is_folder, remove, scratch_path
 
 
 def read_files(spark: SparkSession, folder: str, glob: str, schema: StructType | str, per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    """Parquet files of a folder as a stream. A table of the given name may be one file or a folder of part files."""
+    reader = spark.readStream.schema(schema)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(per_trigger))
-    return reader.parquet(folder)
+    table = f"{folder.rstrip('/')}/{glob}"
+    return reader.parquet(table) if is_folder(spark, table) else reader.option("pathGlobFilter", glob).parquet(folder)
 
 
 def run_available(frame: DataFrame, purpose: str, mode: str = "append") -> DataFrame:

@@ -1,10 +1,14 @@
 """Streams over several batches with late rows, a restart and repeated batches."""
 
 import datetime as dt
+import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
+from chatlake.plans.stream_queries import stream_scored_log
+from chatlake.schemas import MESSAGES
 from chatlake.streaming import jobs as J
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -97,3 +101,16 @@ def test_throttle_goes_on_between_batches(spark, tmp_path, cooldown):
                 last[user] = at(h)
                 want.add(i)
     assert got == want
+
+
+def test_a_table_may_be_a_folder_of_part_files(spark, tmp_path):
+    """The part files have names of their own; a table of one file has the table's."""
+    rows = spark.createDataFrame([(i, i % 3, "user", f"text {i}") for i in range(9)], MESSAGES)
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "conversations.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "one").mkdir()
+    shutil.copy(next((tmp_path / "part").glob("*.parquet")), tmp_path / "one" / "conversations.parquet")
+    for name in ("many", "one"):
+        stream = J.read_files(spark, str(tmp_path / name), "conversations.parquet", MESSAGES)
+        assert J.run_available(stream.select("conv_id"), f"folder-{name}").count() == 9
+        assert stream_scored_log(spark, str(tmp_path / name)).agg(F.sum("messages")).first()[0] == 9
