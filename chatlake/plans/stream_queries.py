@@ -81,7 +81,9 @@ def stream_rate_breaches(spark, sf):
  g AS (SELECT *, lag(level, 1, 0) OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS before FROM l)
  SELECT CAST(user_id AS VARCHAR) AS user_id, day, event_id, level FROM g WHERE level > before""")
 def stream_cost_alerts(spark, sf):
-    return J.run_available(J.cost_levels(S.event_stream(spark, sf), 0.005, prices=PRICES), "cost")
+    path = scratch_path(spark, "cost-table")
+    J.run_batches(S.event_stream(spark, sf), "cost", J.cost_level_batches(path, 0.005, prices=PRICES))
+    return spark.read.schema("user_id string, day date, event_id bigint, level bigint").parquet(f"{path}/levels").drop("batch")
 
 
 @query("SELECT event_id, user_id FROM events")

@@ -8,17 +8,16 @@ below the folder the session names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from chatlake.functions.lexicon import Lexicon
 from chatlake.operators.monitoring import throttle
 from chatlake.operators.risk import high_risk_alerts, score_exchanges
+from chatlake.operators.segments import time_segment
 from chatlake.operators.usage import with_cost
 from chatlake.session import exists, is_folder, remove, scratch_path
 
@@ -229,36 +228,73 @@ def rate_breaches(requests: DataFrame, key: str, limit: int, *, window: str = "1
     )
 
 
-def cost_levels(usage: DataFrame, threshold: float, *, delay: str = "1 hour", prices=None) -> DataFrame:
-    """ST7: W6 with state - running cost per (user, day) in ten-billionths, one row per new multiple."""
+def cost_levels(usage: DataFrame, threshold: float, *, before: DataFrame | None = None, prices=None) -> tuple[DataFrame, DataFrame]:
+    """W6 continued: (one row per new multiple, (user_id, day, total, top) after all rows), from where ``before`` of the same form ends.
+
+    ``total`` is the running cost per (user, day) in ten-billionths and ``top`` its highest value so far. Windows hold one hour of a user; hours
+    meet by their summaries only.
+    """
     unit = 10_000_000_000
     step_size = int(round(threshold * unit))
+    level = lambda c: F.when(c > step_size, F.floor(c / F.lit(step_size))).otherwise(F.lit(0)).cast("bigint")
+    keys = ["user_id", "day"]
+    rows = with_cost(usage, prices).select(
+        F.col("user_id").cast("string").alias("user_id"), F.to_date("ts").alias("day"), time_segment().alias("hour"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", F.coalesce((F.col("cost") * unit).cast("bigint"), F.lit(0)).alias("units"))
+    inside = Window.partitionBy(*keys, "hour").orderBy("us", "event_id")
+    local = rows.withColumn("sum", F.sum("units").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    hours = local.groupBy(*keys, "hour").agg(F.sum("units").alias("units"), F.max("sum").alias("most"))
+    if before is not None:
+        # What a key brings along comes before its first hour: a sum, and how far above it the sum once was.
+        known = before.select(*keys, F.lit(0).alias("late"), F.lit(None).cast("timestamp").alias("hour"), F.col("total").alias("units"), F.col("top").alias("most"))
+        hours = hours.withColumn("late", F.lit(1)).select(*known.columns).unionByName(known)
+    else:
+        hours = hours.withColumn("late", F.lit(1))
+    in_order = Window.partitionBy(*keys).orderBy("late", "hour")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.withColumn("offset", F.coalesce(F.sum("units").over(earlier), F.lit(0)))
+    hours = hours.withColumn("reached", F.greatest(F.lit(0), F.max(F.col("offset") + F.col("most")).over(earlier)))
+    start = hours.where("late = 1").select(*[F.col(c).alias(f"__{c}") for c in (*keys, "hour")], "offset", "reached")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, "hour")]
+    # Both windows run over the hour's own sums, in the partitioning of the first.
+    local = local.withColumn("most", F.max("sum").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    placed = local.join(start, same[0] & same[1] & same[2])
+    now, highest = level(F.col("offset") + F.col("sum")), level(F.greatest("reached", F.col("offset") + F.col("most")))
+    risen = placed.withColumn("level", now).where(F.col("level") > highest).select(*keys, "event_id", "level")
+    after = hours.groupBy(*keys).agg(F.sum("units").alias("total"), F.greatest(F.lit(0), F.max(F.col("offset") + F.col("most"))).alias("top"))
+    return risen, after
+
+
+def cost_level_batches(path: str, threshold: float, *, delay: dt.timedelta = dt.timedelta(hours=1), prices=None) -> Callable[[DataFrame, int], None]:
+    """ST7 sink: W6 continued from batch to batch; one row per new multiple of the running cost per (user, day).
+
+    The state is one row per (user, day), until the watermark (the newest time minus ``delay``) has passed the day; rows that are not newer
+    than the watermark of the batch before are dropped.
+    """
+    late = F.expr(f"INTERVAL {int(delay.total_seconds() * 1e6)} MICROSECOND")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        state, last = f"{path}/state/batch={batch_id}", f"{path}/state/batch={batch_id - 1}"
+        known, clock = exists(spark, last), None
+        rows = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+        high = rows.agg(F.max("ts")).first()[0]
+        if known:
+            clock = spark.read.parquet(f"{path}/clock/batch={batch_id - 1}").first()["high"]
+        if clock is not None:
+            rows = rows.where(F.col("ts").isNull() | (F.col("ts") > F.lit(clock) - late))
+            high = max(high, clock) if high is not None else clock
+        risen, after = cost_levels(rows, threshold, before=spark.read.parquet(last) if known else None, prices=prices)
+        risen.write.mode("overwrite").parquet(f"{path}/levels/batch={batch_id}")
+        if high is not None:
+            over = F.date_add("day", 1).cast("timestamp") <= F.lit(high) - late
+            after = after.where(F.col("day").isNull() | ~over)
+        after.write.mode("overwrite").parquet(state)
+        spark.createDataFrame([(high,)], "high timestamp").write.mode("overwrite").parquet(f"{path}/clock/batch={batch_id}")
+        # A repeated batch still needs the state of the one before it.
+        remove(spark, f"{path}/state/batch={batch_id - 2}")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        total, level = state.get if state.exists else (0, 0)
-        parts = list(frames)
-        rows = pd.concat(parts).sort_values(["us", "event_id"]) if parts else pd.DataFrame(columns=["us", "event_id", "units"])
-        out = []
-        for us, event, units in zip(rows["us"], rows["event_id"], rows["units"]):
-            total += int(units)
-            now = total // step_size if total > step_size else 0
-            if now > level:
-                level = now
-                out.append((key[0], key[1], int(event), int(level)))
-        state.update((total, level))
-        end = int((pd.Timestamp(key[1]) + pd.Timedelta(days=1)).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "day", "event_id", "level"])
-
-    rows = with_cost(usage, prices).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    rows = rows.select(F.col("user_id").cast("string").alias("user_id"), F.to_date("ts").alias("day"), "ts",
-                       F.unix_micros("ts").alias("us"), "event_id", (F.col("cost") * unit).cast("bigint").alias("units"))
-    return rows.groupBy("user_id", "day").applyInPandasWithState(
-        step, "user_id string, day date, event_id bigint, level bigint", "total bigint, level bigint", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    return handle
 
 
 def without_replays(exchanges: DataFrame, key: str = "id", *, delay: str = "1 day") -> DataFrame:

@@ -114,3 +114,40 @@ def test_a_table_may_be_a_folder_of_part_files(spark, tmp_path):
         stream = J.read_files(spark, str(tmp_path / name), "conversations.parquet", MESSAGES)
         assert J.run_available(stream.select("conv_id"), f"folder-{name}").count() == 9
         assert stream_scored_log(spark, str(tmp_path / name)).agg(F.sum("messages")).first()[0] == 9
+
+
+def test_cost_levels_continue_and_forget(spark, tmp_path):
+    """Batches and one run over all rows agree with plain Python; days that have passed leave the state, a repeated batch replaces itself."""
+    rng = random.Random(3)
+    first = [(i, rng.choice([1, 2, None]), at(rng.random() * 40), rng.choice(["m", "x", None]), rng.randrange(-200, 2000), rng.choice([None, 5, 900])) for i in range(300)]
+    later = [(i, rng.choice([1, 2, None]), at(39.5 + rng.random() * 60), "m", rng.randrange(2000), 5) for i in range(300, 500)]
+    rows = [first, later]
+    prices = {"m": ("0.01", "0.02"), "x": ("0.03", "0.01")}
+
+    def want(batches):
+        out, total, top = set(), {}, {}
+        step = 50_000_000
+        for batch in batches:
+            for i, u, t, m, a, b in sorted(batch, key=lambda r: (r[2], r[0])):
+                pair = {"x": (300_000, 100_000)}.get(m, (100_000, 200_000))
+                key = (None if u is None else str(u), t.date())
+                total[key] = total.get(key, 0) + (0 if b is None else a * pair[0] + b * pair[1])
+                level = total[key] // step if total[key] > step else 0
+                if level > top.get(key, 0):
+                    top[key] = level
+                    out.add((*key, i, level))
+        return out
+
+    key = lambda frame: {(r.user_id, r.day, r.event_id, r.level) for r in frame.collect()}
+    make = lambda part: spark.createDataFrame(part, SCHEMA).repartition(3)
+    assert key(J.cost_levels(make(first + later), 0.005, prices=prices)[0]) == want([first + later])
+    path = str(tmp_path / "levels")
+    sink = J.cost_level_batches(path, 0.005, prices=prices)
+    for n, part in enumerate([*rows, [(900, 1, at(2), "m", 90000, 5)]]):
+        sink(make(part), n)
+        sink(make(part), n)
+    # The last row is far behind the watermark.
+    got = key(spark.read.schema("user_id string, day date, event_id bigint, level bigint").parquet(f"{path}/levels"))
+    newest = max(r[2] for r in first) - dt.timedelta(hours=1)
+    assert got == want([first, [r for r in later if r[2] > newest]]) and len(got) > 100
+    assert {r.day for r in spark.read.parquet(f"{path}/state/batch=2").collect()} <= {at(72).date(), at(96).date()}
