@@ -2,9 +2,8 @@
 
 ``chunks`` rows are (doc_id, chunk_index, content[, metadata]), ``queries`` rows (query_id, question).
 
-* Lexical: chunks are exchanged once by their key. Term frequencies, the scoring join with the (broadcast)
-  query terms and the sum per (query, chunk) all stay inside that partitioning; only the best rows per
-  query and partition move on.
+* Lexical: a task counts the query terms of its chunks, scores them for all queries and sends on the best rows. Too many query terms to
+  travel, and chunks are exchanged once by their key; frequencies, scores and sums stay inside that partitioning.
 * Dense: tiles of vectors meet tiles of a bounded block of queries as matrix products. A task keeps one list of the best
   rows per query for all its batches, so it sends on k rows of a query at most.
 """
@@ -16,12 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions import text as T
 from chatlake.operators.segments import top_n
-from chatlake.operators.sizing import BROADCAST_ROWS, fits
+from chatlake.operators.sizing import BROADCAST_ROWS, broadcast_if_small, fits
+from chatlake.session import materialise
 
 # Ranking constants.
 BM25_K1, BM25_B = 1.5, 0.75
@@ -38,6 +40,8 @@ WEAK_SECTIONS = ("related resources", "resources", "references")
 QUERY_BLOCK = 4096
 #: Vectors and queries of one matrix product: the product holds so many scores at once.
 TILE_ROWS, TILE_QUERIES = 2048, 512
+#: Scores (chunks times queries) and weighted counts that lexical search holds at once.
+TILE_CELLS = 2_000_000
 
 #: Q7: keyword lists and the text they add to a short question; a parameter of every query function.
 EXPANSIONS: tuple[tuple[tuple[str, ...], str], ...] = (
@@ -199,14 +203,47 @@ class _Matrix:
         return _Matrix(pdf["query_id"].to_numpy()[ok], rows[ok] / length[ok, None], int(pdf["k"].max()))
 
 
-class _Best:
-    """The best rows of each query among all batches of a task, in the order of the final ranking; never more than k for a query."""
+class _Top:
+    """The best rows of each query among all tiles of a task, in the order of the final ranking; never more than k for a query."""
+
+    def __init__(self, ids: np.ndarray, keep: int, score: str) -> None:
+        self.ids, self.keep, self.score = ids, keep, score
+        self.rows = pd.DataFrame({"q": np.zeros(0, np.int64), "at_nine": np.zeros(0), score: np.zeros(0), "doc_id": np.zeros(0, object),
+                                  "chunk_index": np.zeros(0, object)})
+        # The score that a row must reach to be among the best of a query, once it has k.
+        self.least = np.full(len(ids), -np.inf)
+
+    def offer(self, part: pd.DataFrame, scores: np.ndarray, first: int = 0) -> None:
+        """``scores`` holds a row for each of ``part`` and a column for each query from the number ``first``."""
+        keep = self.keep
+        # Scores are compared at nine places, as in the final ranking, and sent on in full.
+        compared = np.where(np.isfinite(scores), np.round(scores, 9), -np.inf)
+        cut = self.least[first:first + scores.shape[1]]
+        if len(scores) > keep:
+            cut = np.maximum(cut, np.partition(compared, len(scores) - keep, axis=0)[len(scores) - keep])
+        at, of = np.nonzero((compared >= cut) & np.isfinite(compared))
+        if not len(at):
+            return
+        new = pd.DataFrame({"q": of + first, "at_nine": compared[at, of], self.score: scores[at, of], "doc_id": part["doc_id"].to_numpy()[at],
+                            "chunk_index": part["chunk_index"].to_numpy()[at]})
+        both = pd.concat((self.rows, new)) if len(self.rows) else new
+        both = both.sort_values(["q", "at_nine", "doc_id", "chunk_index"], ascending=[True, False, True, True])
+        place = both.groupby("q").cumcount()
+        self.rows = both[place < keep]
+        full = both[place == keep - 1]
+        self.least[full["q"].to_numpy(np.int64)] = full["at_nine"].to_numpy()
+
+    def result(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": self.ids[self.rows["q"].to_numpy(np.int64)], "doc_id": self.rows["doc_id"].to_numpy(),
+                             "chunk_index": self.rows["chunk_index"].to_numpy(), self.score: self.rows[self.score].to_numpy()})
+
+
+class _Best(_Top):
+    """The best rows by cosine."""
 
     def __init__(self, queries: _Matrix) -> None:
+        super().__init__(queries.ids, queries.keep, "cosine")
         self.queries = queries
-        self.rows = pd.DataFrame({"q": np.zeros(0, np.int64), "cosine": np.zeros(0), "doc_id": [], "chunk_index": []})
-        # The score that a row must reach to be among the best of a query, once it has k.
-        self.least = np.full(len(queries.ids), -np.inf)
 
     def add(self, batch: pd.DataFrame) -> None:
         for at in range(0, len(batch), TILE_ROWS):
@@ -218,28 +255,8 @@ class _Best:
                 self._tile(part, rows, q)
 
     def _tile(self, part: pd.DataFrame, rows: np.ndarray, first: int) -> None:
-        keep = self.queries.keep
-        # Scores are compared at nine places, as in the final ranking.
-        scores = np.round(rows @ self.queries.rows[first:first + TILE_QUERIES].T, 9)
-        scores = np.where(np.isfinite(scores), scores, -np.inf)
-        cut = self.least[first:first + TILE_QUERIES]
-        if len(rows) > keep:
-            cut = np.maximum(cut, np.partition(scores, len(rows) - keep, axis=0)[len(rows) - keep])
-        at, of = np.nonzero((scores >= cut) & np.isfinite(scores))
-        if not len(at):
-            return
-        new = pd.DataFrame({"q": of + first, "cosine": scores[at, of], "doc_id": part["doc_id"].to_numpy()[at],
-                            "chunk_index": part["chunk_index"].to_numpy()[at]})
-        both = pd.concat((self.rows, new)) if len(self.rows) else new
-        both = both.sort_values(["q", "cosine", "doc_id", "chunk_index"], ascending=[True, False, True, True])
-        place = both.groupby("q").cumcount()
-        self.rows = both[place < keep]
-        full = both[place == keep - 1]
-        self.least[full["q"].to_numpy(np.int64)] = full["cosine"].to_numpy()
-
-    def result(self) -> pd.DataFrame:
-        return pd.DataFrame({"query_id": self.queries.ids[self.rows["q"].to_numpy(np.int64)], "doc_id": self.rows["doc_id"].to_numpy(),
-                             "chunk_index": self.rows["chunk_index"].to_numpy(), "cosine": self.rows["cosine"].to_numpy()})
+        # Twelve places: what lies beyond differs between products of different sizes.
+        self.offer(part, np.round(rows @ self.queries.rows[first:first + TILE_QUERIES].T, 12), first)
 
 
 def _dense_by_matrix(q: DataFrame, v: DataFrame, schema: str) -> DataFrame:
@@ -440,10 +457,102 @@ def contexts(formatted: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("position", "line"))), lambda s: s["line"]), "\n\n").alias("context"))
 
 
-def lexical_search(prepared: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Q4 straight from chunks, for queries that went through `prepare_queries`."""
-    tokens = tokenised(chunks)
-    return bm25(prepared, postings(tokens), corpus_stats(tokens))
+def lexical_search(prepared: DataFrame, chunks: DataFrame, *, fetch: str = "fetch_k", text: str = "search_text",
+                   bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Q4 straight from chunks, for queries that went through `prepare_queries`.
+
+    Up to ``bound`` query terms travel to the chunks. A text is tokenised once, where it is read; only the counts of query terms are kept.
+    Frequencies are summed from them, and a task scores its chunks for all queries and sends on the best rows. More terms and the
+    chunks' words are exchanged (`bm25`).
+    """
+    terms = query_terms(prepared, text)
+    if not fits(terms, bound):
+        tokens = tokenised(chunks)
+        return bm25(prepared, postings(tokens), corpus_stats(tokens), fetch=fetch, text=text)
+    asked = terms.toPandas()
+    known = np.array(sorted(asked["term"].unique()), dtype=object)
+    counts = materialise(counted(chunks, known), "lexical-counts")
+    stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_length").alias("mean")).first()
+    found = counts.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).toPandas()
+    df = np.zeros(len(known))
+    df[found["t"].to_numpy(np.int64)] = found["df"]
+    at = np.searchsorted(known, asked["term"].to_numpy())
+    weight = np.log1p((stats["n"] - df[at] + 0.5) / (df[at] + 0.5)) * (1.0 + np.log1p(asked["qf"].to_numpy(np.float64)))
+    ids, of = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
+    keep = prepared.agg(F.coalesce(F.max(fetch), F.lit(1))).first()[0]
+    mean = max(stats["mean"], 1e-6) if (stats["mean"] or 0) > 0 else 1.0
+    types = dict(counts.dtypes)
+    schema = f"query_id {dict(prepared.dtypes)['query_id']}, doc_id {types['doc_id']}, chunk_index {types['chunk_index']}, lexical double"
+    order = np.argsort(at, kind="stable")
+    sent = counts.sparkSession.sparkContext.broadcast((ids, np.searchsorted(at[order], np.arange(len(known) + 1)), of[order], weight[order]))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, ends, of, weight = sent.value
+        top = _Top(ids, int(keep), "lexical")
+        tile = max(1, min(TILE_ROWS, TILE_CELLS // max(1, len(ids))))
+        for batch in batches:
+            for first in range(0, len(batch), tile):
+                part = batch.iloc[first:first + tile]
+                sizes = part["terms"].map(len).to_numpy()
+                if not sizes.sum():
+                    continue
+                tf = np.concatenate(part["tfs"].to_numpy()).astype(np.float64)
+                length = np.repeat(part["doc_length"].to_numpy(np.float64), sizes)
+                value = tf * (BM25_K1 + 1.0) / (tf + BM25_K1 * (1.0 - BM25_B + BM25_B * (length / mean)))
+                scores = weighted_sums(np.repeat(np.arange(len(part)), sizes), np.concatenate(part["terms"].to_numpy()), value,
+                                       len(part), len(ids), ends, of, weight)
+                top.offer(part, np.where(scores > 0, scores, -np.inf))
+        yield top.result()
+
+    return _best(counts.mapInPandas(score, schema), prepared, "lexical", fetch)
+
+
+def weighted_sums(rows: np.ndarray, terms: np.ndarray, values: np.ndarray, n_rows: int, n_queries: int, ends: np.ndarray, of: np.ndarray,
+                  weight: np.ndarray) -> np.ndarray:
+    """For each row and query the sum of value times weight over the terms they share. A term's queries are ``of[ends[t]:ends[t + 1]]``."""
+    out = np.zeros(n_rows * n_queries)
+    times = ends[terms + 1] - ends[terms]
+    upto = np.cumsum(times)
+    first = 0
+    while first < len(rows):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + TILE_CELLS, "right")))
+        n = times[first:last]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pair = np.repeat(ends[terms[first:last]], n) + within
+        out += np.bincount(np.repeat(rows[first:last], n) * n_queries + of[pair], np.repeat(values[first:last], n) * weight[pair], len(out))
+        first = last
+    return out.reshape(n_rows, n_queries)
+
+
+def counted(chunks: DataFrame, known: np.ndarray) -> DataFrame:
+    """(doc_id, chunk_index, doc_length, terms, tfs): how often each of ``known``, by its number, occurs in a chunk. No row leaves its task."""
+    sent = chunks.sparkSession.sparkContext.broadcast(known.tolist())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(sent.value, pa.string())
+        for batch in batches:
+            tokens = batch.column("tokens")
+            number = pc.index_in(tokens.flatten().cast(pa.string()), words)
+            hit = pc.is_valid(number).to_numpy(zero_copy_only=False)
+            row = pc.list_parent_indices(tokens).to_numpy()[hit].astype(np.int64)
+            pair, tf = np.unique(row * max(1, len(words)) + number.drop_null().to_numpy(), return_counts=True)
+            row, term = np.divmod(pair, max(1, len(words)))
+            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("chunk_index"), batch.column("doc_length"),
+                 pa.ListArray.from_arrays(ends, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))],
+                names=["doc_id", "chunk_index", "doc_length", "terms", "tfs"])
+
+    # An absent text has the length that `tokenised` gives it.
+    rows = chunks.select("doc_id", "chunk_index", T.lexical_tokens(F.col("content")).alias("tokens")).withColumn("doc_length", F.size("tokens"))
+    types = dict(rows.dtypes)
+    return rows.mapInArrow(count, f"doc_id {types['doc_id']}, chunk_index {types['chunk_index']}, doc_length int, terms array<int>, tfs array<int>")
+
+
+def with_chunks(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``chunks`` columns for candidates. Within the bound the candidates travel to the chunks, so no text is exchanged."""
+    rows = materialise(rows, "candidates")
+    return chunks.join(broadcast_if_small(rows), [c for c in ("doc_id", "chunk_index") if c in chunks.columns])
 
 
 # ---------------------------------------------------------------- embedding inputs

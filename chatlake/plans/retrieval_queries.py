@@ -111,7 +111,7 @@ def keyword_overlap(spark, sf):
     chunks = S.document_chunks(spark, sf)
     prepared = Q.prepare_queries(S.search_queries(spark, sf), 3, PROBE_EXPANSIONS)
     hits = Q.lexical_search(prepared, chunks).select("query_id", "doc_id")
-    rows = hits.join(prepared.select("query_id", "base_text"), "query_id").join(chunks.select("doc_id", "content"), "doc_id")
+    rows = Q.with_chunks(hits.join(prepared.select("query_id", "base_text"), "query_id"), chunks.select("doc_id", "content"))
     return rows.select("query_id", "doc_id", F.round(Q.keyword_overlap(F.col("base_text"), F.col("content")), 6).alias("overlap"))
 
 

@@ -108,3 +108,24 @@ def test_a_task_sends_on_no_more_than_k_rows_of_a_query(spark, monkeypatch):
         best.add(frame)
         results.append(best.result().reset_index(drop=True))
     assert results[0].equals(results[1])
+
+
+def test_lexical_search_moves_no_texts_and_agrees_with_the_exchange(spark, monkeypatch):
+    """Scored where the chunks are read: the rows of the join, Thai text and absent texts included; a task sends on k rows of a query at most."""
+    rng = random.Random(11)
+    words = [f"w{min(rng.randrange(80), rng.randrange(80))}" for _ in range(6000)]
+    rows = [(f"d{i % 300}", i // 300, " ".join(rng.choice(words) for _ in range(rng.choice([0, 2, 9, 60])))) for i in range(700)]
+    rows += [("th", 0, "ความอยากและการเลิกยา w1"), ("none", 0, None)]
+    chunks = spark.createDataFrame(rows, "doc_id STRING, chunk_index INT, content STRING").repartition(5)
+    asked = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 6, 30]))), rng.choice([1, 4, 20])) for i in range(25)]
+    queries = spark.createDataFrame([*asked, (50, "ความอยาก", 3), (51, "nothing here", 3), (52, "", 3)], "query_id INT, search_text STRING, fetch_k INT")
+    key = lambda frame: sorted((r.query_id, r.lexical_rank, r.doc_id, r.chunk_index, round(r.lexical, 8)) for r in frame.collect())
+    want = key(Q.lexical_search(queries, chunks, bound=0))
+    whole = Q.lexical_search(queries, chunks)
+    assert key(whole) == want and len(want) > 100
+    assert "content" not in whole._jdf.queryExecution().executedPlan().toString()
+    for name in ("TILE_CELLS", "TILE_ROWS"):
+        monkeypatch.setattr(Q, name, 7)
+    pairs = np.array([0, 0, 1, 2, 2]), np.array([0, 1, 1, 0, 2]), np.array([1.0, 2, 3, 4, 5])
+    got = Q.weighted_sums(*pairs, 3, 2, np.array([0, 2, 3, 3]), np.array([0, 1, 1]), np.array([10.0, 100, 1000]))
+    assert got.tolist() == [[10, 2100], [0, 3000], [40, 400]]
