@@ -372,7 +372,7 @@ def fuse(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, *, topic_
     rows = candidates.withColumn("dense_norm", unit((F.coalesce("cosine", F.lit(-1.0)) + 1.0) / 2.0))
     rows = rows.withColumn("lexical_norm", unit(F.coalesce(F.when(top > 0, F.col("lexical") / top), F.lit(0.0))))
     rows = rows.join(queries.select("query_id", "question", "base_text"), "query_id")
-    rows = rows.join(chunks.select("doc_id", "chunk_index", "doc_name", "content", "metadata"), ["doc_id", "chunk_index"])
+    rows = with_chunks(rows, chunks.select("doc_id", "chunk_index", "doc_name", "content", "metadata"))
     asked = F.when(F.col("base_text") == "", F.col("question")).otherwise(F.col("base_text"))
     rows = rows.withColumn("overlap", keyword_overlap(asked, F.col("content")))
     boost = F.when(F.col("metadata.topic") == topic_hint, F.lit(TOPIC_BOOST)).otherwise(F.lit(0.0)) if topic_hint else F.lit(0.0)
