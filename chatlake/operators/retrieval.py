@@ -473,7 +473,8 @@ def lexical_search(prepared: DataFrame, chunks: DataFrame, *, fetch: str = "fetc
     known = np.array(sorted(asked["term"].unique()), dtype=object)
     counts = materialise(counted(chunks, known), "lexical-counts")
     stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_length").alias("mean")).first()
-    found = counts.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).toPandas()
+    entries = entries_of(counts)
+    found = entries.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).toPandas()
     df = np.zeros(len(known))
     df[found["t"].to_numpy(np.int64)] = found["df"]
     at = np.searchsorted(known, asked["term"].to_numpy())
@@ -497,14 +498,14 @@ def lexical_search(prepared: DataFrame, chunks: DataFrame, *, fetch: str = "fetc
                 if not sizes.sum():
                     continue
                 tf = np.concatenate(part["tfs"].to_numpy()).astype(np.float64)
-                length = np.repeat(part["doc_length"].to_numpy(np.float64), sizes)
+                length = np.concatenate(part["lengths"].to_numpy()).astype(np.float64)
                 value = tf * (BM25_K1 + 1.0) / (tf + BM25_K1 * (1.0 - BM25_B + BM25_B * (length / mean)))
                 scores = weighted_sums(np.repeat(np.arange(len(part)), sizes), np.concatenate(part["terms"].to_numpy()), value,
                                        len(part), len(ids), ends, of, weight)
                 top.offer(part, np.where(scores > 0, scores, -np.inf))
         yield top.result()
 
-    return _best(counts.mapInPandas(score, schema), prepared, "lexical", fetch)
+    return _best(entries.mapInPandas(score, schema), prepared, "lexical", fetch)
 
 
 def weighted_sums(rows: np.ndarray, terms: np.ndarray, values: np.ndarray, n_rows: int, n_queries: int, ends: np.ndarray, of: np.ndarray,
@@ -549,6 +550,23 @@ def counted(chunks: DataFrame, known: np.ndarray) -> DataFrame:
     return rows.mapInArrow(count, f"doc_id {types['doc_id']}, chunk_index {types['chunk_index']}, doc_length int, terms array<int>, tfs array<int>")
 
 
+def entries_of(counts: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, terms, tfs, lengths), a row for each key. As in `postings`, counts of rows of one key and length are added;
+    rows of one key and several lengths keep an entry for each. Only the rows of keys that occur again are exchanged."""
+    key = ["doc_id", "chunk_index"]
+    entries = counts.select(*key, "terms", "tfs", F.array_repeat("doc_length", F.size("terms")).alias("lengths"))
+    again = counts.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__d"), F.col("chunk_index").alias("__c"))
+    if again.isEmpty():
+        return entries
+    near = broadcast_if_small(again)
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("chunk_index").eqNullSafe(F.col("__c"))
+    more = counts.join(near, same, "left_semi").select(*key, "doc_length", F.explode(F.arrays_zip("terms", "tfs")).alias("e"))
+    more = more.groupBy(*key, "doc_length", F.col("e.terms").alias("term")).agg(F.sum("e.tfs").cast("int").alias("tf"))
+    more = more.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("term", "doc_length", "tf"))).alias("e"))
+    return entries.join(near, same, "left_anti").unionByName(
+        more.select(*key, F.col("e.term").alias("terms"), F.col("e.tf").alias("tfs"), F.col("e.doc_length").alias("lengths")))
+
+
 def with_chunks(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     """``chunks`` columns for candidates. Within the bound the candidates travel to the chunks, so no text is exchanged."""
     rows = materialise(rows, "candidates")

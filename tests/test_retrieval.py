@@ -115,7 +115,8 @@ def test_lexical_search_moves_no_texts_and_agrees_with_the_exchange(spark, monke
     rng = random.Random(11)
     words = [f"w{min(rng.randrange(80), rng.randrange(80))}" for _ in range(6000)]
     rows = [(f"d{i % 300}", i // 300, " ".join(rng.choice(words) for _ in range(rng.choice([0, 2, 9, 60])))) for i in range(700)]
-    rows += [("th", 0, "ความอยากและการเลิกยา w1"), ("none", 0, None)]
+    rows += [("th", 0, "ความอยากและการเลิกยา w1"), ("none", 0, None), (None, 0, "w1 w2"), (None, 0, "w2 w3")]
+    rows += [*rows[:40], ("d3", 0, "w1 w1 w2 w5"), ("d4", 1, "w1")]  # keys that occur again, with the same and other texts
     chunks = spark.createDataFrame(rows, "doc_id STRING, chunk_index INT, content STRING").repartition(5)
     asked = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 6, 30]))), rng.choice([1, 4, 20])) for i in range(25)]
     queries = spark.createDataFrame([*asked, (50, "ความอยาก", 3), (51, "nothing here", 3), (52, "", 3)], "query_id INT, search_text STRING, fetch_k INT")
