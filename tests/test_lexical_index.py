@@ -72,3 +72,44 @@ def test_the_index_is_built_once_for_the_same_files(spark, chunks, tmp_path, mon
     assert X.stored(spark, source, spark.read.parquet(source)).path == first.path and built == [1]
     chunks.limit(5).write.mode("append").parquet(source)
     assert X.stored(spark, source, spark.read.parquet(source)).path != first.path and built == [1, 1]
+
+
+def test_no_posting_is_a_row_of_its_own(spark, chunks, queries, tmp_path):
+    """What is stored and exchanged grows with blocks, not with postings; what is scored leaves its task as best rows only."""
+    index = X.build(chunks, str(tmp_path / "index"), buckets=8, block=64)
+    blocks = index.table("blocks")
+    n_blocks = blocks.select("block").distinct().count()
+    assert index.table("postings").count() <= 8 * n_blocks
+    assert blocks.agg(F.sum("n")).first()[0] == Q.postings(Q.tokenised(chunks)).count()
+    terms, wanted = X.weighted_terms(queries, index, "search_text")
+    pairs = X.block_bounds(terms, wanted, index).select("query_id", "block")
+    plan = X.exact(pairs, terms, wanted, index, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and X.exact(pairs.coalesce(1), terms, wanted, index, 2).coalesce(1).groupBy("query_id").count().count() == 30
+
+
+def test_repeated_and_absent_keys(spark, tmp_path):
+    """Counts of rows of one key and length are added, other lengths stay apart; chunks without a key are counted, not found."""
+    rows = [("a", 0, "red blue"), ("a", 0, "red green"), ("a", 0, "red red red sky"), ("b", 0, "red sea"), ("c", 1, "sky sky sea"), (None, 0, "red red"),
+            ("d", None, "blue sea"), ("e", 0, ""), ("f", 0, None), ("g", 2, "red red red red")]
+    chunks = spark.createDataFrame(rows, "doc_id STRING, chunk_index INT, content STRING")
+    queries = spark.createDataFrame([(1, "red sky", 5), (2, "sea blue blue", 2), (3, "nothing", 5), (None, "red", 5)],
+                                    "query_id INT, search_text STRING, fetch_k INT")
+    got = X.bm25(queries, X.build(chunks, str(tmp_path / "index"), buckets=4, block=2), block=2)
+    tokens = Q.tokenised(chunks)
+    index = Q.postings(tokens).where("doc_id IS NOT NULL AND chunk_index IS NOT NULL")
+    want = Q.bm25(queries, index, Q.corpus_stats(tokens))
+    key = lambda rows: sorted((r.query_id, r.lexical_rank, r.doc_id, r.chunk_index, round(r.lexical, 8)) for r in rows.collect())
+    assert key(got) == key(want) and {r.doc_id for r in got.collect()} == {"a", "b", "c", "g"}
+
+
+def test_batches_and_parts_do_not_show(spark, chunks, queries, tmp_path):
+    """Blocks that go on in the next Arrow batch, and more query terms than travel at once."""
+    want = Q.lexical_search(queries, chunks)
+    key = lambda rows: sorted((r.query_id, r.lexical_rank, r.doc_id, r.chunk_index, round(r.lexical, 8)) for r in rows.collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        index = X.build(chunks, str(tmp_path / "index"), buckets=4, block=16)
+        got = key(X.bm25(queries, index, block=16, bound=60))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == key(want)
