@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import text as T
 from chatlake.operators import retrieval as Q
+# What runs in tasks travels by value: through the name of a module it would take the whole module along.
+from chatlake.operators.retrieval import BM25_B, BM25_K1, TILE_CELLS, TILE_ROWS, _Top, weighted_sums
 from chatlake.operators.segments import top_n
 from chatlake.operators.sizing import BROADCAST_ROWS, fits
 from chatlake.session import discard, exists, materialise, shared_folder
@@ -51,7 +53,7 @@ def bucket_of(term: Column, buckets: int) -> Column:
 
 def part_of(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
     """The score of a posting but for the query's weight."""
-    return tf * (Q.BM25_K1 + 1.0) / (tf + Q.BM25_K1 * (1.0 - Q.BM25_B + Q.BM25_B * (length / max(mean, 1e-6))))
+    return tf * (BM25_K1 + 1.0) / (tf + BM25_K1 * (1.0 - BM25_B + BM25_B * (length / max(mean, 1e-6))))
 
 
 @dataclass(frozen=True)
@@ -301,7 +303,7 @@ def block_bounds(weighted: DataFrame, wanted: list[int], index: LexicalIndex) ->
         ids, ends, of, weight = sent.value
         for number, part in _whole_blocks(batches):
             ts, best = _joined(part["ts"], np.int64), _joined(part["best"], np.float64)
-            bound = Q.weighted_sums(np.zeros(len(ts), np.int64), ts, best, 1, len(ids), ends, of, weight)[0]
+            bound = weighted_sums(np.zeros(len(ts), np.int64), ts, best, 1, len(ids), ends, of, weight)[0]
             at = np.flatnonzero(bound)
             yield pd.DataFrame({"query_id": ids[at], "block": number, "bound": bound[at]})
 
@@ -326,8 +328,8 @@ def exact(pairs: DataFrame, weighted: DataFrame, wanted: list[int], index: Lexic
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, ends, of, weight = sent.value
         term_of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-        top = Q._Top(ids, keep, "lexical")
-        tile = max(1, min(Q.TILE_ROWS, Q.TILE_CELLS // max(1, len(ids))))
+        top = _Top(ids, keep, "lexical")
+        tile = max(1, min(TILE_ROWS, TILE_CELLS // max(1, len(ids))))
         chunks, scores, held = [], [], 0
         for _, part in _whole_blocks(batches):
             ts, queries = _joined(part["ts"], np.int64), _joined(part["asked"], object)
@@ -341,8 +343,8 @@ def exact(pairs: DataFrame, weighted: DataFrame, wanted: list[int], index: Lexic
             found = pd.DataFrame({"doc_id": _joined(part["doc_ids"], object), "chunk_index": _joined(part["chunk_indexes"], object)})
             value = part_of(_joined(part["tfs"], np.int64).astype(np.float64), _joined(part["lengths"], np.int64)[slot], mean)
             chunks.append(found)
-            scores.append(Q.weighted_sums(_joined(part["owners"], np.int64)[slot], np.repeat(ts, n), value, len(found), len(ids),
-                                          np.searchsorted(term_of[use], np.arange(len(ends))), of[use], weight[use]))
+            scores.append(weighted_sums(_joined(part["owners"], np.int64)[slot], np.repeat(ts, n), value, len(found), len(ids),
+                                        np.searchsorted(term_of[use], np.arange(len(ends))), of[use], weight[use]))
             held += len(found)
             if held >= tile:
                 offer(top, chunks, scores)
@@ -351,7 +353,7 @@ def exact(pairs: DataFrame, weighted: DataFrame, wanted: list[int], index: Lexic
             offer(top, chunks, scores)
         yield top.result()
 
-    def offer(top: Q._Top, chunks: list[pd.DataFrame], scores: list[np.ndarray]) -> None:
+    def offer(top: _Top, chunks: list[pd.DataFrame], scores: list[np.ndarray]) -> None:
         every = np.concatenate(scores)
         top.offer(pd.concat(chunks, ignore_index=True), np.where(every > 0, every, -np.inf))
 
